@@ -30,6 +30,7 @@ empty table gives an empty table. Shingles, sets and words are told apart by
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,19 +172,24 @@ def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("a", "b", F.coalesce(fits & (far * (rule.den + rule.num) <= bound), F.lit(False)).alias("near"))
 
 
-def _verified(near: DataFrame, docs: DataFrame, one: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) for pairs marked near or not; exact sets decide on the near ones."""
+def _verified(near: DataFrame, docs: DataFrame, one: DataFrame, sets: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, linked) for pairs marked near or not, and the exact sets so far; these decide on the near ones."""
     close = near.filter("near").select("a", "b")
     if close.isEmpty():
-        return near.select("a", "b", F.lit(False).alias("linked"))
+        return near.select("a", "b", F.lit(False).alias("linked")), sets
     needed = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
-    sets = cut(_sets(docs, one.join(needed, "cls", "left_semi").select("cls", "row.doc_id", "row.text_hash"), rule), "shingle-sets")
+    if sets is not None:
+        needed = needed.join(sets.select("cls"), "cls", "left_anti")
+    needed = cut(one.join(needed, "cls", "left_semi").select("cls", "row.doc_id", "row.text_hash"), "needed")
+    if not needed.isEmpty():
+        more = cut(_sets(docs, needed, rule), "shingle-sets")
+        sets = more if sets is None else sets.unionByName(more)
     left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     union = F.size("ha") + F.size("hb") - both
     decided = close.join(left, "a").join(right, "b").select("a", "b", (both * rule.den >= union * rule.num).alias("linked"))
-    return decided.unionByName(near.filter("not near").select("a", "b", F.lit(False).alias("linked")))
+    return decided.unionByName(near.filter("not near").select("a", "b", F.lit(False).alias("linked"))), sets
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
@@ -198,8 +204,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInPandas(work, "cls long, hashes array<long>").dropDuplicates(["cls"])
 
 
-def _forest(block: pd.DataFrame, rule: Rule) -> list[tuple[int, int]]:
-    """In one block of a word's group: the nearest untested pairs that would join components."""
+def _forest(block: pd.DataFrame, rule: Rule, reach: int) -> list[tuple[int, int]]:
+    """In one block of a word's group: of the untested pairs that would join components, a spanning forest of the nearest and each class's ``reach`` nearest."""
     left, right = block[block["side"] != 1], block[block["side"] != 0]
     bits = lambda f: np.array(f["bits"].tolist(), np.int64)
     if not len(left) or not len(right):
@@ -221,10 +227,14 @@ def _forest(block: pd.DataFrame, rule: Rule) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
+    out, used = [], Counter()
     for _, a, b, p, q in sorted(near):
-        if (a, b) not in failed and (b, a) not in failed and (x := top(p)) != (y := top(q)):
+        if (a, b) in failed or (b, a) in failed:
+            continue
+        x, y = top(p), top(q)
+        if x != y or min(used[a], used[b]) < reach - 1:
             root[x] = y
+            used.update((a, b))
             out.append((min(a, b), max(a, b)))
     return out
 
@@ -237,7 +247,7 @@ def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFrame, rule: Rule) -> DataFrame:
+def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFrame, rule: Rule, reach: int) -> DataFrame:
     """Nearest untested pairs of different components in larger groups, compared in blocks."""
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")
     rows = cut(placed.join(open_.filter(F.col("size") > FEW).select("word", blocks), "word"), "open-groups")
@@ -259,7 +269,7 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     def work(pack: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple[int, int]] = set()
         for _, block in pack.groupby(["word", "low", "high"], sort=False):
-            out.update(_forest(block, rule))
+            out.update(_forest(block, rule, reach))
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return rows.groupBy(F.pmod(F.xxhash64("word", "low", "high"), F.lit(packs)).alias("pack")).applyInPandas(work, "a long, b long")
@@ -286,21 +296,24 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
     bits = F.map_from_arrays("sketches.band", "sketches.bits").alias("bits")
     light = cut(sketched.select("cls", "n", bits).join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")
     near = cut(_near(first, light, rule), "near")
-    tested = cut(_verified(near, docs, one, rule), "verified")
+    tested, sets = _verified(near, docs, one, None, rule)
+    tested = cut(tested, "verified")
     parts = cut(components(tested.filter("linked").select("a", "b")), "components")
 
+    reach = 1
     while True:
         placed = cut(shared.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "placed")
         open_ = placed.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("cls").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members"))
         # Of words that the same classes share, one will do.
         open_ = cut(open_.filter("low < high").groupBy("size", "members", "low", "high").agg(F.min("word").alias("word")).select("word", "size"), "open-words")
-        pairs = _few(placed, open_).unionByName(_many(placed, open_, light, tested, rule)).distinct()
+        pairs = _few(placed, open_).unionByName(_many(placed, open_, light, tested, rule, reach)).distinct()
         pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         near = cut(_near(pairs, light, rule), "near")
         if near.isEmpty():
             break
-        more = cut(_verified(near, docs, one, rule), "verified")
-        tested = cut(tested.unionByName(more), "tested")
+        more, sets = _verified(near, docs, one, sets, rule)
+        more = cut(more, "verified")
+        tested, reach = cut(tested.unionByName(more), "tested"), reach * 8
         if not more.filter("linked").isEmpty():
             parts = cut(components(tested.filter("linked").select("a", "b")), "components")
 
