@@ -28,7 +28,7 @@ WITH dictionary AS (
 ), dated AS (
   SELECT m.*, a.day, a.event_type, a.impact, a.owner FROM mentions m JOIN articles a USING (news_id)
 ), panel AS (
-  SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / sum(l_quantity), 4) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
+  SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / sum(l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 ), early AS (SELECT * FROM dated WHERE day < DATE '1995-03-01')
 """
 

@@ -47,7 +47,7 @@ def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     money = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")  # exact, whatever the order
     rows = li.join(p.select("p_partkey", "p_brand"), li["l_partkey"] == p["p_partkey"])
-    return rows.groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.round(money / F.sum("l_quantity"), 4).alias("close"))
+    return rows.groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg((money / F.sum("l_quantity")).alias("close"))
 
 
 ARTICLE_CSV = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "content", "source", "url", "published_date")])
