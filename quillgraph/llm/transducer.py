@@ -3,8 +3,9 @@
 Symbols are single characters; a token is a string of symbols. For every prefix
 of a word there is one merge result, and it ends in the one token whose pair
 with the token before it stays apart when both are merged alone. So a state
-only has to hold the positions at which a token may still begin, each with the
-tokens up to it that are not yet certain. What all these agree on is emitted:
+only has to hold the longest token that may be open, whose suffixes show all
+positions at which a token may have begun, and for each of these the tokens up
+to it that are not yet certain. What all these agree on is emitted:
 the lookahead is bounded by the longest token. States and transitions are made
 when a text first needs them.
 """
@@ -27,9 +28,11 @@ class MergeTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ("", (("", ()),))
+        start = ("", "", ((),))
         self._ids, self._states = {start: 0}, [start]
         self._moves: list[dict[str, tuple[int, tuple[str, ...]]]] = [{}]
+        self._kept_apart: dict[tuple[str, str], bool] = {}
+        self._steps: dict[tuple[str, str], tuple] = {}
 
     def merge(self, parts: list[str], down_to: int = 1) -> list[str]:
         """Plain merging, lowest rank first and leftmost first; for single tokens."""
@@ -81,29 +84,52 @@ class MergeTransducer:
             else:
                 k += 1
 
+    def _step(self, open_token: str, symbol: str) -> tuple[str, tuple[int, ...], tuple[tuple[int, str], ...]]:
+        """What a symbol does to the tokens that may be open, which are the suffixes of the longest: the longest after it, the places of those that go on, and of these the ones that are tokens."""
+        kept, ends, longest = [], [], ""
+        for place, k in enumerate(self._places(open_token)):
+            grown = open_token[k:] + symbol
+            if grown in self.heads:
+                kept.append(place)
+                longest = longest or grown
+                if grown in self.tokens and self.whole(grown):
+                    ends.append((place, grown))
+        return longest, tuple(kept), tuple(ends)
+
+    def _places(self, open_token: str) -> list[int]:
+        """Where a token may begin in the longest open one; its end is the last."""
+        return [k for k in range(len(open_token)) if open_token[k:] in self.heads] + [len(open_token)]
+
     def _move(self, state: int, symbol: str) -> tuple[int, tuple[str, ...]]:
-        before, live = self._states[state]
-        heads, tokens = self.heads, self.tokens
-        open_, here = [], None
-        for begun, chain in live:
-            grown = begun + symbol
-            if grown in heads:
-                open_.append((grown, chain))
-                if here is None and grown in tokens and self.whole(grown):
-                    last = chain[-1] if chain else before
-                    if not last or self.apart(last, grown):
-                        here = (*chain, grown)
-        if here is None:
+        before, open_token, chains = self._states[state]
+        if (step := self._steps.get((open_token, symbol))) is None:
+            step = self._steps[open_token, symbol] = self._step(open_token, symbol)
+        longest, kept, ends = step
+        known = self._kept_apart
+        for place, token in ends:
+            chain = chains[place]
+            if not (last := chain[-1] if chain else before):
+                break
+            if (apart := known.get((last, token))) is None:
+                apart = known[last, token] = self.apart(last, token)
+            if apart:
+                break
+        else:
             raise ValueError(f"no token ends at symbol {symbol!r}")
-        open_.append(("", here))
+        here = (*chain, token)
         emitted: tuple[str, ...] = ()
-        if open_[0][1]:
-            sure, chains = 0, [chain for _, chain in open_]
-            while all(len(c) > sure and c[sure] == here[sure] for c in chains):
+        if not longest:
+            after_chains: tuple = (here,)
+        elif not (first := chains[kept[0]]) or first[0] != here[0]:  # the earliest open token follows nothing, or something else
+            after_chains = (*[chains[k] for k in kept], here)
+        else:
+            after_chains, sure = (*[chains[k] for k in kept], here), 0
+            while all([len(c) > sure and c[sure] == here[sure] for c in after_chains]):
                 sure += 1
-            emitted = here[:sure]
-            open_ = [(b, c[sure:]) for b, c in open_]
-        after = (emitted[-1] if emitted else before, tuple(open_))
+            if sure:
+                emitted = here[:sure]
+                after_chains = tuple([c[sure:] for c in after_chains])
+        after = (emitted[-1] if emitted else before, longest, after_chains)
         if (to := self._ids.get(after)) is None:
             to = self._ids[after] = len(self._states)
             self._states.append(after)
@@ -122,5 +148,5 @@ class MergeTransducer:
             state = move[0]
             if move[1]:
                 out += move[1]
-        out += self._states[state][1][-1][1]
+        out += self._states[state][2][-1]
         return out
