@@ -248,19 +248,31 @@ def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFrame, rule: Rule, reach: int) -> DataFrame:
-    """Nearest untested pairs of different components in larger groups, compared in blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")
-    rows = cut(placed.join(open_.filter(F.col("size") > FEW).select("word", blocks), "word"), "open-groups")
+    """Nearest untested pairs of different components in larger groups, compared in blocks.
+
+    A group's largest component has no pairs within itself to find: its blocks
+    only meet those of the rest, so that work grows with group times rest.
+    """
+    members = placed.join(open_.filter(F.col("size") > FEW).select("word"), "word")
+    parts = members.groupBy("word", "component").agg(F.count("cls").alias("size"))
+    parts = parts.groupBy("word").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
+    in_blocks = lambda size: F.ceil(size / BLOCK_ROWS).cast("int")
+    parts = parts.select("word", F.col("main.component").alias("main"), in_blocks(F.col("size") - F.col("main.size")).alias("rest_blocks"), in_blocks(F.col("main.size")).alias("main_blocks"))
+    rows = cut(members.join(parts, "word"), "open-groups")
     count = rows.count()
     if not count:
         return placed.sparkSession.createDataFrame([], "a long, b long")
     band = F.col("word").bitwiseAND(255).cast("int")
     failed = tested.filter("not linked").groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("failed"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    in_main = F.col("component") == F.col("main")
+    deal = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
+    # Blocks of the rest come first, those of the largest component after them.
+    own = F.when(in_main, F.col("rest_blocks") + deal("main_blocks")).otherwise(deal("rest_blocks"))
+    last = F.when(in_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1
     rows = rows.join(light, "cls").join(failed, "cls", "left")
-    rows = rows.select("word", "cls", "component", "n", "failed", "blocks", own.alias("own"), F.col("bits")[band].alias("bits"))
+    rows = rows.select("word", "cls", "component", "n", "failed", last.alias("last"), own.alias("own"), F.col("bits")[band].alias("bits"))
     # Block pairs (low, high); side 0: left, 1: right, 2: both (a block with itself).
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     rows = rows.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
     rows = rows.select("word", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "side", "cls", "component", "n", "failed", "bits")
     # Small groups share a call; a call holds PACK_ROWS rows or so, or one block pair.

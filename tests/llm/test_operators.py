@@ -58,6 +58,23 @@ def test_ngram_join(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == _brute(texts, rule)
 
 
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    """A chain of near copies, of which the ends are no copies of each other, with groups cut into small blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    chance = random.Random(5)
+    words = [f"w{k}" for k in range(160)]
+    texts = []
+    for k in range(24):
+        words = list(words)
+        words[chance.randrange(60)] = f"n{k}"
+        texts += [" ".join(words)] * (1 + k % 2)
+    texts += [" ".join(words[:60] + [f"x{k}y{j}" for j in range(100)]) for k in range(3)]
+    rule = ngram_join.Rule(3, 90, 100)
+    rows = ngram_join.jaccard_components(_docs(spark, texts), rule).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == _brute(texts, rule)
+
+
 def test_myers():
     def plain(item, text):
         row = [0] * (len(text) + 1)
