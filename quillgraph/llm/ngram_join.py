@@ -15,9 +15,10 @@ those must be alike.
 Copies of one set are one class. Of the documents that share a word, each is
 first compared exactly to the one that shares most words with others. Where a
 word's group then still spans components, a group of a few is compared pair by
-pair, a larger one by Hamming distance in blocks of bounded size; the nearest pairs that would join different components
-are verified exactly, round by round, until no untested pair within the bound
-joins two components. No link between different components is lost, and no
+pair, a larger one by Hamming distance in blocks of bounded size. Near pairs of
+different components are verified exactly: all of them in one round, or, where
+a block has very many, the nearest first, round by round, until none is left
+that would join two components. No link between different components is lost, and no
 group is expanded into all pairs.
 
 Defined cases: a text without words, or null, has the empty set and no links.
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,14 +45,16 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import cut
 from quillgraph.llm.components import components
 
-_WORD = regex.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Documents of a word's group that one task compares with as many others.
 BLOCK_ROWS = 1024
 #: Groups of at most so many classes are compared pair by pair; rows of larger ones in one call.
 FEW, PACK_ROWS = 6, 4000
+#: Near pairs of a block that are all tested, for each of its rows; 64-bit words that one comparison holds.
+ALL_PER_ROW, HELD_WORDS = 4, 4_000_000
 #: Words of the corpus whose hashes a worker keeps.
 KEPT_WORDS = 400_000
+#: Chosen documents (24 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -77,10 +80,10 @@ class Rule:
 
 
 class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode())
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
@@ -94,8 +97,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of the whole text."""
-    found = _WORD.findall((text or "").translate(_LOWER) if text and not text.islower() else text or "")
+    """Sorted 64-bit hashes of the distinct shingles of the whole text.
+
+    Of bytes, ``lower`` changes A-Z alone and ``split`` cuts at ``[\\x20\\x09-\\x0D]`` alone.
+    """
+    found = (text or "").encode().lower().split()
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
@@ -127,27 +133,42 @@ def band_sketches(hashes: np.ndarray, rule: Rule, ends: list[int]) -> list[tuple
     return [(k, sketch(hashes, rule.apart(ends[k], ends[k]) + 1)) for k in bands]
 
 
+def _offsets(parts: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """A list of longs for each array."""
+    return pa.ListArray.from_arrays(_offsets(parts), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
 def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
     ends = rule.ends()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                rows = []
-                for text in part["text"]:
+                part = batch.slice(at, 500)
+                n, labels, found = [], [], []
+                for text in part["text"].to_pylist():
                     h = shingles(text, rule.words)
                     with np.errstate(over="ignore"):
-                        label = _mix(_mix(h + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(h))).view(np.int64) if len(h) else 0
-                    rows.append((len(h), int(label), [{"band": b, "words": w.view(np.int64), "bits": p} for b, (w, p) in band_sketches(h, rule, ends)]))
-                out = pd.DataFrame(rows, columns=["n", "cls", "sketches"])
-                out.insert(0, "text_hash", part["text_hash"].to_numpy())
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
+                        label = _mix(_mix(h + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(h))) if len(h) else np.uint64(0)
+                    n.append(len(h))
+                    labels.append(label)
+                    found.append(band_sketches(h, rule, ends))
+                flat = [x for own in found for x in own]
+                sketches = pa.StructArray.from_arrays(
+                    [pa.array([k for k, _ in flat], pa.int32()), _lists([w.view(np.int64) for _, (w, _) in flat]), _lists([p for _, (_, p) in flat])], ["band", "words", "bits"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["text_hash"], pa.array(n, pa.int64()), pa.array(np.array(labels, np.uint64).view(np.int64)), pa.ListArray.from_arrays(_offsets(found), sketches)],
+                    ["doc_id", "text_hash", "n", "cls", "sketches"],
+                )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(work, f"doc_id {kind}, text_hash long, n long, cls long, sketches array<struct<band int, words array<long>, bits array<long>>>")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, cls long, sketches array<struct<band int, words array<long>, bits array<long>>>")
 
 
 def _words(sketched: DataFrame, rule: Rule) -> DataFrame:
@@ -172,54 +193,74 @@ def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("a", "b", F.coalesce(fits & (far * (rule.den + rule.num) <= bound), F.lit(False)).alias("near"))
 
 
-def _verified(near: DataFrame, docs: DataFrame, one: DataFrame, sets: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, linked) for pairs marked near or not, and the exact sets so far; these decide on the near ones."""
+def _verified(near: DataFrame, docs: DataFrame, sketched: DataFrame, sets: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, near, linked) for pairs marked near or not, and the exact sets so far; these decide on the near ones."""
     close = near.filter("near").select("a", "b")
-    if close.isEmpty():
-        return near.select("a", "b", F.lit(False).alias("linked")), sets
+    far = near.filter("not near").withColumn("linked", F.lit(False))
     needed = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
     if sets is not None:
         needed = needed.join(sets.select("cls"), "cls", "left_anti")
-    needed = cut(one.join(needed, "cls", "left_semi").select("cls", "row.doc_id", "row.text_hash"), "needed")
-    if not needed.isEmpty():
-        more = cut(_sets(docs, needed, rule), "shingle-sets")
+    needed = sketched.select("cls", "doc_id", "text_hash").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    needed = cut(needed.select("cls", "row.doc_id", "row.text_hash"), "needed")
+    count = needed.count()
+    if count:
+        chosen = F.broadcast(needed) if count <= BROADCAST_ROWS else needed
+        more = cut(_sets(docs, chosen, rule), "shingle-sets")
         sets = more if sets is None else sets.unionByName(more)
+    if sets is None:
+        return far, sets
     left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     union = F.size("ha") + F.size("hb") - both
-    decided = close.join(left, "a").join(right, "b").select("a", "b", (both * rule.den >= union * rule.num).alias("linked"))
-    return decided.unionByName(near.filter("not near").select("a", "b", F.lit(False).alias("linked"))), sets
+    decided = close.join(left, "a").join(right, "b").select("a", "b", F.lit(True).alias("near"), (both * rule.den >= union * rule.num).alias("linked"))
+    return decided.unionByName(far), sets
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     """(cls, hashes) for chosen (cls, doc_id, text_hash)."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"cls": batch["cls"], "hashes": [shingles(t, rule.words).view(np.int64) for t in batch["text"]]})
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                found = _lists([shingles(t, rule.words).view(np.int64) for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["cls"], found], ["cls", "hashes"])
 
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
     rows = own.join(chosen, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("cls", "text")
-    return rows.mapInPandas(work, "cls long, hashes array<long>").dropDuplicates(["cls"])
+    return rows.mapInArrow(work, "cls long, hashes array<long>").dropDuplicates(["cls"])
 
 
-def _forest(block: pd.DataFrame, rule: Rule, reach: int) -> list[tuple[int, int]]:
-    """In one block of a word's group: of the untested pairs that would join components, a spanning forest of the nearest and each class's ``reach`` nearest."""
-    left, right = block[block["side"] != 1], block[block["side"] != 0]
-    bits = lambda f: np.array(f["bits"].tolist(), np.int64)
-    if not len(left) or not len(right):
-        return []
-    lw, rw, ln, rn = bits(left), bits(right), left["n"].to_numpy(), right["n"].to_numpy()
-    lc, rc, lp, rp = left["cls"].to_numpy(), right["cls"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-    failed = {(c, int(x)) for f in (left, right) for c, xs in zip(f["cls"], f["failed"]) if xs is not None for x in xs}
-    near = []
-    for i in range(len(lc)):
-        at = np.flatnonzero((rp != lp[i]) & (np.minimum(rn, ln[i]) * rule.den >= np.maximum(rn, ln[i]) * rule.num))
-        if len(at):
-            far = np.bitwise_count((rw[at] ^ lw[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            ok = far <= rule.apart(ln[i] + rn[at], 0)
-            near += [(int(f), int(lc[i]), int(rc[j]), int(lp[i]), int(rp[j])) for f, j in zip(far[ok], at[ok])]
+def _nearest(block: dict[str, np.ndarray], failed: set[tuple[int, int]], rule: Rule, reach: int) -> tuple[list[tuple[int, int]], bool]:
+    """Untested near pairs of different components in one block of a word's group, and whether these are all.
+
+    They are not if there are more than ALL_PER_ROW for each row: then a
+    spanning forest of the nearest, and each class's ``reach`` nearest.
+    """
+    left, right = ({k: v[block["side"] != other] for k, v in block.items()} for other in (1, 0))
+    if not len(left["cls"]) or not len(right["cls"]):
+        return [], True
+    lw, rw = np.stack(left["bits"]).view(np.uint64), np.stack(right["bits"]).view(np.uint64)
+    found = []
+    step = max(1, HELD_WORDS // rw.size)
+    for at in range(0, len(lw), step):
+        n, m = left["n"][at : at + step, None], right["n"][None, :]
+        fits = (left["component"][at : at + step, None] != right["component"][None, :]) & (np.minimum(n, m) * rule.den >= np.maximum(n, m) * rule.num)
+        i, k = np.nonzero(fits)
+        i += at
+        far = np.bitwise_count(lw[i] ^ rw[k]).sum(axis=1, dtype=np.int64)
+        ok = far * (rule.den + rule.num) <= (left["n"][i] + right["n"][k]) * (rule.den - rule.num)
+        found.append(np.stack([far[ok], i[ok], k[ok]]))
+    far, i, k = np.concatenate(found, axis=1)
+    a, b = left["cls"][i], right["cls"][k]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low, far))
+    pairs = dict.fromkeys(zip(low[order].tolist(), high[order].tolist(), strict=True))
+    pairs = [p for p in pairs if p not in failed]
+    if len(pairs) <= ALL_PER_ROW * len(block["cls"]):
+        return pairs, True
+    part = dict(zip(block["cls"].tolist(), block["component"].tolist(), strict=True))
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -228,15 +269,13 @@ def _forest(block: pd.DataFrame, rule: Rule, reach: int) -> list[tuple[int, int]
         return x
 
     out, used = [], Counter()
-    for _, a, b, p, q in sorted(near):
-        if (a, b) in failed or (b, a) in failed:
-            continue
-        x, y = top(p), top(q)
-        if x != y or min(used[a], used[b]) < reach - 1:
+    for p in pairs:
+        x, y = top(part[p[0]]), top(part[p[1]])
+        if x != y or min(used[p[0]], used[p[1]]) < reach - 1:
             root[x] = y
-            used.update((a, b))
-            out.append((min(a, b), max(a, b)))
-    return out
+            used.update(p)
+            out.append(p)
+    return out, False
 
 
 def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
@@ -248,7 +287,7 @@ def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFrame, rule: Rule, reach: int) -> DataFrame:
-    """Nearest untested pairs of different components in larger groups, compared in blocks.
+    """(a, b, word): near untested pairs of different components in larger groups, compared in blocks; ``word`` names the groups that have more of them.
 
     A group's largest component has no pairs within itself to find: its blocks
     only meet those of the rest, so that work grows with group times rest.
@@ -261,9 +300,9 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     rows = cut(members.join(parts, "word"), "open-groups")
     count = rows.count()
     if not count:
-        return placed.sparkSession.createDataFrame([], "a long, b long")
+        return placed.sparkSession.createDataFrame([], "a long, b long, word long")
     band = F.col("word").bitwiseAND(255).cast("int")
-    failed = tested.filter("not linked").groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("failed"))
+    failed = tested.filter("near and not linked").groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("failed"))
     in_main = F.col("component") == F.col("main")
     deal = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
     # Blocks of the rest come first, those of the largest component after them.
@@ -279,12 +318,20 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     packs = max(1, count // PACK_ROWS)
 
     def work(pack: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[int, int]] = set()
-        for _, block in pack.groupby(["word", "low", "high"], sort=False):
-            out.update(_forest(block, rule, reach))
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
-
-    return rows.groupBy(F.pmod(F.xxhash64("word", "low", "high"), F.lit(packs)).alias("pack")).applyInPandas(work, "a long, b long")
+        pack = pack.sort_values(["word", "low", "high"], ignore_index=True)
+        failed = {tuple(sorted((c, int(x)))) for c, xs in zip(pack["cls"], pack["failed"], strict=True) if xs is not None for x in xs}
+        columns = {c: pack[c].to_numpy() for c in ("word", "cls", "component", "n", "side", "bits")}
+        key = pack[["word", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
+        out: set[tuple] = set()
+        for first, end in zip(starts, [*starts[1:], len(pack)], strict=True):
+            pairs, all_ = _nearest({c: v[first:end] for c, v in columns.items()}, failed, rule, reach)
+            out.update((a, b, None) for a, b in pairs)
+            if not all_:
+                out.add((None, None, int(columns["word"][first])))
+        return pd.DataFrame({c: pd.array([row[k] for row in out], dtype="Int64") for k, c in enumerate(("a", "b", "word"))})
+
+    return rows.groupBy(F.pmod(F.xxhash64("word", "low", "high"), F.lit(packs)).alias("pack")).applyInPandas(work, "a long, b long, word long")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -304,30 +351,34 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
         shared.join(leads, "word").groupBy("cls").agg(F.max("lead").alias("lead"))
         .select(F.col("cls").alias("a"), (-F.col("lead.cls")).alias("b")).filter("a <> b")
     )
-    one = sketched.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     bits = F.map_from_arrays("sketches.band", "sketches.bits").alias("bits")
     light = cut(sketched.select("cls", "n", bits).join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")
     near = cut(_near(first, light, rule), "near")
-    tested, sets = _verified(near, docs, one, None, rule)
+    tested, sets = _verified(near, docs, sketched, None, rule)
     tested = cut(tested, "verified")
     parts = cut(components(tested.filter("linked").select("a", "b")), "components")
 
-    reach = 1
+    left, reach = shared, 1
     while True:
-        placed = cut(shared.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "placed")
+        placed = left.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        placed = cut(placed, "placed")
         open_ = placed.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("cls").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members"))
         # Of words that the same classes share, one will do.
         open_ = cut(open_.filter("low < high").groupBy("size", "members", "low", "high").agg(F.min("word").alias("word")).select("word", "size"), "open-words")
-        pairs = _few(placed, open_).unionByName(_many(placed, open_, light, tested, rule, reach)).distinct()
+        many = cut(_many(placed, open_, light, tested, rule, reach), "near-pairs")
+        pairs = _few(placed, open_).unionByName(many.filter("a is not null").select("a", "b")).distinct()
         pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         near = cut(_near(pairs, light, rule), "near")
-        if near.isEmpty():
-            break
-        more, sets = _verified(near, docs, one, sets, rule)
+        more, sets = _verified(near, docs, sketched, sets, rule)
         more = cut(more, "verified")
         tested, reach = cut(tested.unionByName(more), "tested"), reach * 8
         if not more.filter("linked").isEmpty():
             parts = cut(components(tested.filter("linked").select("a", "b")), "components")
+        # Only groups with near pairs that are still untested come again.
+        again = many.filter("word is not null").select("word").distinct()
+        if again.isEmpty():
+            break
+        left = cut(left.join(again, "word", "left_semi"), "left-words")
 
     label = sketched.select("doc_id", "text_hash", "n", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = label.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
