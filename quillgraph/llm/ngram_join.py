@@ -38,7 +38,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +50,8 @@ BLOCK_ROWS = 1024
 FEW, PACK_ROWS = 6, 4000
 #: Near pairs of a block that are all tested, for each of its rows; 64-bit words that one comparison holds.
 ALL_PER_ROW, HELD_WORDS = 4, 4_000_000
-#: Words of the corpus whose hashes a worker keeps.
-KEPT_WORDS = 400_000
+#: Words of a text that are hashed at once.
+WORDS_AT_ONCE = 100_000
 #: Chosen documents (24 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -79,32 +78,39 @@ class Rule:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHash()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of the whole text.
+#: A-Z to lower case, other white space to a space.
+_PLAIN = bytes(0x20 if 0x09 <= c <= 0x0D else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-    Of bytes, ``lower`` changes A-Z alone and ``split`` cuts at ``[\\x20\\x09-\\x0D]`` alone.
-    """
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of the whole text: the sum of mixed (byte, place) pairs, mixed with the length."""
+    data = np.frombuffer((text or "").encode().translate(_PLAIN), np.uint8)
+    gap = np.r_[True, data == 0x20]
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), WORDS_AT_ONCE):
+        first = starts[k : k + WORDS_AT_ONCE]
+        end = starts[k + WORDS_AT_ONCE] if k + WORDS_AT_ONCE < len(starts) else len(data)
+        part, at = data[first[0] : end], first - first[0]
+        place = np.arange(len(part)) - np.repeat(at, np.diff(at, append=len(part)))
+        mixed = _mix((part + (place << 8) + 1).astype(np.uint64))
+        inside = part != 0x20
+        mixed[~inside] = 0
+        out[k : k + WORDS_AT_ONCE] = _mix(np.add.reduceat(mixed, at) + np.add.reduceat(inside, at, dtype=np.uint64))
+    return out
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of the whole text."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(words, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
@@ -113,12 +119,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """``size`` blocks: the XOR of each block's hashes, and eight parity bits for each block."""
-    slot = ((hashes >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    at, first = np.unique(slot[order], return_index=True)
+    """``size`` blocks of sorted hashes: the XOR of each block's hashes, and eight parity bits for each block."""
+    slot = ((hashes >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)  # rises with the hash
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
     words = np.zeros(size, np.uint64)
-    words[at] = np.bitwise_xor.reduceat(_mix(hashes)[order], first)
+    words[slot[first]] = np.bitwise_xor.reduceat(_mix(hashes), first)
     odd = np.bincount(slot * 8 + (hashes & np.uint64(7)).astype(np.int64), minlength=-(-size // 8) * 64) & 1
     return words, np.packbits(odd.astype(np.uint8)).view(np.int64)
 
