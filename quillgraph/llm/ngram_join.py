@@ -240,8 +240,10 @@ def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
 def _nearest(block: dict[str, np.ndarray], failed: set[tuple[int, int]], rule: Rule, reach: int) -> tuple[list[tuple[int, int]], bool]:
     """Untested near pairs of different components in one block of a word's group, and whether these are all.
 
-    They are not if there are more than ALL_PER_ROW for each row: then a
-    spanning forest of the nearest, and each class's ``reach`` nearest.
+    If there are more than ALL_PER_ROW for each row, a spanning forest of the
+    nearest, and each class's ``reach`` nearest. ``failed``: pairs tested and
+    not linked, whether near in all bands or not; with them left out, every
+    round that is not the last tests a pair more.
     """
     left, right = ({k: v[block["side"] != other] for k, v in block.items()} for other in (1, 0))
     if not len(left["cls"]) or not len(right["cls"]):
@@ -280,7 +282,7 @@ def _nearest(block: dict[str, np.ndarray], failed: set[tuple[int, int]], rule: R
             root[x] = y
             used.update(p)
             out.append(p)
-    return out, False
+    return out, len(out) == len(pairs)
 
 
 def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
@@ -307,7 +309,7 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     if not count:
         return placed.sparkSession.createDataFrame([], "a long, b long, word long")
     band = F.col("word").bitwiseAND(255).cast("int")
-    failed = tested.filter("near and not linked").groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("failed"))
+    failed = tested.filter("not linked").groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("failed"))
     in_main = F.col("component") == F.col("main")
     deal = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
     # Blocks of the rest come first, those of the largest component after them.

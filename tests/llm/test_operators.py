@@ -75,6 +75,21 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == _brute(texts, rule)
 
 
+def test_ngram_join_ends_on_pairs_near_in_one_band_only(spark, monkeypatch):
+    """A large family just under the limit (123 of 137 shingles), each text in two bands."""
+    rounds, many = [], ngram_join._many
+
+    def counted(*args):
+        rounds.append(args)
+        assert len(rounds) < 6, "the rounds do not end"
+        return many(*args)
+
+    monkeypatch.setattr(ngram_join, "_many", counted)
+    texts = [" ".join([f"w{j}" for j in range(125)] + [f"x{k}y{j}" for j in range(7)]) for k in range(120)]
+    rows = ngram_join.jaccard_components(_docs(spark, texts), ngram_join.Rule(3, 90, 100)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {k: (130, k) for k in range(120)}
+
+
 def test_myers():
     def plain(item, text):
         row = [0] * (len(text) + 1)
