@@ -403,3 +403,66 @@ def _(spark, d):
 def _(spark, d):
     rows = S.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.windowed_counts(rows).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# Over all mentions and ids: the queries of these names without "_all" keep articles before 1995-03-01 or few ids.
+def _whole(name):
+    return ORACLES[name].removeprefix(BASE).replace("early", "dated").replace(" WHERE l_orderkey < 500", "")
+
+
+def _all_edges(spark, d):
+    return G.edges_of(S.dated_mentions(spark, d), S.dictionary(spark, d))
+
+
+@query("graph_edges_all", _whole("graph_edges"))
+def _(spark, d):
+    return _all_edges(spark, d)
+
+
+@query("graph_type_counts_all", _whole("graph_type_counts"))
+def _(spark, d):
+    return G.nodes_of(_all_edges(spark, d)).groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("degree_centrality_all", _whole("degree_centrality"))
+def _(spark, d):
+    return G.degree_centrality(_all_edges(spark, d))
+
+
+@query("ego_two_hop_all", _whole("ego_two_hop"))
+def _(spark, d):
+    return G.ego(_all_edges(spark, d), spark.createDataFrame([("event_1-URGENT",)], "node_id string"))
+
+
+@query("layer_split_all", _whole("layer_split"))
+def _(spark, d):
+    layer = F.when(F.col("relation").isin("mentions", "belongs_to"), "CORE").when(F.col("relation") == "has_sentiment", "SEMANTIC").otherwise("DERIVED")
+    return _all_edges(spark, d).groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("neo4j_nodes_all", _whole("neo4j_nodes"))
+def _(spark, d):
+    return K.bulk_nodes(G.nodes_of(_all_edges(spark, d)))
+
+
+@query("manifest_digest_all")
+def _(spark, d):
+    return K.digest(_all_edges(spark, d))
+
+
+@query("comention_first_seen_all", _whole("comention_first_seen"))
+def _(spark, d):
+    return R.co_mentions(S.dated_mentions(spark, d))
+
+
+@query("industry30_all", _whole("industry30"))
+def _(spark, d):
+    return W.industry_history(S.dated_mentions(spark, d), S.dictionary(spark, d))
+
+
+@query("batch_progress_all", _whole("batch_progress"))
+def _(spark, d):
+    ids = S.table(spark, d, "lineitem").select((F.col("l_orderkey") + 100000 * F.floor(F.col("l_linenumber") / 7)).alias("id")).distinct()
+    a = S.articles(spark, d)
+    j = ids.join(a, ids["id"] == a["news_id"], "left")
+    return j.agg(F.count(F.lit(1)).alias("total"), F.count("status").alias("known"), F.count_if(F.col("status").isNull() | (F.col("status") == "F")).alias("done"))
