@@ -2,10 +2,15 @@
 
 A text is normalised (lower case, runs of other signs than letters and digits
 become one blank) and compared to licence templates line by line, paragraph by
-paragraph and as a whole. For sets A and B of bigrams, Dice is
-2|A and B| / (|A| + |B|), which is at most 2 min / (|A| + |B|): so a unit is
-only compared to templates whose size lies within that bound, and only if it
-shares a bigram with any.
+paragraph, as a whole, by runs of consecutive sentences over lines and
+paragraphs, and by windows of as many words as the template has. For sets A and
+B of bigrams, Dice is 2|A and B| / (|A| + |B|), which is at most
+2 min / (|A| + |B|): so a run ends where its words pass that bound. A template
+at the limit shares at least limit / (2 - limit) of its bigrams with the text:
+others are not compared.
+
+Templates of which one is found in the other, but not wholly, are close. Where
+spans of close templates overlap, only the one of the higher coefficient counts.
 
 Defined cases: a null text has no units. Of a template's equal scores in one
 document the first line counts. Each row is scanned by itself, so repeated rows
@@ -15,7 +20,9 @@ table.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator, Mapping
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -43,6 +50,7 @@ TEMPLATES = {
 }
 LIMIT = 0.8
 _GAP = regex.compile(r"[^\p{L}\p{N}\n]+")
+_SENTENCE = regex.compile(r"(?<=[.!?])\s+")
 
 
 def normal(text: str) -> str:
@@ -56,47 +64,100 @@ def bigrams(words: list[str]) -> set[tuple[str, str]]:
 class Matcher:
     def __init__(self, templates: Mapping[str, str] = TEMPLATES, limit: float = LIMIT):
         self.limit = limit
-        self.sets = {k: bigrams(normal(v).split()) for k, v in templates.items()}
+        words = {k: normal(v).split() for k, v in templates.items()}
+        self.sizes = {k: len(v) - 1 for k, v in words.items()}
+        self.sets = {k: bigrams(v) for k, v in words.items()}
         self.any = frozenset().union(*self.sets.values())
-        self.least = min(map(len, self.sets.values())) * limit / (2 - limit)
-
-    def _fits(self, n: int, m: int) -> bool:
-        return 2 * min(n, m) >= self.limit * (n + m) - 1e-12
-
-    def unit(self, words: list[str]) -> Iterator[tuple[str, float]]:
-        """Templates at ``limit`` or above, with their Dice coefficient."""
-        if len(words) - 1 < self.least:
-            return
-        own = bigrams(words)
-        if own.isdisjoint(self.any):
-            return
-        for name, template in self.sets.items():
-            if self._fits(len(own), len(template)):
-                dice = 2 * len(own & template) / (len(own) + len(template))
-                if dice >= self.limit:
-                    yield name, dice
-
-    def scan(self, text: str | None) -> dict[str, tuple[float, int, int]]:
-        """For each template found: best Dice, first and last line (from 0)."""
-        lines = [line.split() for line in normal(text or "").split("\n")]
-        best: dict[str, tuple[float, int, int]] = {}
-
-        def note(words: list[str], first: int, last: int) -> None:
-            for name, dice in self.unit(words):
-                if name not in best or dice > best[name][0]:
-                    best[name] = (dice, first, last)
-
-        for k, words in enumerate(lines):
-            note(words, k, k)
-        start, blocks = 0, 0
+        self.least = {k: limit / (2 - limit) * len(v) - 1e-9 for k, v in self.sets.items()}
+        self.close: dict[str, set[str]] = {k: set() for k in templates}
+        for one, text in templates.items():
+            for other, spans in self.spans(text)[0].items():
+                if other != one and spans[0][0] < 1:
+                    self.close[one].add(other)
+                    self.close[other].add(one)
+
+    def spans(self, text: str) -> tuple[dict[str, list[tuple[float, int, int]]], list[int]]:
+        """For each template found: Dice, first and last word of spans apart from each other, best first; and each word's line."""
+        lines = [line.split() for line in normal(text).split("\n")]
+        words = [w for line in lines for w in line]
+        pairs = list(zip(words, words[1:]))
+        shared = self.any.intersection(pairs)
+        names = [k for k, v in self.sets.items() if shared and len(shared & v) >= self.least[k]]
+        if not names:
+            return {}, []
+        at = [k for k, line in enumerate(lines) for _ in line]
+        starts = [0, *accumulate(map(len, lines))]
+        # Units that are compared whatever their length: lines, paragraphs, the whole text.
+        units = [(starts[k], starts[k + 1] - 1) for k in range(len(lines))] + [(0, len(words) - 1)]
+        start = 0
         for k in range(len(lines) + 1):
             if k == len(lines) or not lines[k]:
-                if k - start > 1:
-                    note([w for line in lines[start:k] for w in line], start, k - 1)
-                blocks += k > start
+                units.append((starts[start], starts[k] - 1))
                 start = k + 1
-        if blocks > 1:
-            note([w for line in lines for w in line], 0, len(lines) - 1)
+        units = sorted({u for u in units if u[1] > u[0]})
+        ends = []  # one beyond the last word of each sentence
+        for line in text.lower().split("\n"):
+            for part in _SENTENCE.split(line):
+                n = len(_GAP.sub(" ", part).split())
+                if n:
+                    ends.append(n)
+        ends = list(accumulate(ends))
+        return {k: found for k in names if (found := self._apart(self._found(k, pairs, units, ends)))}, at
+
+    def _found(self, name: str, pairs: list, units: list[tuple[int, int]], ends: list[int]) -> list[tuple[float, int, int]]:
+        template, size, least = self.sets[name], self.sizes[name], self.least[name]
+        hits = [0, *accumulate(p in template for p in pairs)]
+        out = []
+
+        def note(own: set, first: int, last: int) -> None:
+            dice = 2 * len(own & template) / (len(own) + len(template))
+            if dice >= self.limit:
+                out.append((dice, first, last))
+
+        for first, last in units:
+            if hits[last] - hits[first] >= least:
+                note(set(pairs[first:last]), first, last)
+        for first in range(max(0, len(pairs) - size + 1)):
+            last = first + size
+            if hits[last] - hits[first] >= least and (pairs[first] in template or pairs[last - 1] in template):
+                note(set(pairs[first:last]), first, last)
+        most = size * (2 - self.limit) / self.limit
+        begins = [0, *ends[:-1]]
+        for k, first in enumerate(begins):
+            if hits[min(len(pairs), first + int(most))] - hits[first] < least or hits[min(len(pairs), ends[k])] == hits[first]:
+                continue
+            own: set = set()
+            done = first
+            for end in ends[k:]:
+                if end - 1 - first > most:
+                    break
+                own.update(pairs[done : end - 1])
+                grew, done = hits[end - 1] > hits[done], end - 1
+                if grew and hits[done] - hits[first] >= least:
+                    note(own, first, done)
+        return out
+
+    @staticmethod
+    def _apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+        """Best first, without those that overlap a better one."""
+        kept, taken = [], []  # taken: (first, last) in order
+        for one in sorted(set(found), key=lambda x: (-x[0], x[1], x[2])):
+            k = bisect(taken, one[1:])
+            if (k == 0 or taken[k - 1][1] < one[1]) and (k == len(taken) or one[2] < taken[k][0]):
+                taken.insert(k, one[1:])
+                kept.append(one)
+        return kept
+
+    def scan(self, text: str | None) -> dict[str, tuple[float, int, int]]:
+        """For each template found: best Dice, first and last line (from 0)."""
+        found, at = self.spans(text or "")
+        best = {}
+        for name, spans in found.items():
+            rivals = [x for other in self.close[name] for x in found.get(other, ())]
+            for dice, first, last in spans:
+                if not any(x[0] > dice and x[1] <= last and first <= x[2] for x in rivals):
+                    best[name] = (dice, at[first], at[last])
+                    break
         return best
 
 

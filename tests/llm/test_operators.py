@@ -128,6 +128,22 @@ def test_licenses(spark):
     assert [(r.doc_id, r.template, r.first_line) for r in got] == [(0, "MIT-notice", 1)]
 
 
+def test_licenses_within_longer_texts():
+    m, t = licenses.Matcher(), licenses.TEMPLATES
+    code = "\n".join(f"value_{k} = compute({k}) + other_{k}" for k in range(60))
+    mit = t["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    assert mit.count("\n\n") == 2
+    found = m.scan(f"{code}\n{mit}\n\n{code}")
+    assert set(found) == {"MIT"} and found["MIT"][1:] == (60, 64)
+    gpl = t["GPL-3.0"].replace("version. This", "version.\n\nThis")
+    assert set(m.scan(f"{gpl}\n\n{code}")) == {"GPL-3.0"}
+    assert set(m.scan(f"{t['GPL-2.0']}\n\n{code}")) == {"GPL-2.0"}
+    for line in ("Some words stand here before it. Released under the MIT License. More words stand after it.", "some words here released under the MIT license and more words after it"):
+        assert set(m.scan(f"a\n{line}\nb")) == {"MIT-notice"} and m.scan(f"a\n{line}\nb")["MIT-notice"][1:] == (1, 1)
+    assert set(m.scan(f"{code}\n{t['GPL-3.0']}\n{code}\n{t['GPL-2.0']}")) == {"GPL-3.0", "GPL-2.0"}
+    assert m.scan(code) == m.scan("") == {}
+
+
 def test_nearest(spark):
     v = np.random.default_rng(2).normal(size=(300, 8)).round(3)
     rows = [(i, [float(x) for x in r], 1) for i, r in enumerate(v)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, [float(x) for x in v[0]], 2)]
