@@ -7,10 +7,11 @@ bands; a document enters its own band, and the next one if a partner can be
 there. In a band, shingles are XOR-hashed into a sketch of B blocks: each block
 has the XOR of its shingles' 64-bit codes as its word, and eight parity bits.
 The Hamming distance of the parity bits never exceeds the symmetric difference,
-and d differing shingles leave some block alike, so equal words in equal places
-find all pairs (pigeonhole). Blocks without a shingle tell nothing: a document
-leaves them out as long as more than d others remain, in which case one of
-those must be alike.
+and d differing shingles leave all but d blocks alike (pigeonhole). So in any
+order of the words that is the same for all documents, two linked documents
+share one of their first d + 1. The order goes by how many classes hold a word,
+rarest first, and blocks without a shingle last: a document's most frequent
+words beyond d + 1 drop out, and words of one class alone need no partner.
 
 Copies of one set are one class. Of the documents that share a word, each is
 first compared exactly to the one that shares most words with others. Where a
@@ -38,10 +39,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut
+from quillgraph.llm.common import cut, forget, fresh
 from quillgraph.llm.components import components
 
 #: Documents of a word's group that one task compares with as many others.
@@ -73,6 +74,10 @@ class Rule:
             low = out[-1] + 1
         return out
 
+    def need(self, n: int, end: int) -> int:
+        """Words of a sketch of a band up to ``end`` of which a set of size n shares one with each partner."""
+        return self.apart(n, min(end, n * self.den // self.num)) + 1
+
     def apart(self, a, b):
         """The largest symmetric difference of linked sets of these sizes."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
@@ -128,14 +133,14 @@ def sketch(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return words, np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def band_sketches(hashes: np.ndarray, rule: Rule, ends: list[int]) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """The document's bands, each with its sketch."""
+def band_sketches(hashes: np.ndarray, rule: Rule, ends: list[int]) -> list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]:
+    """The document's bands, its own first, each with the number of words it needs and its sketch."""
     n = len(hashes)
     if not n:
         return []
     home = bisect_left(ends, n)
     bands = [home] + ([home + 1] if n * rule.den >= rule.num * (ends[home] + 1) else [])
-    return [(k, sketch(hashes, rule.apart(ends[k], ends[k]) + 1)) for k in bands]
+    return [(k, rule.need(n, ends[k]), sketch(hashes, rule.apart(ends[k], ends[k]) + 1)) for k in bands]
 
 
 def _offsets(parts: list) -> pa.Array:
@@ -148,10 +153,12 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
+    """A row for each document; of a task's copies of one set only the first has sketches."""
     ends = rule.ends()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
@@ -159,31 +166,44 @@ def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
                 for text in part["text"].to_pylist():
                     h = shingles(text, rule.words)
                     with np.errstate(over="ignore"):
-                        label = _mix(_mix(h + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(h))) if len(h) else np.uint64(0)
+                        label = int((_mix(_mix(h + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(h))) if len(h) else np.uint64(0)).view(np.int64))
                     n.append(len(h))
                     labels.append(label)
-                    found.append(band_sketches(h, rule, ends))
+                    found.append([] if label in seen else band_sketches(h, rule, ends))
+                    seen.add(label)
                 flat = [x for own in found for x in own]
                 sketches = pa.StructArray.from_arrays(
-                    [pa.array([k for k, _ in flat], pa.int32()), _lists([w.view(np.int64) for _, (w, _) in flat]), _lists([p for _, (_, p) in flat])], ["band", "words", "bits"]
+                    [pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)] + [_lists([x[2][k].view(np.int64) for x in flat]) for k in (0, 1)], ["band", "need", "words", "bits"]
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["text_hash"], pa.array(n, pa.int64()), pa.array(np.array(labels, np.uint64).view(np.int64)), pa.ListArray.from_arrays(_offsets(found), sketches)],
+                    [part["doc_id"], part["text_hash"], pa.array(n, pa.int64()), pa.array(labels, pa.int64()), pa.ListArray.from_arrays(_offsets(found), sketches)],
                     ["doc_id", "text_hash", "n", "cls", "sketches"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, cls long, sketches array<struct<band int, words array<long>, bits array<long>>>")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, cls long, sketches array<struct<band int, need int, words array<long>, bits array<long>>>")
 
 
-def _words(sketched: DataFrame, rule: Rule) -> DataFrame:
-    """(word, cls): one row for each telling word of a sketch. The word's last byte is its band."""
-    ends = rule.ends()
-    most = F.element_at(F.array(*[F.lit(rule.apart(e, e)) for e in ends[:64]]), F.col("s.band") + 1)
+def _words(sketched: DataFrame) -> DataFrame:
+    """(word, cls): one row for each telling word of a sketch. The word's last byte is its band; its sign bit marks an empty block."""
     each = sketched.select("cls", F.explode("sketches").alias("s"))
-    each = each.select("cls", F.col("s.band").alias("band"), F.col("s.words").alias("words"), (F.size(F.filter("s.words", lambda w: w != 0)) <= most).alias("sparse"))
+    each = each.select("cls", F.col("s.band").alias("band"), F.col("s.words").alias("words"), (_held("s.words") < F.col("s.need")).alias("sparse"))
     each = each.select("cls", "band", "sparse", F.posexplode("words").alias("place", "code")).filter("code <> 0 or sparse")
-    return each.select(F.shiftleft(F.xxhash64("place", "code", "band"), 8).bitwiseOR(F.col("band").cast("long")).alias("word"), "cls")
+    word = F.shiftleft(F.xxhash64("place", "code", "band"), 8).bitwiseAND((1 << 63) - 1).bitwiseOR(F.col("band").cast("long"))
+    return each.select(F.when(F.col("code") == 0, word.bitwiseOR(-(1 << 63))).otherwise(word).alias("word"), "cls")
+
+
+def _held(words):
+    """How many blocks of a sketch hold a shingle."""
+    return F.size(F.filter(words, lambda w: w != 0))
+
+
+def _needed(shared: DataFrame, light: DataFrame) -> DataFrame:
+    """(word, cls): the shared words of a class but for its most frequent ones beyond what it needs."""
+    bands = light.select("cls", F.explode("bands").alias("b")).select("cls", F.col("b.band").alias("band"), F.col("b.spare").alias("spare"))
+    rows = shared.withColumn("band", F.col("word").bitwiseAND(255).cast("int")).join(bands, ["cls", "band"])
+    frequent = Window.partitionBy("cls", "band").orderBy(F.col("word") >= 0, F.desc("holders"), "word")
+    return rows.withColumn("place", F.row_number().over(frequent)).filter("place > spare").select("word", "cls")
 
 
 def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
@@ -198,14 +218,14 @@ def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("a", "b", F.coalesce(fits & (far * (rule.den + rule.num) <= bound), F.lit(False)).alias("near"))
 
 
-def _verified(near: DataFrame, docs: DataFrame, sketched: DataFrame, sets: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+def _verified(near: DataFrame, docs: DataFrame, label: DataFrame, sets: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, near, linked) for pairs marked near or not, and the exact sets so far; these decide on the near ones."""
     close = near.filter("near").select("a", "b")
     far = near.filter("not near").withColumn("linked", F.lit(False))
     needed = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
     if sets is not None:
         needed = needed.join(sets.select("cls"), "cls", "left_anti")
-    needed = sketched.select("cls", "doc_id", "text_hash").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    needed = label.select("cls", "doc_id", "text_hash").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     needed = cut(needed.select("cls", "row.doc_id", "row.text_hash"), "needed")
     count = needed.count()
     if count:
@@ -341,14 +361,22 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     return rows.groupBy(F.pmod(F.xxhash64("word", "low", "high"), F.lit(packs)).alias("pack")).applyInPandas(work, "a long, b long, word long")
 
 
-def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for each row of ``docs``."""
+def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, text_hash, n (size of the set), component (one of its classes) for each row of ``docs``."""
     docs = docs.select("doc_id", "text")
     sketched = cut(_sketched(docs, rule), "sketches")
-    # One shuffle serves both uses of the words. A class has at most one row for a word.
-    words = _words(sketched, rule).repartition("word")
-    shared = words.groupBy("word").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("word")
-    shared = cut(words.join(shared.hint("merge"), "word").distinct(), "shared-words")
+    label = cut(sketched.select("doc_id", "text_hash", "n", "cls"), "labels")
+    # Copies in different tasks may still bring a class's word more than once.
+    words = _words(sketched).repartition("word").withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("all > 1").select("word", "cls").distinct()
+    shared = cut(words.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("holders > 1"), "shared-words")
+    # Without enough words of blocks with a shingle, those of the others count too.
+    sent = lambda s: F.when(_held(s["words"]) < s["need"], F.size(s["words"])).otherwise(_held(s["words"]))
+    spare = F.transform("sketches", lambda s: F.struct(s["band"].alias("band"), (sent(s) - s["need"]).alias("spare")))
+    light = sketched.filter(F.size("sketches") > 0).select("cls", "n", spare.alias("bands"), F.map_from_arrays("sketches.band", "sketches.bits").alias("bits"))
+    light = cut(light.join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")
+    forget(sketched)
+    frequent, shared = shared, cut(_needed(shared, light), "rare-words")
+    forget(frequent)
 
     # The class that shares most words with others leads each group.
     sizes = shared.groupBy("word").agg(F.count("cls").alias("size"))
@@ -358,10 +386,8 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
         shared.join(leads, "word").groupBy("cls").agg(F.max("lead").alias("lead"))
         .select(F.col("cls").alias("a"), (-F.col("lead.cls")).alias("b")).filter("a <> b")
     )
-    bits = F.map_from_arrays("sketches.band", "sketches.bits").alias("bits")
-    light = cut(sketched.select("cls", "n", bits).join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")
     near = cut(_near(first, light, rule), "near")
-    tested, sets = _verified(near, docs, sketched, None, rule)
+    tested, sets = _verified(near, docs, label, None, rule)
     tested = cut(tested, "verified")
     parts = cut(components(tested.filter("linked").select("a", "b")), "components")
 
@@ -376,18 +402,25 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
         pairs = _few(placed, open_).unionByName(many.filter("a is not null").select("a", "b")).distinct()
         pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         near = cut(_near(pairs, light, rule), "near")
-        more, sets = _verified(near, docs, sketched, sets, rule)
+        more, sets = _verified(near, docs, label, sets, rule)
         more = cut(more, "verified")
-        tested, reach = cut(tested.unionByName(more), "tested"), reach * 8
+        before, tested, reach = tested, cut(tested.unionByName(more), "tested"), reach * 8
         if not more.filter("linked").isEmpty():
             parts = cut(components(tested.filter("linked").select("a", "b")), "components")
         # Only groups with near pairs that are still untested come again.
         again = many.filter("word is not null").select("word").distinct()
-        if again.isEmpty():
+        done = again.isEmpty()
+        if not done:
+            left = cut(left.join(again, "word", "left_semi"), "left-words")
+        forget(placed, open_, many, near, more, before)
+        if done:
             break
-        left = cut(left.join(again, "word", "left_semi"), "left-words")
+    return label.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "cls").alias("component"))
+
 
-    label = sketched.select("doc_id", "text_hash", "n", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id for each row of ``docs``."""
+    label = _labelled(docs, rule)
     smallest = label.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     # A component may hold a third of all rows: adaptive execution splits the larger side.
     out = label.join(smallest.hint("merge"), "component", "left")
@@ -400,7 +433,23 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group; five words and 0.8 unless ``rule`` says otherwise."""
-    found = jaccard_components(docs, rule or Rule()).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_hash")), "left_semi")
+    """One row of ``docs`` for each group, and every row without words; five words and 0.8 unless ``rule`` says otherwise.
+
+    The row with the smallest doc_id stays (a null one only if there is no
+    other), of those the one with the smallest hash of its text, of equal texts
+    the first by the row's JSON form.
+    """
+    label = cut(_labelled(docs, rule or Rule()), "groups")
+    chosen = label.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")).alias("row")).select("row.doc_id", "row.text_hash")
+    rows = label.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash"))
+    kept = rows.join(chosen.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), same, "left_semi").unionByName(rows.filter("n = 0"))
+    kept_id, kept_hash = fresh("kept_id", docs), fresh("kept_hash", docs)
+    kept = cut(kept.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash), (F.col("rows") > 1).alias("several"), "n"), "kept-rows")
+    those = lambda which: docs.join(kept.filter(which).drop("several", "n"), docs["doc_id"].eqNullSafe(F.col(kept_id)) & (F.xxhash64(docs["text"]) == F.col(kept_hash)), "left_semi")
+    out, repeated = those("not several or n = 0"), "several and n > 0"
+    if kept.filter(repeated).isEmpty():
+        return out
+    place = fresh("place", docs)
+    first = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*[docs[c] for c in docs.columns])))
+    return out.unionByName(those(repeated).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place))
