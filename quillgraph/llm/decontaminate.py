@@ -7,13 +7,16 @@ distance decides whether the whole item lies there within k edits. Texts are
 compared in lower case with runs of white space as one blank.
 
 The items are the query set. They go to the tasks in blocks of bounded size
-(``block_chars``); a larger benchmark means more blocks over all documents.
+(``block_chars``): a larger benchmark means more passes over all documents. Each
+pass is written and its block freed before the next, so that the driver and the
+tasks hold one block at a time.
 
 Defined cases: null and empty items and texts match nothing. Equal items match
 alike, each under its own item_id; rows that repeat an item_id with other texts
 are items of their own. Of an item's matches in a document the nearest counts,
-then the first. Each document row is searched by itself. Empty tables give an
-empty result.
+then the first. Each document row is searched by itself, so repeated rows and
+null ids pass through, and so do their columns. Empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import cut, each_found, only
+
 ERROR_RATE = 0.08
 #: Pieces shorter than this would hit by chance too often; an item short of it gets fewer edits.
 LEAST_PIECE = 10
@@ -131,20 +135,45 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int,
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """op7: doc_id, item_id, distance, item_length, end for each benchmark item found in a row of ``docs``."""
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, distance int, item_length int, end int"
-    context, out = docs.sparkSession.sparkContext, docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark, block_chars):
+    context, out, blocks = docs.sparkSession.sparkContext, None, _blocks(benchmark, block_chars)
+    block = next(blocks, ())
+    while True:
         sent = context.broadcast(block)  # bounded by block_chars
 
-        def work(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def make(sent=sent):
             finder = _finder(sent.value, error_rate)
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                    for number, (distance, end) in sorted(finder.find(text).items()):
-                        rows.append((doc_id, finder.items[number][0], distance, len(finder.items[number][1]), end))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_length", "end"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(work, schema))
-    return out
+
+            def find(texts):
+                rows = [(k, number, distance, len(finder.items[number][1]), end) for k, text in enumerate(texts) for number, (distance, end) in sorted(finder.find(text).items())]
+                return tuple(zip(*rows)) or ((), (), (), (), ())
+
+            return find
+
+        found = each_found(docs, ["doc_id"], make, {"item": "int", "distance": "int", "item_length": "int", "end": "int"})
+        # Items go by their place in the block; their ids, of whatever type, come back by a join with as many rows.
+        ids = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], f"item int, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
+        found = found.join(F.broadcast(ids), "item").select("doc_id", "item_id", "distance", "item_length", "end")
+        block = next(blocks, None)
+        if block is None:
+            return found if out is None else out.unionByName(found)
+        found = cut(found, "leaks")
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, each judged by its own text, that hold no benchmark item."""
+    blocks = _blocks(benchmark, block_chars)
+    block = next(blocks, ())
+    while True:
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_chars
+
+        def make(sent=sent):
+            finder = _finder(sent.value, error_rate)
+            return lambda texts: [not finder.find(t) for t in texts]
+
+        docs, block = only(docs, make), next(blocks, None)
+        if block is None:
+            return docs
+        docs = cut(docs, "without-leaks")
+        sent.destroy()

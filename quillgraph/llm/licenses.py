@@ -21,13 +21,14 @@ table.
 from __future__ import annotations
 
 from bisect import bisect
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from itertools import accumulate
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from quillgraph.llm.common import each_found
+
 #: Licence notices as they are commonly written.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -163,13 +164,15 @@ class Matcher:
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, limit: float = LIMIT) -> DataFrame:
     """op10: doc_id, template, dice, first_line, last_line for each licence found in a row of ``docs``."""
-    kind, templates = docs.schema["doc_id"].dataType.simpleString(), dict(templates)
-    columns = ["doc_id", "template", "dice", "first_line", "last_line"]
+    templates = dict(templates)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         matcher = Matcher(templates, limit)
-        for batch in batches:
-            rows = [(i, name, *found) for i, text in zip(batch["doc_id"], batch["text"]) for name, found in sorted(matcher.scan(text).items())]
-            yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, template string, dice double, first_line int, last_line int")
+        def find(texts):
+            rows = [(k, name, *found) for k, text in enumerate(texts) for name, found in sorted(matcher.scan(text).items())]
+            return tuple(zip(*rows)) or ((), (), (), (), ())
+
+        return find
+
+    return each_found(docs, ["doc_id"], make, {"template": "string", "dice": "double", "first_line": "int", "last_line": "int"})

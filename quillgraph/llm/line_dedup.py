@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACE, cut, lower_ascii, partitions
+from quillgraph.llm.common import SPACE, cut, fresh, lower_ascii, partitions
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -114,52 +114,62 @@ def _line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with repeated lines dropped from ``text``, plus n_lines and n_dropped.
-
-    Keys of ``min_chars`` code points or more that ``min_docs`` documents hold
-    lose all their lines but those in the largest doc_id that holds them.
-    """
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the new text and the number of lines before and dropped, in columns of names that it did not have."""
     spark = docs.sparkSession
+    names = {c: fresh(c, docs) for c in ("gone", "gone_id", "gone_hash", "n_lines", "n_dropped")}
+    gone, gone_id, gone_hash = (names[c] for c in ("gone", "gone_id", "gone_hash"))
     keys = cut(_line_keys(docs, min_chars), "line-keys")
     # Only the ends of the batches come from the sketch of quantiles; every row is in one batch.
     ends = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
     doc_id, above, runs = F.col("doc_id"), None, LineRuns(spark, fanout)
-    for end in [*ends, None]:
-        here = F.lit(True) if end is None else doc_id >= int(end)
-        if above is not None:
-            here = here & (doc_id.isNull() | (doc_id < int(above)))
-        runs.absorb(keys.filter(here))
-        above = end
-    verdict = cut(summed(runs.rows()).filter((F.col("docs") >= min_docs) & F.col("keeper").isNotNull()).drop("docs"), "line-verdict")
-    runs.close()
+    try:
+        for end in [*ends, None]:
+            here = F.lit(True) if end is None else doc_id >= int(end)
+            if above is not None:
+                here = here & (doc_id.isNull() | (doc_id < int(above)))
+            runs.absorb(keys.filter(here))
+            above = end
+        verdict = cut(summed(runs.rows()).filter((F.col("docs") >= min_docs) & F.col("keeper").isNotNull()).drop("docs"), "line-verdict")
+    finally:
+        runs.close()
     # One key may hold a third of all lines: both sides are shuffled, so that adaptive execution splits it.
     dropped = (
         keys.join(verdict.hint("merge"), ["h1", "h2"])
         .filter(~doc_id.eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
-        .withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+        .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias(gone))
+        .withColumnsRenamed({"doc_id": gone_id, "text_hash": gone_hash})
     )
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    joined = docs.select(*own).join(
-        dropped.hint("shuffle_hash"),
-        doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")),
-        "left",
-    )
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    return joined.select(
-        *[kept.alias("text") if c == "text" else F.col(c) for c in own],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    joined = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_hash)), "left")
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
+    out = joined.select(
+        *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.size(lines).cast("long").alias(names["n_lines"]),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(names["n_dropped"]),
     )
+    return out, names
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """``docs`` with repeated lines dropped from ``text``, plus n_lines and n_dropped.
+
+    Keys of ``min_chars`` code points or more that ``min_docs`` documents hold
+    lose all their lines but those in the largest doc_id that holds them.
+    """
+    return _deduped(docs.drop("n_lines", "n_dropped"), min_chars, min_docs, batches, fanout)[0]
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """As ``dedup_lines``, with the columns of ``docs`` and no others."""
+    return _deduped(docs, min_chars, min_docs, batches, fanout)[0].select(*docs.columns)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """op5: doc_id, n_lines, n_dropped, kept_sha256."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 LINE_DEDUP_SQL = """

@@ -8,22 +8,24 @@ batch of documents walks all trees at once with numpy indexing.
 Defined cases: a null text counts as empty and gets the score of an empty
 text. Each row is scored by itself, so repeated rows and null ids pass through.
 Labels that are null, other than 0 or 1, or that contradict one another for a
-doc_id are not learnt from. With no usable labels every score is 0.5. Labels,
-lang, source and doc_id are never inputs of a score. An empty table gives an
+doc_id are not learnt from; of rows that repeat a labelled doc_id the smallest
+text is. With no usable labels every score is 0.5. Labels, lang, source and
+doc_id are never inputs of a score. Other columns pass through unchanged;
+columns named like a result column give way to it. An empty table gives an
 empty table.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import only, with_found
+
 SAMPLE_ROWS = 20_000
 FEATURES = (
     "chars", "words", "word_length", "longest_word", "short_words", "distinct_words", "top_word", "distinct_pairs", "lines", "line_length", "distinct_lines",
@@ -122,10 +124,8 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _statistics_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = pd.DataFrame([statistics(t) for t in batch["text"]], columns=list(FEATURES))
-        yield out.assign(y=batch["y"].to_numpy())
+def _matrix(texts) -> np.ndarray:
+    return np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
@@ -135,26 +135,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("top"))
         .filter("y = top").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    # At most sample_rows pairs of numbers, so this side is bounded.
-    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", F.col("y").cast("int").alias("y"))
-    found = rows.mapInPandas(_statistics_of, ", ".join(f"{f} double" for f in FEATURES) + ", y int").toPandas()
-    found = found.sort_values(list(FEATURES), kind="stable")
+    # The broadcast side has at most sample_rows rows of two numbers.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("y").cast("int").alias("y"), F.min("text").alias("text"))
+    found = with_found(rows, ["y"], lambda: lambda texts: _matrix(texts).T, {f: "double" for f in FEATURES}).toPandas()
+    found = found.sort_values([*FEATURES, "y"], kind="stable")
     return fit(found[list(FEATURES)].to_numpy(), found["y"].to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``; its other columns pass through."""
-    from pyspark.sql import types as T
 
-    docs = docs.drop("score", "predicted")
+    def find(texts):
+        score = trees.score(_matrix(texts))
+        return score, (score >= 0.5).astype(np.int32)
+
+    return with_found(docs, [c for c in docs.columns if c.lower() not in ("score", "predicted")], lambda: find, {"score": "double", "predicted": "int"})
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch["text"]]).reshape(-1, len(FEATURES))
-            score = trees.score(x)
-            yield batch.assign(score=score, predicted=(score >= 0.5).astype("int32"))
 
-    return docs.mapInPandas(work, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+def keep_quality(docs: DataFrame, trees: Trees) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more."""
+    return only(docs, lambda: lambda texts: trees.score(_matrix(texts)) >= 0.5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

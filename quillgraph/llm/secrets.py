@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, then assignments read from source and configuration syntax.
 
 The lexer finds assignment signs, reads the name before and the literals after
-each (quoted, bare, or joined by ``+``) and keeps what a plain name was last set
-to, so that ``x = "..."`` followed by ``password = x`` points at the literal of
-``x``. A literal scores by how sensitive its target's name is and by its own
-length and mix of signs. Spans are in code points, ends exclusive.
+each: quoted in one, two or three marks, bare, or the indented lines of a
+block. Literals may be joined by signs or stand side by side, over line ends and
+comments. It keeps what a plain name was last set to, so that ``x = "..."``
+followed by ``password = x`` points at the literal of ``x``. A literal scores by
+how sensitive its target's name is and by its own length and mix of signs. Spans
+are in code points, ends exclusive. Names, literals and chains of names have no
+bound but the text's.
 
 Defined cases: a null text is empty and has no spans. Each row is scanned by
 itself, so repeated rows and null ids pass through. Other columns do not enter.
@@ -17,11 +20,11 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillgraph.llm.common import with_found
+
 #: The base patterns, with the least length of what must be long.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,10 +39,17 @@ NAME_WEIGHTS = {
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "password", "secret", "example", "placeholder", "undefined", "null", "none", "true", "false", "redacted"}
 LIMIT = 1.0
-_SIGN = re.compile(r"[:=]+")
-_NAME = re.compile(r"""([A-Za-z_$][\w$.-]*)["'\]]?[ \t]*$""")
-_VALUE = re.compile(r"""[ \t>]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_$][\w$.]*)(?![\w+/=-])|([A-Za-z0-9+/_=.~-]+))""")
-_JOIN = re.compile(r"[ \t]*\+(?=[ \t]*[\"'A-Za-z_$])")
+_SIGN = re.compile(r"[:=]+>?")
+_SIGNS = ("=", ":", ":=", "=>", "==>")
+_PREFIX = re.compile(r"[ \t]*(\(\s*)?(?:[rRbBuUfF]{1,2}(?=[\"'])|@(?=\"))?")
+_QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\[\s\S])*){q}") for q in "\"'`"}
+_WORD = re.compile(r"([A-Za-z_$][\w$.]*)(?![\w+/=-])")
+_BARE = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n")
+_TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.\[\], |]*")
+_BREAK = r"(?:[ \t]*(?:(?:#|//)[^\n]*)?\\?\n)*[ \t]*"
+_JOIN = re.compile(rf"{_BREAK}(?:[+&]{_BREAK}(?=[\"'`A-Za-z_$])|\.\.?{_BREAK}(?=[\"'`]))")
+_BESIDE, _BESIDE_OPEN = re.compile(r"[ \t]*(?:\\\n[ \t]*)*(?=[\"'])"), re.compile(rf"{_BREAK}(?=[\"'])")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -61,43 +71,145 @@ def name_score(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in [*parts, *joined]), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """From 0 to 1: length and entropy of the signs; 0 for placeholders and plain words."""
-    if len(value) < 8 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or " " in value:
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 4.0) * min(1.0, n / 12) * (0.5 if kinds < 2 else 1.0)
+class Value:
+    """A literal, or values joined: its parts are (start, end) of literals and other values, its signs are counted."""
+
+    def __init__(self, parts: list, signs: Counter, short: str):
+        self.parts, self.signs, self.short = parts, signs, short
+
+    @classmethod
+    def literal(cls, text: str, start: int, end: int) -> Value:
+        return cls([(start, end)], Counter(text[start:end]), text[start : min(end, start + 16)])
+
+    @classmethod
+    def joined(cls, values: list[Value]) -> Value:
+        if len(values) == 1:
+            return values[0]
+        return cls(values, sum((v.signs for v in values), Counter()), "".join(v.short for v in values)[:16])
+
+    def score(self) -> float:
+        """From 0 to 1: length and entropy of the signs; 0 for placeholders and plain words."""
+        n = self.signs.total()
+        if n < 8 or (n <= 16 and self.short.lower() in PLACEHOLDERS) or len(self.signs) < 4 or " " in self.signs:
+            return 0.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.signs.values())
+        kinds = sum(any(map(f, self.signs)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return min(1.0, entropy / 4.0) * min(1.0, n / 12) * (0.5 if kinds < 2 else 1.0)
+
+    def spans(self, done: set[Value]) -> list[tuple[int, int]]:
+        """Spans of all literals of which it is joined; ``done`` holds the values already gone through."""
+        out, todo = [], [self]
+        while todo:
+            value = todo.pop()
+            if value not in done:
+                done.add(value)
+                for part in value.parts:
+                    (todo if isinstance(part, Value) else out).append(part)
+        return out
+
+
+class Lexer:
+    def __init__(self, text: str):
+        self.text = text
+        self.held: dict[str, Value] = {}
+        self.unclosed: set[str] = set()  # marks that do not come again
+
+    def name_before(self, at: int, least: int) -> str:
+        """The name that ends before ``at`` and the marks and brackets around it; its text is read once, back to ``least``."""
+        text = self.text
+        while at > least and text[at - 1] in " \t":
+            at -= 1
+        while at > least and text[at - 1] in "\"'])":
+            at -= 1
+        first = at
+        while first > least and (text[first - 1].isalnum() or text[first - 1] in "_$.-"):
+            first -= 1
+        while first < at and not (text[first].isalpha() or text[first] in "_$"):
+            first += 1
+        return text[first:at]
+
+    def one(self, at: int) -> tuple[Value, int, bool] | None:
+        """The literal or name at ``at``: its value, its end, whether it is quoted."""
+        text = self.text
+        mark = text[at : at + 1]
+        if mark and mark in "\"'`":
+            if mark != "`" and text.startswith(mark * 3, at) and mark * 3 not in self.unclosed:
+                end = text.find(mark * 3, at + 3)
+                if end >= 0:
+                    return Value.literal(text, at + 3, end), end + 3, True
+                self.unclosed.add(mark * 3)
+            if mark in self.unclosed:
+                return None
+            if text.find(mark, at + 1) < 0:
+                self.unclosed.add(mark)
+                return None
+            found = _QUOTED[mark].match(text, at)
+            return (Value.literal(text, *found.span(1)), found.end(), True) if found else None
+        if found := _WORD.match(text, at):
+            return self.held.get(found[1]) or Value.literal(text, *found.span(1)), found.end(), False
+        if found := _BARE.match(text, at):
+            return Value.literal(text, *found.span()), found.end(), False
+        return None
+
+    def block(self, sign: int, at: int) -> Value | None:
+        """The lines from ``at`` on that are indented further than the line of the sign."""
+        text = self.text
+        line = text[text.rfind("\n", 0, sign) + 1 : sign]
+        indent, parts = len(line) - len(line.lstrip()), []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            own = text[at:end]
+            if own.strip():
+                start = at + len(own) - len(own.lstrip())
+                if start - at <= indent:
+                    break
+                parts.append(Value.literal(text, start, start + len(own.strip())))
+            at = end + 1
+        return Value.joined(parts) if parts else None
+
+    def value(self, sign: int, at: int) -> Value | None:
+        """What stands after a sign."""
+        if found := _BLOCK.match(self.text, at):
+            return self.block(sign, found.end())
+        before = _PREFIX.match(self.text, at)
+        parts, at = [], before.end()
+        while found := self.one(at):
+            value, at, quoted = found
+            parts.append(value)
+            more = _JOIN.match(self.text, at) or (quoted and (_BESIDE_OPEN if before[1] else _BESIDE).match(self.text, at))
+            if not more:
+                break
+            at = more.end()
+        return Value.joined(parts) if parts else None
+
+    def spans(self) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        done: set[Value] = set()
+        typed, typed_end, last = "", 0, 0
+        for sign in _SIGN.finditer(self.text):
+            name = self.name_before(sign.start(), last)
+            # name: type = value
+            if sign[0] == "=" and typed and _TYPE.fullmatch(self.text, typed_end, sign.start()):
+                name = typed
+            last, typed = sign.end(), ""
+            if not name or sign[0] not in _SIGNS:
+                continue
+            if sign[0] == ":":
+                typed, typed_end = name, sign.end()
+            value = self.value(sign.start(), sign.end())
+            if value is None:
+                continue
+            self.held[name] = value
+            weight = name_score(name)
+            if weight and 2 * weight * value.score() >= LIMIT:
+                found.update((a, b) for a, b in value.spans(done) if b > a)
+        return found
 
 
 def literal_spans(text: str) -> set[tuple[int, int]]:
     """Spans of literals assigned, directly or through other names, to sensitive names."""
-    found: set[tuple[int, int]] = set()
-    held: dict[str, tuple[tuple[int, int, str], ...]] = {}
-    for sign in _SIGN.finditer(text):
-        name = _NAME.search(text, max(0, sign.start() - 80), sign.start())
-        if not name or sign[0] not in ("=", ":", ":="):
-            continue
-        parts: list[tuple[int, int, str]] = []
-        at = sign.end()
-        while value := _VALUE.match(text, at):
-            group = value.lastindex
-            if group == 3:
-                parts += held.get(value[3], ((value.start(3), value.end(3), value[3]),))
-            else:
-                parts.append((value.start(group), value.end(group), value[group]))
-            more = _JOIN.match(text, value.end())
-            if not more:
-                break
-            at = more.end()
-        if not parts:
-            continue
-        held[name[1]] = tuple(parts[:64])
-        weight = name_score(name[1])
-        if weight and 2 * weight * literal_score("".join(v for _, _, v in parts)) >= LIMIT:
-            found.update((a, b) for a, b, _ in parts if b > a)
-    return found
+    return Lexer(text).spans()
 
 
 def scan(text: str | None) -> tuple[int, int, int, list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -115,16 +227,12 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """op8: doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of ``docs``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                *counts, base, spans = scan(text)
-                rows.append((*counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+    def find(texts):
+        rows = []
+        for text in texts:
+            *counts, base, spans = scan(text)
+            rows.append((*counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
+        return tuple(zip(*rows)) or ((), (), (), (), ())
+
+    return with_found(docs, ["doc_id"], lambda: find, {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"})

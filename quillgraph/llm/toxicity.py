@@ -1,46 +1,49 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted in a fixed order. Each has a linear (logistic) model
-over the words present in a text and over the probabilities of the categories
-before it. In training those earlier probabilities are out of fold, so a model
-never sees how well the model before it remembers its own rows.
+over the words and word beginnings present in a text and over the probabilities
+of the categories before it. In training those earlier probabilities are out of
+fold, so a model never sees how well the model before it remembers its own
+rows. Folds go by the text, so that its copies are in one fold.
 
-The labels name only ``toxic``. The finer categories are ``toxic`` rows that
-hold a word of a short list, so the chain learns kinds of insult before it
-decides on the whole.
+The labels name only ``toxic``. Finer categories are learnt from them: the
+strings that mark toxic rows most are grouped by the rows in which they occur
+together, and a category is the toxic rows that hold a string of its group. So
+the chain learns kinds of toxic text before it decides on the whole.
 
 Defined cases: a null text counts as empty. Each row is scored by itself, so
 repeated rows and null ids pass through. Labels that are null, other than 0 or
-1, or contradictory for a doc_id are not learnt from; with no usable labels,
-nothing is flagged. An empty table gives an empty table.
+1, or contradictory for a doc_id are not learnt from; of rows that repeat a
+labelled doc_id the smallest text is; with no usable labels, nothing is
+flagged. Other columns do not enter. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most labelled rows to learn from, and the most words with weights.
+from quillgraph.llm.common import with_found
+
+#: The most labelled rows to learn from, and the most strings with weights.
 SAMPLE_ROWS, VOCABULARY = 12_000, 1024
-#: Standard errors by which a word's share of toxic rows must differ from the whole's to get a weight.
+#: Standard errors by which a string's share of toxic rows must differ from the whole's to get a weight.
 APART = 4.0
+#: A string whose rows are toxic in so large a share marks a kind; so many of the strongest; so many kinds.
+MARKS, STRONGEST, KINDS = 0.8, 200, 3
 FOLDS = 3
-#: Words that mark the finer categories among toxic rows.
-KINDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid", "dumb", "fool", "imbecile"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "filth", "vermin", "garbage"),
-}
-CHAIN = (*KINDS, "toxic")
+#: Lengths of the word beginnings that count as strings.
+BEGINNINGS = (3, 5)
+CHAIN = (*[f"kind{k + 1}" for k in range(KINDS)], "toxic")
 _GAP = regex.compile(r"[^\p{L}\p{N}]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_GAP.sub(" ", (text or "").lower()).split())
+    """Distinct lower-case words, and the beginnings of longer ones, marked by a dash."""
+    words = set(_GAP.sub(" ", (text or "").lower()).split())
+    return words.union(*[{w[:k] + "-" for w in words if len(w) > k} for k in BEGINNINGS])
 
 
 class Linear:
@@ -88,14 +91,13 @@ class Chain:
         return out
 
 
-def fit_chain(words: list[str], rows: np.ndarray, cols: np.ndarray, targets: np.ndarray, folds: int = FOLDS) -> Chain:
-    """``targets`` has a column for each category, in chain order."""
+def fit_chain(words: list[str], rows: np.ndarray, cols: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> Chain:
+    """``targets`` has a column for each category, in chain order; ``fold`` a number for each row."""
     n, width = len(targets), len(words)
-    fold = np.arange(n) % folds
     inside, models = np.zeros((n, 0)), []
     for k in range(targets.shape[1]):
         y, out_of_fold = targets[:, k].astype(float), np.zeros(n)
-        for f in range(folds):
+        for f in np.unique(fold):
             learn, rest = fold != f, fold == f
             renumber = np.cumsum(learn) - 1
             keep = learn[rows]
@@ -110,21 +112,46 @@ def fit_chain(words: list[str], rows: np.ndarray, cols: np.ndarray, targets: np.
     return Chain(words, models, float(limits[best[len(best) // 2]]))
 
 
+def kinds_of(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, kinds: int = KINDS) -> np.ndarray:
+    """[rows, kinds]: which toxic rows hold a string of each group; the groups are k-means of the strings' rows."""
+    held = np.bincount(cols, minlength=width)
+    bad = np.bincount(cols, y[rows], width)
+    marks = np.flatnonzero((bad >= MARKS * held) & (held >= 2))
+    marks = marks[np.argsort(-bad[marks], kind="stable")][:STRONGEST]
+    out = np.zeros((len(y), kinds), bool)
+    if not len(marks):
+        return out
+    number = np.full(width, -1)
+    number[marks] = np.arange(len(marks))
+    inside = (number[cols] >= 0) & (y[rows] > 0)
+    x = np.zeros((len(marks), len(y)))
+    x[number[cols[inside]], rows[inside]] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre = x[:1]
+    while len(centre) < min(kinds, len(marks)):  # each next centre is the string least like those before
+        centre = np.vstack([centre, x[(x @ centre.T).max(axis=1).argmin()]])
+    for _ in range(20):
+        group = (x @ centre.T).argmax(axis=1)
+        sums = np.stack([x[group == k].sum(axis=0) for k in range(len(centre))])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centre = np.where(size > 0, sums / np.maximum(size, 1e-12), centre)
+    out[rows[inside], group[number[cols[inside]]]] = True
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain | None:
-    """Fit a chain on at most ``sample_rows`` labelled rows; None without both classes."""
+    """Fit a chain on at most ``sample_rows`` labelled documents; None without both classes."""
     usable = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("top"))
         .filter("y = top").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    names = set().union(*KINDS.values())
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "words": [sorted(words_of(t)) for t in batch["text"]]})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
-    sample = rows.mapInPandas(work, "doc_id string, y int, words array<string>").persist()
+    # The broadcast side has at most sample_rows rows of two numbers.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("y").cast("int").alias("y"), F.min("text").alias("text"))
+    rows = rows.withColumn("fold", F.crc32(F.col("text").cast("binary")) % FOLDS)
+    sample = with_found(rows, ["doc_id", "y", "fold"], lambda: lambda texts: [["\n".join(sorted(words_of(t))) for t in texts]], {"words": "string"})
+    sample = sample.select("doc_id", "y", "fold", F.split("words", "\n").alias("words")).persist()
     count = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("y").alias("n"), F.sum("y").alias("bad"))
     totals = sample.agg(F.count("y").alias("n"), F.sum("y").alias("bad")).first()
     if not totals["n"] or not totals["bad"] or totals["bad"] == totals["n"]:
@@ -132,31 +159,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return None
     share = totals["bad"] / totals["n"]
     apart = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    words = [r["word"] for r in count.filter((apart >= APART) | F.col("word").isin(*names)).orderBy(apart.desc(), "word").limit(VOCABULARY).collect()]
-    known = F.array(*[F.lit(w) for w in words[:VOCABULARY]])
-    found = sample.select("doc_id", "y", F.array_intersect("words", known).alias("words")).toPandas().sort_values("doc_id", kind="stable")
+    words = [r["word"] for r in count.filter((apart >= APART) & (F.col("word") != "")).orderBy(apart.desc(), "word").limit(VOCABULARY).collect()]
+    known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    found = sample.select("doc_id", "y", "fold", F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()
     sample.unpersist()
     number = {w: k for k, w in enumerate(words)}
-    lists = [list(x) for x in found["words"]]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    col = np.array([number[w] for x in lists for w in x], np.int64)
-    y = found["y"].to_numpy()
-    targets = np.column_stack([*(np.array([bool(bad) and not set(kind).isdisjoint(x) for bad, x in zip(y, lists)]) for kind in KINDS.values()), y > 0])
-    return fit_chain(words, row, col, targets)
+    row = np.repeat(np.arange(len(found)), [len(r["words"]) for r in found])
+    col = np.array([number[w] for r in found for w in r["words"]], np.int64)
+    y, fold = np.array([r["y"] for r in found]), np.array([r["fold"] for r in found])
+    targets = np.column_stack([kinds_of(row, col, y, len(words)), y > 0])
+    return fit_chain(words, row, col, targets, fold)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """doc_id, a probability for each category, and ``toxic`` for each row of ``docs``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            p = chain.probabilities(batch["text"].tolist()) if chain else np.zeros((len(batch), len(CHAIN)))
-            out = pd.DataFrame({f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)})
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.assign(toxic=p[:, -1] >= chain.limit if chain else False)
+    def find(texts):
+        p = chain.probabilities(texts) if chain else np.zeros((len(texts), len(CHAIN)))
+        return [*p.T, p[:, -1] >= chain.limit if chain else np.zeros(len(texts), bool)]
 
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean")
+    return with_found(docs, ["doc_id"], lambda: find, {**{f"p_{c}": "double" for c in CHAIN}, "toxic": "boolean"})
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
