@@ -1,7 +1,9 @@
 """A corpus pipeline: each stage works on the documents that the one before it kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each
-result as Parquet to the shared folder and reads it again for the next.
+result as Parquet to the shared folder and reads it again for the next. Every
+stage decides on each row by its own text, whatever its doc_id, and all but the
+last return the columns of their input, whatever these are named.
 """
 
 from __future__ import annotations
@@ -11,22 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_bpe import encode
-from quillgraph.llm.common import cut, read
-from quillgraph.llm.decontaminate import find_leaks
-from quillgraph.llm.line_dedup import dedup_lines
+from quillgraph.llm.common import cut, forget, read
+from quillgraph.llm.decontaminate import without_leaks
+from quillgraph.llm.line_dedup import without_repeated_lines
 from quillgraph.llm.ngram_join import keep_one
-from quillgraph.llm.quality import learn, score_quality
+from quillgraph.llm.quality import keep_quality, learn
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    trees = learn(docs, read(spark, sf_dir, "labels"))
-    return score_quality(docs, trees).filter("predicted = 1").select(*docs.columns)
+    return keep_quality(docs, learn(docs, read(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars, where there is one, follows the new text."""
-    out = dedup_lines(docs)
+    out = without_repeated_lines(docs)
     return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -37,8 +38,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item go."""
-    leaks = find_leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("leak_id")), "left_anti")
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +54,15 @@ STAGES = [
     ("byte-level BPE", encoding_stage),
 ]
 
-#: SQL cannot express the classifier; tests hold the stages against brute force.
+#: SQL cannot express the classifier; tests/llm hold the whole chain against a brute-force one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
