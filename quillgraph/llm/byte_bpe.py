@@ -1,29 +1,29 @@
 """Byte-level BPE encoding and decoding.
 
 The ranks of a vocabulary file become a transducer over bytes (transducer.py)
-that emits token ids after bounded lookahead. Decoding joins the ids' bytes; its
-stream form passes text on as soon as an incremental UTF-8 state machine says
-that a character is complete.
+that emits token ids after bounded lookahead. Decoding feeds the ids' bytes to
+an incremental UTF-8 state machine, which passes text on as soon as it says
+that a character is complete; its moves are kept for whole tokens.
 
 Defined cases: a null text encodes as an empty one (no ids, both digests of the
 empty string). Each row is encoded by itself, so repeated rows and null ids
-pass through. Other columns pass through; columns named like a result column
-give way to it. An empty table gives an empty table.
+pass through. Other columns pass through unchanged; columns named like a result
+column give way to it. An empty table gives an empty table. Bytes that are no
+UTF-8 decode to U+FFFD in a text stream and to themselves in ``decode``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
+from quillgraph.llm.common import with_found
 from quillgraph.llm.transducer import MergeTransducer
 
 #: Pieces kept with their ids in each worker, and the longest such piece.
@@ -39,6 +39,8 @@ class ByteBpe:
         self.bytes_of = {i: t.encode("latin-1") for t, i in ranks.items()}
         self.machine = MergeTransducer(ranks, lambda a, b: ranks.get(a + b))
         self._kept = lru_cache(CACHED_PIECES)(self._piece)
+        #: By the bytes that wait: for each token, the text it completes and the bytes that wait then.
+        self._texts: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
 
     def _piece(self, piece: str) -> tuple[list[int], str]:
         ids = [self.ranks[t] for t in self.machine.run(piece.encode("utf-8").decode("latin-1"))]
@@ -52,17 +54,25 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable([ids for ids, _ in self.pieces(text)]))
 
-    def decode_bytes(self, ids) -> bytes:
+    def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def decode_stream(self, ids) -> Iterator[str]:
-        """Text as its characters become complete; bytes that are no UTF-8 become U+FFFD."""
+    def _text_move(self, held: bytes, i: int) -> tuple[str, bytes]:
         utf8 = Utf8Stream()
+        utf8.feed(held)
+        move = utf8.feed(self.bytes_of[i]), bytes(utf8.held)
+        self._texts.setdefault(move[1], {})
+        self._texts[held][i] = move
+        return move
+
+    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """Text as its characters become complete; bytes that are no UTF-8 become U+FFFD."""
+        held, moves = b"", self._texts
         for i in ids:
-            if out := utf8.feed(self.bytes_of[i]):
-                yield out
-        if out := utf8.end():
-            yield out
+            text, held = moves[held].get(i) or self._text_move(held, i)
+            yield text
+        if held:
+            yield "\N{REPLACEMENT CHARACTER}"
 
 
 class Utf8Stream:
@@ -128,49 +138,47 @@ def _shipped(docs: DataFrame, ranks_path: str):
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids`` for its column ``text``."""
     lines = _shipped(docs, ranks_path)
-    docs = docs.drop("n_tokens", "ids")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = _codec(lines.value, pattern)
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                ids = [codec.encode(t or "") for t in part["text"]]
-                yield part.assign(n_tokens=[len(x) for x in ids], ids=ids)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInPandas(work, schema)
+        def find(texts):
+            ids = [codec.encode(t or "") for t in texts]
+            return [len(x) for x in ids], ids
+
+        return find
+
+    return with_found(docs, [c for c in docs.columns if c.lower() not in ("n_tokens", "ids")], make, {"n_tokens": "long", "ids": "array<int>"})
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its column ``ids`` (null: null)."""
     lines = _shipped(encoded, ranks_path)
-    encoded = encoded.drop("decoded")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = _codec(lines.value, r"\s+|\S+")
-        for batch in batches:
-            yield batch.assign(decoded=[None if x is None else codec.decode_bytes(x) for x in batch["ids"]])
+        return lambda lists: [[None if x is None else codec.decode_bytes(x) for x in lists]]
 
-    return encoded.mapInPandas(work, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return with_found(encoded, [c for c in encoded.columns if c.lower() != "decoded"], make, {"decoded": "binary"}, source="ids")
 
 
 def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """op9: doc_id, n_tokens, ids_sha256, decoded_sha256; ids do not leave the worker."""
     lines = _shipped(docs, ranks_path)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = _codec(lines.value, pattern)
-        for batch in batches:
+
+        def find(texts):
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 found = codec.pieces(text or "")
                 ids = list(chain.from_iterable([x for x, _ in found]))
                 shown = " ".join([s for _, s in found])
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+                decoded = "".join(codec.decode_stream(ids))
+                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            return tuple(zip(*rows)) or ((), (), ())
+
+        return find
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_found(docs, ["doc_id"], make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

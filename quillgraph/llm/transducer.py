@@ -2,12 +2,20 @@
 
 Symbols are single characters; a token is a string of symbols. For every prefix
 of a word there is one merge result, and it ends in the one token whose pair
-with the token before it stays apart when both are merged alone. So a state
-only has to hold the longest token that may be open, whose suffixes show all
-positions at which a token may have begun, and for each of these the tokens up
-to it that are not yet certain. What all these agree on is emitted:
-the lookahead is bounded by the longest token. States and transitions are made
-when a text first needs them.
+with the token before it stays apart when both are merged alone. A state holds
+the longest string of symbols with which a token may have begun, whose suffixes
+show all places at which one may have begun, and for each place what the token
+before it can still do: of the strings that stand at its right end as merging
+goes on, those that some token begun there could still merge with, each with
+its span of ranks. Tokens that behave alike to the right are one class, so
+there are few states. States and transitions are made when a text first needs
+them.
+
+A transition of ``MergeTransducer`` tells the token in which the prefix's merge
+result ends. Going back over these from every place that is still open, all
+ways meet after a bounded number of symbols; what lies before is emitted. A
+transition of ``CountingTransducer`` tells how many tokens became certain, and
+its states also hold how many more there are up to each place.
 """
 
 from __future__ import annotations
@@ -15,24 +23,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: States kept before the table starts anew; bounds a worker's memory.
-MAX_STATES = 250_000
+MAX_STATES = 200_000
+#: Symbols after which a long word's certain tokens are emitted.
+HOLD = 4096
 NEVER = float("inf")
 
 
 class MergeTransducer:
     def __init__(self, tokens: dict[str, int], pair_rank: Callable[[str, str], int | None]):
         self.tokens, self.pair_rank = tokens, pair_rank
-        self.heads = {t[:k] for t in tokens for k in range(1, len(t) + 1)}
+        #: Strings that some token goes on from.
+        self.heads = {t[:k] for t in tokens for k in range(1, len(t))}
         self._edges: tuple[dict, dict] = ({}, {})
         self._whole: dict[str, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ("", "", ((),))
-        self._ids, self._states = {start: 0}, [start]
-        self._moves: list[dict[str, tuple[int, tuple[str, ...]]]] = [{}]
-        self._kept_apart: dict[tuple[str, str], bool] = {}
+        start = ("", ((0, 0),))
+        self._classes, self._class_ids = [()], {(): 0}  # a class without strings is never merged with
+        self._narrower: dict[tuple[int, str], int] = {}
+        self._class_of: dict[str, int] = {}
+        self._apart: dict[tuple[int, str], bool] = {}
         self._steps: dict[tuple[str, str], tuple] = {}
+        self._ids, self._states = {start: 0}, [start]
+        self._moves: list[dict[str, tuple]] = [{}]
 
     def merge(self, parts: list[str], down_to: int = 1) -> list[str]:
         """Plain merging, lowest rank first and leftmost first; for single tokens."""
@@ -51,102 +65,153 @@ class MergeTransducer:
             known = self._whole[token] = self.merge(list(token)) == [token]
         return known
 
-    def _edge(self, token: str, side: int) -> tuple[tuple[float, str], ...]:
-        """What stands at one end of the token (0: its first symbol, 1: its last) as merging goes on, each with the rank that makes it."""
+    def edge(self, token: str, side: int) -> tuple[tuple[str, float, float], ...]:
+        """What stands at one end of the token (0: its first symbol, 1: its last) as merging goes on: string, rank that makes it, rank that ends it."""
         if (known := self._edges[side].get(token)) is None:
             if len(token) == 1:
-                known = ((-1, token),)
+                known = ((token, -1, NEVER),)
             else:
                 two = self.merge(list(token), down_to=2)
-                known = (*self._edge(two[side], side), (self.pair_rank(*two), token))
+                rank = self.pair_rank(*two)
+                *before, (last, made, _) = self.edge(two[side], side)
+                known = (*before, (last, made, rank), (token, rank, NEVER))
             self._edges[side][token] = known
         return known
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether the two tokens stay as they are side by side.
+    def _live(self, string: str, begun: str) -> bool:
+        """Whether a token that begins with ``begun`` can have a first part that merges with ``string`` before it."""
+        whole = string + begun
+        return whole in self.heads or any(whole[:k] in self.tokens for k in range(len(string) + 1, len(whole) + 1))
+
+    def _class(self, strings: tuple) -> int:
+        if (known := self._class_ids.get(strings)) is None:
+            known = self._class_ids[strings] = len(self._classes)
+            self._classes.append(strings)
+        return known
+
+    def _after(self, token: str) -> int:
+        """The class of a token that nothing follows yet."""
+        if (known := self._class_of.get(token)) is None:
+            known = self._class_of[token] = self._class(tuple(x for x in self.edge(token, 1) if x[0] in self.heads))
+        return known
 
-        Merges go by rising rank. So follow what stands left and right of the
-        boundary: a merge across it comes first if its rank is below that of the next merge
-        inside the left token and not above that inside the right one.
+    def _narrow(self, cls: int, begun: str) -> int:
+        """The class that is left of one once a token has begun after it."""
+        if not cls:
+            return 0
+        if (known := self._narrower.get((cls, begun))) is None:
+            known = self._narrower[cls, begun] = self._class(tuple(x for x in self._classes[cls] if self._live(x[0], begun)))
+        return known
+
+    def apart(self, cls: int, token: str) -> bool:
+        """Whether a token of the class and the token after it stay as they are.
+
+        Merges go by rising rank. A merge across the boundary comes first if
+        its rank is below that of the next merge inside the left token and not
+        above that inside the right one, while both strings stand there.
         """
-        inside, after = self._edge(left, 1), self._edge(right, 0)
-        i = k = 0
-        while True:
-            across = self.pair_rank(inside[i][1], after[k][1])
-            next_left = inside[i + 1][0] if i + 1 < len(inside) else NEVER
-            next_right = after[k + 1][0] if k + 1 < len(after) else NEVER
-            if across is not None and across < next_left and across <= next_right:
-                return False
-            if next_left is NEVER and next_right is NEVER:
-                return True
-            if next_left <= next_right:
-                i += 1
-            else:
-                k += 1
+        if not cls:
+            return True
+        if (known := self._apart.get((cls, token))) is None:
+            known = True
+            for left, made, ended in self._classes[cls]:
+                for right, began, over in self.edge(token, 0):
+                    if made <= over and began < ended and (rank := self.pair_rank(left, right)) is not None and rank < ended and rank <= over:
+                        known = False
+            self._apart[cls, token] = known
+        return known
 
-    def _step(self, open_token: str, symbol: str) -> tuple[str, tuple[int, ...], tuple[tuple[int, str], ...]]:
-        """What a symbol does to the tokens that may be open, which are the suffixes of the longest: the longest after it, the places of those that go on, and of these the ones that are tokens."""
-        kept, ends, longest = [], [], ""
-        for place, k in enumerate(self._places(open_token)):
-            grown = open_token[k:] + symbol
+    def _step(self, begun: str, symbol: str) -> tuple[str, tuple[tuple[int, str], ...], tuple[tuple[int, str], ...]]:
+        """What a symbol does to the tokens that may have begun, which are the suffixes of the longest: the longest after it; the places that stay open; those where a token ends."""
+        open_, ends = [], []
+        for place, k in enumerate([k for k in range(len(begun)) if begun[k:] in self.heads] + [len(begun)]):
+            grown = begun[k:] + symbol
             if grown in self.heads:
-                kept.append(place)
-                longest = longest or grown
-                if grown in self.tokens and self.whole(grown):
-                    ends.append((place, grown))
-        return longest, tuple(kept), tuple(ends)
-
-    def _places(self, open_token: str) -> list[int]:
-        """Where a token may begin in the longest open one; its end is the last."""
-        return [k for k in range(len(open_token)) if open_token[k:] in self.heads] + [len(open_token)]
-
-    def _move(self, state: int, symbol: str) -> tuple[int, tuple[str, ...]]:
-        before, open_token, chains = self._states[state]
-        if (step := self._steps.get((open_token, symbol))) is None:
-            step = self._steps[open_token, symbol] = self._step(open_token, symbol)
-        longest, kept, ends = step
-        known = self._kept_apart
+                open_.append((place, grown))
+            if grown in self.tokens and self.whole(grown):
+                ends.append((place, grown))
+        return (open_[0][1] if open_ else ""), tuple(open_), tuple(ends)
+
+    def _goes(self, state: int, symbol: str) -> tuple[str, list, str, int]:
+        """The longest begun token, the open places with class and count, the token that ends here, the count up to its end."""
+        begun, places = self._states[state]
+        if (step := self._steps.get((begun, symbol))) is None:
+            step = self._steps[begun, symbol] = self._step(begun, symbol)
+        longest, open_, ends = step
         for place, token in ends:
-            chain = chains[place]
-            if not (last := chain[-1] if chain else before):
-                break
-            if (apart := known.get((last, token))) is None:
-                apart = known[last, token] = self.apart(last, token)
-            if apart:
+            cls, count = places[place]
+            if self.apart(cls, token):
                 break
         else:
             raise ValueError(f"no token ends at symbol {symbol!r}")
-        here = (*chain, token)
-        emitted: tuple[str, ...] = ()
-        if not longest:
-            after_chains: tuple = (here,)
-        elif not (first := chains[kept[0]]) or first[0] != here[0]:  # the earliest open token follows nothing, or something else
-            after_chains = (*[chains[k] for k in kept], here)
-        else:
-            after_chains, sure = (*[chains[k] for k in kept], here), 0
-            while all([len(c) > sure and c[sure] == here[sure] for c in after_chains]):
-                sure += 1
-            if sure:
-                emitted = here[:sure]
-                after_chains = tuple([c[sure:] for c in after_chains])
-        after = (emitted[-1] if emitted else before, longest, after_chains)
+        return longest, [(self._narrow(places[k][0], grown), places[k][1]) for k, grown in open_], token, count + 1
+
+    def _to(self, after: tuple) -> int:
         if (to := self._ids.get(after)) is None:
             to = self._ids[after] = len(self._states)
             self._states.append(after)
             self._moves.append({})
-        move = self._moves[state][symbol] = (to, emitted)
+        return to
+
+    def _move(self, state: int, symbol: str) -> tuple:
+        longest, places, token, _ = self._goes(state, symbol)
+        to = self._to((longest, (*[(c, 0) for c, _ in places], (self._after(token), 0))))
+        move = self._moves[state][symbol] = (to, token)
         return move
 
+    def _open(self, state: int, at: int) -> list[int]:
+        """The places, counted from the word's start, at which a token may have begun."""
+        begun = self._states[state][0]
+        return [at - len(begun) + k for k in range(len(begun)) if begun[k:] in self.heads] + [at]
+
+    def _settled(self, state: int, held: list[str]) -> int:
+        """Where the ways back from all open places meet."""
+        ways = set(self._open(state, len(held)))
+        while len(ways) > 1:
+            last = max(ways)
+            ways.remove(last)
+            ways.add(last - len(held[last - 1]))
+        return ways.pop()
+
+    @staticmethod
+    def _back(held: list[str], at: int) -> list[str]:
+        out = []
+        while at:
+            out.append(held[at - 1])
+            at -= len(held[at - 1])
+        return out[::-1]
+
     def run(self, word: str) -> list[str]:
         """The tokens of a word, in order."""
         if len(self._states) > MAX_STATES:
             self._reset()
         out: list[str] = []
-        state, moves = 0, self._moves
+        state, moves, held = 0, self._moves, []
+        for symbol in word:
+            state, token = moves[state].get(symbol) or self._move(state, symbol)
+            held.append(token)
+            if len(held) >= HOLD:
+                sure = self._settled(state, held)
+                out += self._back(held, sure)
+                del held[:sure]
+        return out + self._back(held, len(held))
+
+
+class CountingTransducer(MergeTransducer):
+    def _move(self, state: int, symbol: str) -> tuple:
+        longest, places, token, count = self._goes(state, symbol)
+        places = (*places, (self._after(token), count))
+        sure = places[0][1]
+        to = self._to((longest, tuple([(c, n - sure) for c, n in places])))
+        move = self._moves[state][symbol] = (to, sure)
+        return move
+
+    def count(self, word: str) -> int:
+        """How many tokens a word has."""
+        if len(self._states) > MAX_STATES:
+            self._reset()
+        total, state, moves = 0, 0, self._moves
         for symbol in word:
-            move = moves[state].get(symbol) or self._move(state, symbol)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        out += self._states[state][2][-1]
-        return out
+            state, sure = moves[state].get(symbol) or self._move(state, symbol)
+            total += sure
+        return total + self._states[state][1][-1][1]
