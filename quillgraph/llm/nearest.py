@@ -5,11 +5,17 @@ brings every candidate to the length of the longest. ``tables`` hash tables of
 ``hashes`` functions floor((a.v + b) / width), a normal, cut the space. A query
 visits perturbed buckets in the order of their estimated success: the offset of
 a neighbour at distance r along a is normal with deviation r, so the chance of
-every bucket is a product of normal probabilities. Probing ends when a table's
-chances add up to what ``recall`` needs. Bucket members and the queries that
-probe them meet in blocks of bounded size; a bucket of any size is split into
-blocks, so no candidate is left out. Blocks give their own nearest, which are
-merged per query and rank by exact double-precision products.
+every bucket is a product of normal probabilities.
+
+A query asks twice. The first round visits the likeliest buckets of each table,
+up to ``FIRST`` of the chance at a distance fitted on a sample. What it finds
+gives each query its own distance and the score that others must reach. The
+second round visits further buckets until the chances at that distance add up
+to what ``recall`` needs, and hands on only candidates that reach that score,
+so that rows grow with queries and not with what they are compared with. Bucket
+members and the queries that probe them meet in blocks of bounded size; a
+bucket of any size is split into blocks, so no candidate is left out. The
+tables' candidates are merged per query and rank by exact double products.
 
 Only the scale of distances (r, the number of functions) is fitted, on at most
 ``sample_rows`` rows; every row is indexed.
@@ -22,21 +28,22 @@ do not enter. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut
+from quillgraph.llm.common import cut, forget
 
 SAMPLE_ROWS = 4096
-#: Rows of a bucket, and queries that probe it, in one block.
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
+#: Rows of a bucket, and queries that probe it, in one block; rows of blocks that share a call.
+BLOCK_ROWS, BLOCK_QUERIES, PACK_ROWS = 2048, 2048, 8192
+#: Chance that the first round covers in each table.
+FIRST = 0.2
 
 
 @dataclass
@@ -57,32 +64,34 @@ class Hashes:
         full = np.column_stack([scaled, last])
         return np.einsum("nd,lmd->nlm", full, self.direction) / self.width + self.shift
 
-    def probes(self, place: np.ndarray, radius: float) -> list[tuple[int, ...]]:
-        """Buckets of one table for a query, likeliest first, until their chances reach ``need``."""
+    def probes(self, place: np.ndarray, radius: float, need: float) -> np.ndarray:
+        """Buckets [probes, hashes] of one table for a query, likeliest first, until their chances reach ``need``."""
         spread = radius / self.width
-        choices = []
+        buckets, chance = np.zeros((1, 0), np.int64), np.ones(1)
+        spare = (1 - need) / (2 * len(place))  # chance that each function's unlikely buckets may lose
         for x in place:
-            home = math.floor(x)
-            reach = range(home - math.ceil(4 * spread) - 1, home + math.ceil(4 * spread) + 2)
-            chance = [(_normal((c + 1 - x) / spread) - _normal((c - x) / spread), c) for c in reach]
-            choices.append(sorted((p, c) for p, c in chance if p > 1e-4)[::-1])
-        first = (0,) * len(choices)
-        worth = lambda at: math.prod(options[k][0] for options, k in zip(choices, at))
-        heap, seen, total, out = [(-worth(first), first)], {first}, 0.0, []
-        while heap and total < self.need:
-            gain, at = heapq.heappop(heap)
-            total -= gain
-            out.append(tuple(options[k][1] for options, k in zip(choices, at)))
-            for j, options in enumerate(choices):
-                step = (*at[:j], at[j] + 1, *at[j + 1 :])
-                if step[j] < len(options) and step not in seen:
-                    seen.add(step)
-                    heapq.heappush(heap, (-worth(step), step))
-        return out
-
-
-def _normal(z: float) -> float:
-    return 0.5 * (1 + math.erf(z / math.sqrt(2)))
+            reach = np.arange(math.floor(x - 4 * spread), math.floor(x + 4 * spread) + 1)
+            own = np.diff(_normal((np.append(reach, reach[-1] + 1) - x) / spread))
+            buckets = np.column_stack([np.repeat(buckets, len(reach), axis=0), np.tile(reach, len(buckets))])
+            chance = np.outer(chance, own).ravel()
+            order = np.argsort(-chance, kind="stable")
+            kept = order[: np.searchsorted(np.cumsum(chance[order]), chance.sum() - spare) + 1]
+            buckets, chance = buckets[kept], chance[kept]
+        return buckets[: np.searchsorted(np.cumsum(chance), need) + 1]
+
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in z])
+
+
+def _keys(table: int, buckets: np.ndarray) -> np.ndarray:
+    """One long for each bucket [rows, hashes]; two that fall together are one bucket of both."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(buckets), table + 1, np.uint64)
+        for column in buckets.T:
+            out = (out ^ column.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -95,94 +104,159 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def fit(rows: DataFrame, top: int, recall: float, tables: int, seed: int = 11, sample_rows: int = SAMPLE_ROWS, bucket_rows: int = 8000) -> Hashes | None:
+def fit(rows: DataFrame, top: int, recall: float, tables: int, seed: int = 11, sample_rows: int = SAMPLE_ROWS, bucket_rows: int = 2000) -> Hashes | None:
     """Choose distances and functions; None for an empty table."""
     stats = rows.agg(F.count("vec_id").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     if not stats["n"]:
         return None
     longest = math.sqrt(stats["square"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
-    v = np.array(sample["v"].tolist()) / longest
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    v = np.array([r["v"] for r in sample]) / longest
     inner = v[:512] @ v.T
     rank = min(len(v) - 1, max(1, round(top * len(v) / stats["n"])))
     inner[np.arange(len(inner)), np.arange(len(inner))] = -np.inf
     kth = np.sort(inner, axis=1)[:, -rank] if len(v) > 1 else np.ones(1)
     near = math.sqrt(max(float(np.median((v[: len(inner)] ** 2).sum(axis=1) + 1 - 2 * kth)), 1e-3))
     width = 2 * near
-    # A function parts rows about evenly into 1 / width + 1 buckets; enough functions for buckets of bucket_rows.
-    hashes = max(1, min(12, round(math.log(max(stats["n"] / bucket_rows, 1)) / math.log(1 + 1.5 / width))))
     chance = np.random.default_rng(seed)
-    need = 1 - (1 - recall) ** (1 / tables)
-    return Hashes(chance.normal(size=(tables, hashes, v.shape[1] + 1)), chance.random((tables, hashes)), width, longest, near, need)
+    most = 16
+    found = Hashes(chance.normal(size=(tables, most, v.shape[1] + 1)), chance.random((tables, most)), width, longest, near, 1 - (1 - recall) ** (1 / tables))
+    # As few functions as bring the rows that share a row's bucket down to bucket_rows.
+    at = np.floor(found.places(v * longest, True)[:, 0]).astype(np.int64)
+    hashes = 1
+    while hashes < most:
+        size = np.unique(_keys(0, at[:, :hashes]), return_counts=True)[1]
+        if (size * (size - 1)).sum() / max(len(v) * (len(v) - 1), 1) * stats["n"] <= bucket_rows:
+            break
+        hashes += 1
+    found.direction, found.shift = found.direction[:, :hashes], found.shift[:, :hashes]
+    return found
 
 
-def _key(bucket: np.ndarray | tuple) -> str:
-    return ",".join(str(int(x)) for x in bucket)
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 20, recall: float = 0.97, tables: int = 2) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that ``is_query`` (a Column over vec_id) marks, its ``top`` nearest found."""
-    rows = cut(usable(vectors), "nearest-rows")
-    spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashes = fit(rows, top, recall, tables)
-    if hashes is None:
-        return empty
+def _index(rows: DataFrame, hashes: Hashes) -> DataFrame:
+    """(bucket, id, v): a row for each table of each vector."""
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.floor(hashes.places(np.array(batch["v"].tolist()), True)).astype(int)
-            yield pd.concat([pd.DataFrame({"bucket": [f"{t}:{_key(b)}" for b in at[:, t]], "id": batch["vec_id"], "v": batch["v"]}) for t in range(at.shape[1])])
+            if len(batch):
+                v = _vectors(batch["v"])
+                at = np.floor(hashes.places(v, True)).astype(np.int64)
+                data = pa.array([x.tobytes() for x in v], pa.binary())
+                for t in range(at.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(t, at[:, t])), batch["vec_id"], data], ["bucket", "id", "v"])
+
+    return rows.mapInArrow(work, "bucket long, id long, v binary")
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _probe(asks: DataFrame, hashes: Hashes, again: bool) -> DataFrame:
+    """(bucket, id, v, floor) for the buckets that queries (vec_id, v, floor, kth) visit, in their first round or again."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.array(batch["v"].tolist())
-            place, size = hashes.places(v, False), (v**2).sum(axis=1) / hashes.longest**2
-            out = []
-            for i, own, p, square in zip(batch["vec_id"], batch["v"], place, size):
-                # The fitted distance is that of a query of usual length; a longer one's offsets are as much wider.
-                radius = max(hashes.near, math.sqrt(square)) if square > 1 else hashes.near
-                out += [(f"{t}:{_key(b)}", i, own) for t in range(len(p)) for b in hashes.probes(p[t], radius)]
-            yield pd.DataFrame(out, columns=["bucket", "id", "v"])
-
-    shape = "bucket string, id long, v array<double>"
-    members = cut(rows.mapInPandas(index, shape), "nearest-members")
-    asked = cut(rows.filter(is_query).mapInPandas(probe, shape), "nearest-probes")
+            if not len(batch):
+                continue
+            v = _vectors(batch["v"])
+            place, square = hashes.places(v, False), (v**2).sum(axis=1) / hashes.longest**2
+            keys, rows = [], []
+            for k, (p, s, kth) in enumerate(zip(place, square, batch["kth"].to_pylist(), strict=True)):
+                usual = math.sqrt(max(s + hashes.near**2 - 1, 1e-3))
+                own = math.sqrt(max(s + 1 - 2 * kth / hashes.longest**2, 1e-3)) if kth is not None else math.sqrt(s) + 1
+                for t in range(len(p)):
+                    found = _keys(t, hashes.probes(p[t], usual, FIRST))
+                    if again:
+                        found = np.setdiff1d(_keys(t, hashes.probes(p[t], own, hashes.need)), found)
+                    keys.append(found)
+                    rows += [k] * len(found)
+            data = pa.array([x.tobytes() for x in v], pa.binary())
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["vec_id"].take(rows), data.take(rows), batch["floor"].take(rows)], ["bucket", "id", "v", "floor"])
+
+    return asks.mapInArrow(work, "bucket long, id long, v binary, floor double")
+
+
+def best_of(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, candidate ids and exact scores of each query's ``top`` candidates that reach its floor, its own id left out."""
+    order = np.argsort(c_ids)
+    c, c_ids = c[order], c_ids[order]
+    rough = q @ c.T
+    own = np.searchsorted(c_ids, q_ids)
+    same = np.flatnonzero(np.append(c_ids, -1)[own] == q_ids) if len(c_ids) else []
+    same = [k for k in same if own[k] < len(c_ids)]
+    rough[same, own[same]] = -np.inf
+    if rough.shape[1] > top:
+        floor = np.maximum(floor, np.partition(rough, -top, axis=1)[:, -top])
+    size = np.maximum(1.0, np.abs(np.where(np.isfinite(floor), floor, 1.0)))
+    k, j = np.nonzero((rough >= (floor - 1e-9 * size)[:, None]) & np.isfinite(rough))
+    # Exact products add up component by component, so that equal vectors tie exactly.
+    exact = np.zeros(len(k))
+    for d in range(q.shape[1]):
+        exact += q[k, d] * c[j, d]
+    order = np.lexsort((c_ids[j], -exact, k))
+    k, j, exact = k[order], j[order], exact[order]
+    first = np.searchsorted(k, k)
+    kept = np.arange(len(k)) - first < top
+    return q_ids[k[kept]], c_ids[j[kept]], exact[kept]
+
+
+def _met(members: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """(query_id, vec_id, score): what queries find in the buckets that they visit."""
     blocks = lambda df, size, name: df.groupBy("bucket").agg(F.ceil(F.count("id") / size).cast("int").alias(name))
-    sizes = blocks(members, BLOCK_ROWS, "parts").join(blocks(asked, BLOCK_QUERIES, "asked_parts"), "bucket")
-    sizes = cut(sizes, "nearest-sizes")
+    sizes = cut(blocks(members, BLOCK_ROWS, "parts").join(blocks(asked, BLOCK_QUERIES, "asked_parts"), "bucket"), "nearest-sizes")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    held = members.join(sizes, "bucket").select("bucket", own(F.col("parts")).alias("part"), every(F.col("asked_parts")).alias("asked_part"), F.lit(False).alias("asks"), "id", "v")
-    asking = asked.join(sizes, "bucket").select("bucket", every(F.col("parts")).alias("part"), own(F.col("asked_parts")).alias("asked_part"), F.lit(True).alias("asks"), "id", "v")
+    held = members.join(sizes, "bucket").select("bucket", own(F.col("parts")).alias("part"), every(F.col("asked_parts")).alias("asked_part"), F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("floor"))
+    asking = asked.join(sizes, "bucket").select("bucket", every(F.col("parts")).alias("part"), own(F.col("asked_parts")).alias("asked_part"), F.lit(True).alias("asks"), "id", "v", "floor")
 
-    def best(block: pd.DataFrame) -> pd.DataFrame:
-        asks = block["asks"].to_numpy()
-        c, q = block[~asks].sort_values("id"), block[asks]
+    def work(pack: pa.Table) -> pa.Table:
+        pack = pack.sort_by([(c, "ascending") for c in ("bucket", "part", "asked_part", "asks")])
+        key = np.column_stack([pack[c].to_numpy() for c in ("bucket", "part", "asked_part")])
+        asks, ids = pack["asks"].to_numpy(), pack["id"].to_numpy()
+        floor = np.nan_to_num(pack["floor"].to_numpy(), nan=-np.inf)
+        v = np.frombuffer(b"".join(pack["v"].to_pylist())).reshape(len(pack), -1)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         out = []
-        if len(c) and len(q):
-            ids, cv, qv = c["id"].to_numpy(), np.array(c["v"].tolist()), np.array(q["v"].tolist())
-            rough = qv @ cv.T
-            for i, v, row in zip(q["id"], qv, rough):
-                row = np.where(ids == i, -np.inf, row)
-                k = min(top, len(row))
-                limit = np.partition(row, len(row) - k)[len(row) - k]
-                slack = 1e-9 * max(1.0, abs(limit)) if np.isfinite(limit) else 0.0
-                found = np.flatnonzero(np.isfinite(row) & (row >= limit - slack))
-                # Exact products add up component by component, so that equal vectors tie exactly.
-                exact = np.zeros(len(found))
-                for d in range(cv.shape[1]):
-                    exact += v[d] * cv[found, d]
-                order = np.lexsort((ids[found], -exact))[:top]
-                out += [(i, ids[found[o]], exact[o]) for o in order]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    from pyspark.sql import Window
-
-    found = held.unionByName(asking).groupBy("bucket", "part", "asked_part").applyInPandas(best, "query_id long, vec_id long, score double")
+        for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            m = a + np.searchsorted(asks[a:b], True)
+            if a < m < b:
+                out.append(best_of(v[m:b], ids[m:b], floor[m:b], v[a:m], ids[a:m], top))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    # Small blocks share a call.
+    packs = max(1, (members.count() + asked.count()) // PACK_ROWS)
+    found = held.unionByName(asking).groupBy(F.pmod(F.xxhash64("bucket", "part", "asked_part"), F.lit(packs)).alias("pack")).applyInArrow(work, "query_id long, vec_id long, score double")
+    return cut(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "nearest-found")
+
+
+def nearest(vectors: DataFrame, is_query, top: int = 20, recall: float = 0.93, tables: int = 2) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that ``is_query`` (a Column over vec_id) marks, its ``top`` nearest found."""
+    rows = cut(usable(vectors), "nearest-rows")
+    hashes = fit(rows, top, recall, tables)
+    if hashes is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    members = cut(_index(rows, hashes), "nearest-members")
+    asks = rows.filter(is_query)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    none = F.lit(None).cast("double")
+    asked = cut(_probe(asks.select("vec_id", "v", none.alias("floor"), none.alias("kth")), hashes, False), "nearest-probes")
+    found = _met(members, asked, top)
+    forget(asked)
+    # Of a query's ``top`` nearest, the first round has found about this many.
+    share = 1 - (1 - FIRST) ** tables
+    expected = min(top, math.ceil(top * share))
+    at = lambda n: F.max(F.when(F.col("place") == n, F.col("score")))
+    scale = found.withColumn("place", place).groupBy("query_id").agg(at(top).alias("floor"), at(expected).alias("kth"))
+    asks = asks.join(scale, asks["vec_id"] == scale["query_id"], "left").select("vec_id", "v", "floor", "kth")
+    asked = cut(_probe(asks, hashes, True), "nearest-probes")
+    found = found.unionByName(_met(members, asked, top))
+    forget(asked, members)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", place).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_vectors(vectors: DataFrame) -> DataFrame:
