@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,10 +64,11 @@ def sentiment(positive: Column, negative: Column, up_moves: Column, down_moves:
 
 
 def trend(label: Column, event_weight: Column, impact: Column, ratio: Column, positive: Column, negative: Column) -> Column:
-    """struct(trend, score, confidence): weighted sum with limits at 15."""
+    """struct(trend, score, confidence): weighted sum with limits at 15, exact where the inputs are decimals. The weights are fixed values."""
+    dec = lambda x: F.lit(Decimal(x))
     sign = F.when(label == "Positive", 1).when(label == "Negative", -1).otherwise(0)
-    score = 30 * sign + 15 * event_weight + 0.4 * (impact - 50) + (20 * ratio - 10) + 3 * F.least(positive, F.lit(5)) - 3 * F.least(negative, F.lit(5))
-    sure = F.when(F.abs(score) > 15, F.least(0.55 + F.abs(score) / 100, F.lit(0.95))).otherwise(0.5 + (15 - F.abs(score)) / 100)
+    score = 30 * sign + 15 * event_weight + dec("0.4") * (impact - 50) + (20 * ratio - 10) + 3 * F.least(positive, F.lit(5)) - 3 * F.least(negative, F.lit(5))
+    sure = F.when(F.abs(score) > 15, F.least(dec("0.55") + F.abs(score) / 100, dec("0.95"))).otherwise(dec("0.5") + (15 - F.abs(score)) / 100)
     return F.struct(F.when(score > 15, "INCREASING").when(score < -15, "DECREASING").otherwise("UNCHANGED").alias("trend"), F.round(score, 4).alias("score"), F.round(sure, 3).alias("confidence"))
 
 
@@ -75,6 +77,18 @@ def word_bounded(text: Column, symbol: str) -> Column:
     return F.rlike(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){symbol}(?![\p{{L}}\p{{N}}_])"))
 
 
+def symbol_mentions(text: Column, markers: Sequence[str] = (), reach: int = 40) -> Column:
+    """Distinct upper-case words of two to five letters, in order; with ``markers``, only those with one of these within ``reach`` signs on either side, any case.
+
+    One pass over the words finds all symbols; a join with the dictionary tells which exist.
+    """
+    word = r"(?<![\p{L}\p{N}_])[A-Z]{2,5}(?![\p{L}\p{N}_])"
+    if markers:
+        near = "(?i:" + "|".join(rf"\Q{m}\E" for m in markers) + ")"
+        word = rf"(?:(?<={near}.{{0,{reach}}}){word}|{word}(?=.{{0,{reach}}}{near}))"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s){word}"), F.lit(0)))
+
+
 def percent_moves(text: Column, words: Sequence[str]) -> Column:
     """Percentages that follow one of ``words`` within 20 signs."""
     number = F.regexp_extract_all(text, F.lit(r"(?iu)(?:" + "|".join(words) + r")[^%\n]{0,20}?(\d{1,3}(?:[.,]\d+)?)\s*%"), F.lit(1))

@@ -9,14 +9,21 @@ from quillgraph.functions.text import stable_id
 
 
 def edges_of(dated: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """src, dst, relation of the display graph: one row for each ordered pair and relation."""
+    """src, dst, relation of the display graph: one row for each ordered pair and relation; one pass over the mentions."""
     news, stock = F.concat(F.lit("news_"), "news_id"), F.concat(F.lit("stock_"), "symbol")
     event, mood = F.concat(F.lit("event_"), "event_type"), F.concat(F.lit("sentiment_"), "sentiment")
-    edge = lambda df, a, b, r: df.select(a.alias("src"), b.alias("dst"), F.lit(r).alias("relation"))
-    out = edge(dated, news, stock, "mentions")
-    for a, b, r in ((news, event, "contains_event"), (event, stock, "affects"), (news, mood, "has_sentiment")):
-        out = out.union(edge(dated, a, b, r))
-    return out.union(edge(dictionary, stock, F.concat(F.lit("industry_"), "industry"), "belongs_to")).distinct()
+    edge = lambda a, b, r: F.struct(a.alias("src"), b.alias("dst"), F.lit(r).alias("relation"))
+    own = F.array(edge(news, stock, "mentions"), edge(news, event, "contains_event"), edge(event, stock, "affects"), edge(news, mood, "has_sentiment"))
+    static = dictionary.select(stock.alias("src"), F.concat(F.lit("industry_"), "industry").alias("dst"), F.lit("belongs_to").alias("relation")).distinct()
+    return dated.select(F.explode(own).alias("e")).select("e.*").distinct().unionByName(static)
+
+
+def density(edges: DataFrame) -> DataFrame:
+    """nodes, edges and m / (n (n - 1)) of a directed graph."""
+    n = nodes_of(edges).agg(F.count(F.lit(1)).alias("nodes"))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"))
+    # One row on either side.
+    return n.join(F.broadcast(m)).select("nodes", "edges", F.round(F.try_divide(F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), 12).alias("density"))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:

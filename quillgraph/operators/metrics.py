@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,18 +22,81 @@ def per_class(rows: DataFrame) -> DataFrame:
     return j.select("label", "tp", (F.col("guessed") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(safe(2 * F.col("tp"), F.col("guessed") + F.col("support")), 6).alias("f1"))
 
 
-def kappa(rows: DataFrame, classes: int) -> DataFrame:
-    """Cohen's kappa, plain and quadratic-weighted, over classes 0 to classes - 1."""
+def kappa(rows: DataFrame) -> DataFrame:
+    """Cohen's kappa, plain and quadratic-weighted, over numbered classes.
+
+    Agreement by chance needs only the sums over each side's classes: the
+    weighted one is a difference of moments, the plain one meets by class.
+    """
+    c = confusion(rows)
+    apart = F.pow(F.col("truth") - F.col("predicted"), 2) * F.col("n")
+    power = lambda x, k: F.sum(F.pow(F.col(x).cast("double"), k) * F.col("n"))
+    m = c.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("truth") != F.col("predicted"), F.col("n")).otherwise(0)).alias("off"), F.sum(apart).alias("far"), power("truth", 1).alias("t1"), power("truth", 2).alias("t2"), power("predicted", 1).alias("p1"), power("predicted", 2).alias("p2"))
+    t, p = c.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("nt")), c.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("np"))
+    same = t.join(p, "label").agg(F.coalesce(F.sum(F.col("nt").cast("double") * F.col("np")), F.lit(0.0)).alias("same"))
+    total = F.col("total").cast("double")
+    by_chance, far_by_chance = total - F.col("same") / total, F.col("t2") + F.col("p2") - 2 * F.col("t1") * F.col("p1") / total
+    # One row on either side.
+    return m.join(F.broadcast(same)).select(F.round(1 - F.try_divide(F.col("off"), by_chance), 6).alias("kappa"), F.round(1 - F.try_divide(F.col("far"), far_by_chance), 6).alias("weighted_kappa"))
+
+
+def overall(rows: DataFrame) -> DataFrame:
+    """n, accuracy, balanced accuracy, macro and weighted F1 over the classes seen, and Matthews' coefficient."""
     c = confusion(rows)
-    t, p = c.groupBy("truth").agg(F.sum("n").alias("nt")), c.groupBy("predicted").agg(F.sum("n").alias("np"))
-    n = c.agg(F.sum("n").alias("total"))
-    # Class tables: at most classes rows on either side.
-    cells = F.broadcast(t).join(F.broadcast(p)).join(c, ["truth", "predicted"], "left").na.fill(0, ["n"]).join(F.broadcast(n))
-    far = F.pow(F.col("truth") - F.col("predicted"), 2) / float(max(classes - 1, 1) ** 2)
-    off = (F.col("truth") != F.col("predicted")).cast("double")
-    chance = F.col("nt") * F.col("np") / F.col("total")
-    k = lambda w: F.round(1 - F.sum(w * F.col("n")) / F.sum(w * chance), 6)
-    return cells.agg(k(off).alias("kappa"), k(far).alias("weighted_kappa"))
+    t, p = c.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp")), c.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("guessed"))
+    j = t.join(p, "label", "full").na.fill(0).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("guessed")), F.lit(0.0)))
+    double = lambda x: F.col(x).cast("double")
+    s = j.agg(F.sum("support").alias("n"), F.sum("tp").alias("c"), F.avg(F.when(F.col("support") > 0, F.col("tp") / F.col("support"))).alias("balanced"), F.avg("f1").alias("macro"), F.sum(F.col("f1") * F.col("support")).alias("weighted"), F.sum(double("support") * double("guessed")).alias("tp_"), F.sum(double("support") * double("support")).alias("tt"), F.sum(double("guessed") * double("guessed")).alias("pp"))
+    square = double("n") * double("n")
+    mcc = F.coalesce(F.try_divide(double("c") * double("n") - F.col("tp_"), F.sqrt((square - F.col("pp")) * (square - F.col("tt")))), F.lit(0.0))
+    return s.select("n", F.round(F.col("c") / F.col("n"), 6).alias("accuracy"), F.round("balanced", 6).alias("balanced_accuracy"), F.round("macro", 6).alias("macro_f1"), F.round(F.col("weighted") / F.col("n"), 6).alias("weighted_f1"), F.round(mcc, 6).alias("mcc"))
+
+
+def grouped_macro_f1(rows: DataFrame, group: str) -> DataFrame:
+    """Per group: n and the mean F1 of the classes seen in it."""
+    both = rows.select(group, F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("s"), F.lit(0).alias("g"), (F.col("truth") == F.col("predicted")).cast("int").alias("tp")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("s"), F.lit(1).alias("g"), F.lit(0).alias("tp")))).alias("e"))
+    c = both.groupBy(group, "e.label").agg(F.sum("e.s").alias("s"), F.sum("e.g").alias("g"), F.sum("e.tp").alias("tp"))
+    return c.groupBy(group).agg(F.sum("s").alias("n"), F.round(F.avg(2 * F.col("tp") / (F.col("s") + F.col("g"))), 6).alias("macro_f1"))
+
+
+def mcnemar(rows: DataFrame) -> DataFrame:
+    """Exact two-sided p from (first_right, second_right): which of two predictions is right where they differ; 1 without such rows."""
+    d = rows.agg(F.count_if(F.col("first_right") & ~F.col("second_right")).alias("b"), F.count_if(~F.col("first_right") & F.col("second_right")).alias("c"))
+    n, least = F.col("b") + F.col("c"), F.least("b", "c")
+    # log C(n, i) grows from i to i + 1 by log((n - i) / (i + 1)); the sum of the tail is taken in logs.
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+    step = lambda s, i: F.struct((s["term"] + F.log((n - i + 1).cast("double") / i)).alias("term"), (s["sum"] + F.exp(s["term"] + F.log((n - i + 1).cast("double") / i))).alias("sum"))
+    tail = F.when(least == 0, start["sum"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(least, F.lit(1))), start, step)["sum"])
+    return d.select("b", "c", F.round(F.when(n == 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0))), 9).alias("p"))
+
+
+def mean_ranks(rows: DataFrame, value: str, rank: str) -> DataFrame:
+    """``rows`` with the mean rank of ``value`` among all rows, equal values alike.
+
+    Counts per value are summed by ranges of values, so that no task holds the
+    whole order: each range's start comes from a small table of range totals.
+    """
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(value).withColumn("_part", F.spark_partition_id()).persist()
+    starts = counts.groupBy("_part").agg(F.sum("_n").alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.join(F.broadcast(starts.select("_part", before.alias("_before"))), "_part")
+    placed = placed.select(value, (F.col("_before") + F.coalesce(inside, F.lit(0)) + (F.col("_n") + 1) / 2).alias(rank))
+    return rows.join(placed, value)
+
+
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rank correlation of two columns, rows with a null left out."""
+    ranked = mean_ranks(mean_ranks(rows.select(a, b).dropna(), a, "_a"), b, "_b")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("_a", "_b"), 6).alias("rho"))
+
+
+def quantile_buckets(rows: DataFrame, value: str, result: str, buckets: int = 5) -> DataFrame:
+    """bucket, n, mean of ``value`` and of ``result`` between the quantiles of ``value``; equal edges are one."""
+    edges = rows.agg(F.percentile(value, F.array(*[F.lit(k / buckets) for k in range(buckets + 1)])).alias("edges")).select(F.array_distinct("edges").alias("edges"))
+    # One row joins to all.
+    placed = rows.join(F.broadcast(edges)).withColumn("bucket", F.greatest(F.size(F.filter("edges", lambda e: e < F.col(value))), F.lit(1)))
+    return placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.avg(result), 6).alias("mean_result"))
 
 
 def bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
@@ -43,7 +106,7 @@ def bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int = 200,
     (cluster, draw), so lost tasks repeat alike.
     """
     sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.pmod(F.xxhash64("c", "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("c").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
     weight = sum((F.when(u >= limit, 1).otherwise(0) for limit in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
     drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))

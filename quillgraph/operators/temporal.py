@@ -26,11 +26,23 @@ def history(dated: DataFrame) -> DataFrame:
 
 
 def industry_history(dated: DataFrame, dictionary: DataFrame, days: int = 30) -> DataFrame:
-    """For each (industry, day): distinct articles and symbols in the days before."""
-    daily = dated.join(dictionary, "symbol").groupBy("industry", "day").agg(F.countDistinct("news_id").alias("n"), F.collect_set("symbol").alias("symbols")).withColumn("d", _day())
-    w = Window.partitionBy("industry").orderBy("d").rangeBetween(-days, -1)
-    seen = F.size(F.array_distinct(F.flatten(F.collect_list("symbols").over(w))))
-    return daily.select("industry", "day", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("articles"), seen.cast("long").alias("symbols"))
+    """For each (industry, day): distinct articles and symbols in the days before.
+
+    A symbol counts from the day after an article until ``days`` after it. Where
+    these spans of a symbol join they are one; +1 stands at its start and -1
+    behind its end, so that one running sum per industry counts the symbols.
+    """
+    rows = dated.join(dictionary, "symbol").select("industry", "symbol", "day", "news_id").withColumn("d", _day())
+    daily = rows.groupBy("industry", "day", "d").agg(F.countDistinct("news_id").alias("n"))
+    by = Window.partitionBy("industry", "symbol").orderBy("d")
+    own = rows.select("industry", "symbol", "d").distinct().select("industry", "d", (F.col("d") - F.lag("d").over(by)).alias("since"), (F.lead("d").over(by) - F.col("d")).alias("until"))
+    opens = own.filter((F.col("since") > days) | F.col("since").isNull()).select("industry", (F.col("d") + 1).alias("d"), F.lit(1).alias("change"))
+    closes = own.filter((F.col("until") > days) | F.col("until").isNull()).select("industry", (F.col("d") + days + 1).alias("d"), F.lit(-1).alias("change"))
+    changes = opens.unionByName(closes).groupBy("industry", "d").agg(F.sum("change").alias("change"))
+    w = Window.partitionBy("industry").orderBy("d")
+    both = daily.join(changes, ["industry", "d"], "full")
+    out = both.select("industry", "day", F.coalesce(F.sum("n").over(w.rangeBetween(-days, -1)), F.lit(0)).alias("articles"), F.coalesce(F.sum("change").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long").alias("symbols"))
+    return out.filter("day is not null")
 
 
 def moving_average(panel: DataFrame, size: int) -> DataFrame:
@@ -54,24 +66,61 @@ def forward_move(panel: DataFrame, sessions: int = 3) -> DataFrame:
     return panel.withColumn("move", F.when(F.col("close") != 0, F.round((later - F.col("close")) / F.col("close") * 100, 3)))
 
 
-def as_of_forward(asked: DataFrame, panel: DataFrame) -> DataFrame:
-    """Each asked (symbol, day) with the first panel row of that day or later.
+def _as_of(asked: DataFrame, panel: DataFrame, forward: bool, same_day: bool) -> DataFrame:
+    """Each asked (symbol, day) with the panel row next to it in one direction.
 
-    Both sides become one sorted sequence per symbol and a window carries the
-    next panel row back: one shuffle by key, no range join.
+    Both sides become one sequence for each symbol and year, and a running
+    window carries the last panel row on: one shuffle, work in proportion to
+    the rows, and no symbol's whole history in one task. Where a year has none,
+    the nearest row of the nearest year that has one comes from a small table.
     """
     values = [c for c in panel.columns if c not in ("symbol", "day")]
-    row = F.struct("day", *values)
-    up = asked.select("symbol", "day", F.lit(0).alias("_kind"), F.lit(None).cast(panel.select(row.alias("r")).schema["r"].dataType).alias("_row"), F.struct(*asked.columns).alias("_asked"))
-    down = panel.select("symbol", "day", F.lit(1).alias("_kind"), row.alias("_row"), F.lit(None).cast(up.schema["_asked"].dataType).alias("_asked"))
-    w = Window.partitionBy("symbol").orderBy("day", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    joined = up.unionByName(down).withColumn("_row", F.first("_row", ignorenulls=True).over(w)).filter("_kind = 0")
-    return joined.select("_asked.*", F.col("_row.day").alias("session"), *[F.col(f"_row.{c}").alias(c) for c in values])
+    row, year = F.struct("day", *values), F.year("day").alias("_year")
+    none = F.lit(None).cast(panel.select(row.alias("r")).schema["r"].dataType)
+    up = asked.select("symbol", "day", year, F.lit(1 if same_day else 0).alias("_place"), none.alias("_row"), F.struct(*asked.columns).alias("_asked"))
+    down = panel.select("symbol", "day", year, F.lit(0 if same_day else 1).alias("_place"), row.alias("_row"), F.lit(None).cast(up.schema["_asked"].dataType).alias("_asked"))
+    both = up.unionByName(down)
+    order = (lambda c: F.desc(c)) if forward else (lambda c: F.asc(c))
+    within = Window.partitionBy("symbol", "_year").orderBy(order("day"), "_place").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.when(F.col("_row").isNotNull(), F.col("day"))
+    nearest = F.min_by("_row", held) if forward else F.max_by("_row", held)
+    years = both.groupBy("symbol", "_year").agg(nearest.alias("_near"))
+    others = Window.partitionBy("symbol").orderBy(order("_year")).rowsBetween(Window.unboundedPreceding, -1)
+    years = years.select("symbol", "_year", F.last("_near", ignorenulls=True).over(others).alias("_other"))
+    found = both.withColumn("_row", F.last("_row", ignorenulls=True).over(within)).filter("_asked is not null").join(years, ["symbol", "_year"])
+    found = found.select("_asked", F.coalesce("_row", "_other").alias("_row"))
+    return found.select("_asked.*", F.col("_row.day").alias("session"), *[F.col(f"_row.{c}").alias(c) for c in values])
+
+
+def as_of_forward(asked: DataFrame, panel: DataFrame) -> DataFrame:
+    """Each asked (symbol, day) with the first panel row of that day or later."""
+    return _as_of(asked, panel, True, True)
+
 
+def as_of_backward(asked: DataFrame, panel: DataFrame) -> DataFrame:
+    """Each asked (symbol, day) with the last panel row before that day."""
+    return _as_of(asked, panel, False, False)
 
-def price_band(panel: DataFrame, size: int = 20) -> DataFrame:
-    """Per symbol: last close, low and high of the last sessions, pullback by two volatilities, not below the low."""
+
+def abnormal_return(panel: DataFrame, index: DataFrame, sessions: int = 3) -> DataFrame:
+    """Per (symbol, day): the return over the next sessions less that of the index (day, close) between the same two days."""
+    by = Window.partitionBy("symbol").orderBy("day")
+    rows = panel.select("symbol", "day", "close", F.lead("day", sessions).over(by).alias("until"), F.lead("close", sessions).over(by).alias("later")).filter("until is not null and close <> 0")
+    start, end = (index.select(F.col("day").alias(d), F.col("close").alias(c)) for d, c in (("day", "index_start"), ("until", "index_end")))
+    rows = rows.join(start, "day").join(end, "until").filter("index_start <> 0")
+    own, market = F.col("later") / F.col("close") - 1, F.col("index_end") / F.col("index_start") - 1
+    return rows.select("symbol", "day", "until", own.alias("own"), market.alias("market"), (own - market).alias("abnormal"))
+
+
+def price_band(panel: DataFrame, size: int = 20, least: int = 10) -> DataFrame:
+    """Per symbol: last close, low and high of the last sessions, pullback by two volatilities, not below the low.
+
+    Rows without a finite price are no sessions. No band without a volatility
+    or with fewer than ``least`` sessions.
+    """
+    panel = panel.filter(F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") < float("inf")))
     newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("day")))
     rows = volatility(panel, size).withColumn("_n", newest).filter(F.col("_n") <= size)
-    band = rows.groupBy("symbol").agg(F.max_by("close", "day").alias("close"), F.min("close").alias("low"), F.max("close").alias("high"), F.max_by("volatility", "day").alias("volatility"), F.count("close").alias("n")).filter("n >= 10")
-    return band.withColumn("pullback", F.round(F.greatest(F.round(F.col("close") * (1 - 2 * F.coalesce("volatility", F.lit(0.0))), 2), F.col("low")), 4)).drop("n")
+    band = rows.groupBy("symbol").agg(F.max_by("close", "day").alias("close"), F.min("close").alias("low"), F.max("close").alias("high"), F.max_by(F.coalesce("volatility", F.lit(float("nan"))), "day").alias("volatility"), F.count("close").alias("n"))
+    band = band.filter((F.col("n") >= least) & ~F.isnan("volatility"))
+    return band.withColumn("pullback", F.round(F.greatest(F.round(F.col("close") * (1 - 2 * F.col("volatility")), 2), F.col("low")), 4)).drop("n")

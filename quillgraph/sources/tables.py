@@ -61,7 +61,7 @@ def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Every column as text, with empty cells as '' and not null; raises if a column is missing."""
-    head = spark.read.option("header", True).csv(path)
+    head = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     if missing := set(columns) - set(head.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
     return head.na.fill("").select(*columns)

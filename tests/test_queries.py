@@ -46,7 +46,7 @@ def test_whole_tables(spark, sf_dir, duck):
     """Every mention and every line's id enters, whatever its date."""
     one = lambda sql: duck.sql(sql).fetchall()[0][0]
     mentions = one("SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
-    assert QUERIES["graph_edges_all"](spark, sf_dir).filter("relation = 'mentions'").count() == mentions
+    assert QUERIES["graph_edges"](spark, sf_dir).filter("relation = 'mentions'").count() == mentions
     ids = one("SELECT count(DISTINCT l_orderkey + 100000 * (l_linenumber // 7)) FROM lineitem")
-    assert QUERIES["batch_progress_all"](spark, sf_dir).first()["total"] == ids
-    assert QUERIES["manifest_digest_all"](spark, sf_dir).first()["n_rows"] == QUERIES["graph_edges_all"](spark, sf_dir).count()
+    assert QUERIES["batch_progress"](spark, sf_dir).first()["total"] == ids
+    assert QUERIES["manifest_digest"](spark, sf_dir).first()["n_rows"] == QUERIES["graph_edges"](spark, sf_dir).count()
