@@ -24,6 +24,10 @@ EVENT_PATTERNS = {
 EVENT_IMPACT = {"profit_growth": 2, "new_contract": 2, "expansion": 1, "dividend": 1, "merger": 1, "share_issuance": 0, "leadership_change": -1, "penalty": -2, "profit_decline": -2}
 
 
+#: Elements that are no text of a page.
+BOILERPLATE = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript")
+
+
 def clean(col: Column) -> Column:
     """White space (also no-break) as single blanks, trimmed; null as ''."""
     return F.coalesce(F.trim(F.regexp_replace(col, r"[\s ]+", " ")), F.lit(""))
@@ -90,9 +94,9 @@ def symbol_mentions(text: Column, markers: Sequence[str] = (), reach: int = 40)
 
 
 def percent_moves(text: Column, words: Sequence[str]) -> Column:
-    """Percentages that follow one of ``words`` within 20 signs."""
+    """Percentages, as decimal text, that follow one of ``words`` within 20 signs."""
     number = F.regexp_extract_all(text, F.lit(r"(?iu)(?:" + "|".join(words) + r")[^%\n]{0,20}?(\d{1,3}(?:[.,]\d+)?)\s*%"), F.lit(1))
-    return F.transform(number, lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+    return F.transform(number, lambda x: F.replace(x, F.lit(","), F.lit(".")))
 
 
 def html_title(html: Column) -> Column:
@@ -101,7 +105,7 @@ def html_title(html: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Text without boilerplate elements, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside|form|noscript)\b.*?</\1>|<!--.*?-->", " ")
+    bare = F.regexp_replace(html, rf"(?is)<({'|'.join(BOILERPLATE)})\b.*?</\1>|<!--.*?-->", " ")
     return clean(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
 
 

@@ -199,9 +199,29 @@ def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"))
 
 
-@query("html_body")
+_BOILERPLATE = "|".join(rf"<{t}\b.*?</{t}>" for t in X.BOILERPLATE) + "|<!--.*?-->"
+
+
+@query("html_body", rf"SELECT page_id, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is){_BOILERPLATE}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')), '') AS body FROM pages")
+def _(spark, d):
+    return S.table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("body"))
+
+
+@query("magnitude_hits", r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(?:tion|que|und)[^%\n]{0,20}?(\d{1,3}(?:[.,]\d+)?)\s*%', 1), lambda x: replace(x, ',', '.')), ' ') AS moves FROM documents")
+def _(spark, d):
+    found = X.percent_moves(F.col("text"), ("tion", "que", "und"))
+    return S.table(spark, d, "documents").select("doc_id", F.array_join(found, " ").alias("moves"))
+
+
+# SQL has no look-around: tests hold these two against plain Python.
+@query("ticker_mentions")
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.explode(X.symbol_mentions(F.col("text"))).alias("symbol"))
+
+
+@query("ticker_context_gate")
 def _(spark, d):
-    return S.table(spark, d, "pages").select("page_id", F.substring(X.html_text(F.col("html")), 1, 5000).alias("body"))
+    return S.table(spark, d, "documents").select("doc_id", F.explode(X.symbol_mentions(F.col("text"), ("the", "die", "que"))).alias("symbol"))
 
 
 @query("strip_metadata", r"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN list_contains(other, true) THEN array_to_string(lines[list_position(other, true):], chr(10)) ELSE '' END AS body FROM
