@@ -89,6 +89,8 @@ class Finder:
     def find(self, text: str | None) -> dict[int, tuple[int, int]]:
         """Item number: (distance, end in the normalised text)."""
         text = normal(text)
+        if not self.items or not text:
+            return {}
         where: dict[int, set[int]] = {}
         for end, (size, own) in self.automaton.iter(text):
             for number, offset in own:
