@@ -1,32 +1,34 @@
 """Token counts by a compiled finite-state tokenizer.
 
 The merges of a word-level BPE vocabulary (each word ends in a symbol of its
-own) become a transducer whose transitions carry the number of tokens emitted.
-The splitting into words is an automaton of three states at a cut: outside any
-word, in a run of letters, in a run of other signs. A chunk of text maps each of
-these to the state at its end, the tokens counted inside, and the open pieces at
-both ends. Such maps compose, and a prefix scan over a text's chunks gives every
-chunk's first token number and the total.
+own) become a transducer whose transitions carry the number of tokens that
+become certain (transducer.py). The splitting into words is an automaton of
+three states at a cut: outside any word, in a run of letters, in a run of other
+signs. Every text is cut into chunks. A chunk maps each of these states to the
+state at its end, the tokens counted inside, and the open pieces at both ends.
+Such maps compose, and a prefix scan over the chunks, in rounds whose steps do
+not depend on each other, gives the total. All chunks of one text are scanned
+in the task that has its row.
 
 Defined cases: a null text counts as empty: 0 bytes, 0 tokens. Strings of
 special tokens inside a text are one token each. Each row is counted by itself,
-so repeated rows and null ids pass through. An empty table gives an empty table.
+so repeated rows and null ids pass through. Other columns do not enter. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from quillgraph.llm.transducer import MergeTransducer
+from quillgraph.llm.common import with_found
+from quillgraph.llm.transducer import CountingTransducer
 
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 CACHED_WORDS, CACHED_LENGTH = 250_000, 48
 OUTSIDE, LETTERS, OTHER = 0, 1, 2
 END = 0x100  # added to a byte: the same byte as the last of its word
@@ -57,13 +59,13 @@ class WordCounter:
         merges = {tuple(map(symbols, m)): k for k, m in enumerate(model["merges"])}
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.letters, self.other = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*")
-        self.machine = MergeTransducer(words, lambda a, b: merges.get((a, b)))
+        self.letters, self.other, self.gap = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*"), regex.compile(r"\s")
+        self.machine = CountingTransducer(words, lambda a, b: merges.get((a, b)))
         self._kept = lru_cache(CACHED_WORDS)(self._count)
 
     def _count(self, word: str) -> int:
         data = word.encode("utf-8")
-        return len(self.machine.run(data[:-1].decode("latin-1") + chr(data[-1] + END)))
+        return self.machine.count(data[:-1].decode("latin-1") + chr(data[-1] + END))
 
     def word(self, word: str) -> int:
         return self._kept(word) if len(word) <= CACHED_LENGTH else self._count(word)
@@ -74,23 +76,31 @@ class WordCounter:
 
     def chunk_map(self, chunk: str) -> list[tuple[str, bool, int, str, int]]:
         """For each state at its start: piece that continues the open word, whether that is the whole chunk, tokens inside, open word at the end, state there."""
+        # Behind the first gap the state at the start makes no difference.
+        gap = self.gap.search(chunk)
+        near, beyond = (chunk[: gap.start()], chunk[gap.start() :]) if gap else (chunk, "")
+        count, tail, end = self._closed(beyond)
         out = []
         for state in (OUTSIDE, LETTERS, OTHER):
             run = (None, self.letters, self.other)[state]
-            head = run.match(chunk)[0] if run else ""
+            head = run.match(near)[0] if run else ""
             if len(head) == len(chunk):
                 out.append((head, True, 0, "", state))
-                continue
-            rest = chunk[len(head) :]
-            words = self.words.findall(rest)
-            tail, end = "", OUTSIDE
-            if words and rest.endswith(words[-1]):
-                end = LETTERS if self.letters.fullmatch(words[-1]) else OTHER if self.other.fullmatch(words[-1]) else OUTSIDE
-                if end:
-                    tail = words.pop()
-            out.append((head, False, sum(map(self.word, words)), tail, end))
+            elif beyond:
+                out.append((head, False, sum(map(self.word, self.words.findall(near[len(head) :]))) + count, tail, end))
+            else:
+                out.append((head, False, *self._closed(near[len(head) :])))
         return out
 
+    def _closed(self, text: str) -> tuple[int, str, int]:
+        """Tokens of all words but an open one at the end, that word, the state there."""
+        words, tail, end = self.words.findall(text), "", OUTSIDE
+        if words and text.endswith(words[-1]):
+            end = LETTERS if self.letters.fullmatch(words[-1]) else OTHER if self.other.fullmatch(words[-1]) else OUTSIDE
+            if end:
+                tail = words.pop()
+        return sum(map(self.word, words)), tail, end
+
     def then(self, first: list, second: list) -> list:
         """The map of two neighbouring chunks."""
         out = []
@@ -127,12 +137,8 @@ class WordCounter:
     def count(self, text: str, size: int = CHUNK) -> int:
         parts = self.special.split(text)
         total = len(parts) - 1
-        for part in parts:
-            part = self.normal(part)
-            if len(part) <= size:
-                total += sum(map(self.word, self.words.findall(part)))
-                continue
-            head, through, count, tail, _ = self.scan([self.chunk_map(c) for c in self.chunks(part, size)])[-1][OUTSIDE]
+        for part in filter(None, map(self.normal, parts)):
+            *_, count, tail, _ = self.scan([self.chunk_map(c) for c in self.chunks(part, size)])[-1][OUTSIDE]
             total += count + (self.word(tail) if tail else 0)
         return total
 
@@ -147,12 +153,13 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048) -> Da
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = _counter(vocabulary.value)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            counts = [counter.count(t) for t in texts]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]})
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+        def find(texts):
+            counts = [counter.count(t or "") for t in texts]
+            return [len((t or "").encode()) for t in texts], counts, [n > limit for n in counts]
+
+        return find
+
+    return with_found(docs, ["doc_id"], make, {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"})
