@@ -42,17 +42,17 @@ class ByteBpe:
         #: By the bytes that wait: for each token, the text it completes and the bytes that wait then.
         self._texts: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
 
-    def _piece(self, piece: str) -> tuple[list[int], str]:
-        ids = [self.ranks[t] for t in self.machine.run(piece.encode("utf-8").decode("latin-1"))]
-        return ids, " ".join(map(str, ids))
+    def _piece(self, piece: str) -> tuple[list[int], str, str]:
+        ids = list(map(self.ranks.__getitem__, self.machine.run(piece.encode("utf-8").decode("latin-1"))))
+        return ids, " ".join(map(str, ids)), "".join(self.decode_stream(ids))
 
-    def pieces(self, text: str) -> list[tuple[list[int], str]]:
-        """For each match of the pattern, its ids and their decimal form."""
+    def pieces(self, text: str) -> list[tuple[list[int], str, str]]:
+        """For each match of the pattern, its ids, their decimal form, and the text that they decode to; a piece is of whole characters."""
         kept = self._kept
         return [kept(p) if len(p) <= CACHED_LENGTH else self._piece(p) for p in self.pattern.findall(text)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in self.pieces(text)]))
+        return list(chain.from_iterable([ids for ids, _, _ in self.pieces(text)]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -173,10 +173,8 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
             rows = []
             for text in texts:
                 found = codec.pieces(text or "")
-                ids = list(chain.from_iterable([x for x, _ in found]))
-                shown = " ".join([s for _, s in found])
-                decoded = "".join(codec.decode_stream(ids))
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                shown, decoded = " ".join([s for _, s, _ in found]), "".join([t for _, _, t in found])
+                rows.append((sum([len(ids) for ids, _, _ in found]), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             return tuple(zip(*rows)) or ((), (), ())
 
         return find

@@ -187,13 +187,17 @@ class MergeTransducer:
             self._reset()
         out: list[str] = []
         state, moves, held = 0, self._moves, []
-        for symbol in word:
-            state, token = moves[state].get(symbol) or self._move(state, symbol)
-            held.append(token)
-            if len(held) >= HOLD:
+        for at in range(0, len(word), HOLD):
+            if held:
                 sure = self._settled(state, held)
                 out += self._back(held, sure)
                 del held[:sure]
+            for symbol in word[at : at + HOLD]:
+                try:
+                    state, token = moves[state][symbol]
+                except KeyError:
+                    state, token = self._move(state, symbol)
+                held.append(token)
         return out + self._back(held, len(held))
 
 
@@ -212,6 +216,9 @@ class CountingTransducer(MergeTransducer):
             self._reset()
         total, state, moves = 0, 0, self._moves
         for symbol in word:
-            state, sure = moves[state].get(symbol) or self._move(state, symbol)
+            try:
+                state, sure = moves[state][symbol]
+            except KeyError:
+                state, sure = self._move(state, symbol)
             total += sure
         return total + self._states[state][1][-1][1]
