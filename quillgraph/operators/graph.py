@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import stable_id
+from quillgraph.sources.sinks import cut
 
 
 def edges_of(dated: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -57,3 +60,127 @@ def same_industry(dictionary: DataFrame) -> DataFrame:
     """Pairs a < b of symbols of one industry: the definition asks for every pair."""
     a, b = dictionary.select(F.col("symbol").alias("a"), "industry"), dictionary.select(F.col("symbol").alias("b"), "industry")
     return a.join(b, "industry").filter("a < b")
+
+
+def stock_features(edges: DataFrame) -> DataFrame:
+    """Per stock: articles that mention it, positive and negative ones (two hops: article, sentiment) and their ratio.
+
+    One aggregation by article gives its sentiments; the join is by article and
+    the sums by stock combine before they are shuffled.
+    """
+    mood = edges.filter("relation = 'has_sentiment'").groupBy(F.col("src").alias("news")).agg(F.count_if(F.col("dst") == "sentiment_Positive").alias("p"), F.count_if(F.col("dst") == "sentiment_Negative").alias("m"))
+    told = edges.filter("relation = 'mentions'").select(F.col("src").alias("news"), F.col("dst").alias("stock"))
+    sums = told.join(mood, "news", "left").groupBy("stock").agg(F.count(F.lit(1)).alias("mention_frequency"), F.coalesce(F.sum("p"), F.lit(0)).alias("positive"), F.coalesce(F.sum("m"), F.lit(0)).alias("negative"))
+    return sums.withColumn("ratio", F.round(F.col("positive") / (F.col("positive") + F.col("negative") + 0.001), 4))
+
+
+def neighbours(edges: DataFrame, node: str) -> DataFrame:
+    """Nodes one edge from ``node``, in either direction."""
+    out = edges.filter(F.col("src") == node).select(F.col("dst").alias("node_id"))
+    return out.union(edges.filter(F.col("dst") == node).select("src")).filter(F.col("node_id") != node).distinct()
+
+
+def industry_subgraph(edges: DataFrame, industry: str) -> DataFrame:
+    """Edges among an industry's node, its stocks and all out-neighbours of these."""
+    top = f"industry_{industry}"
+    members = edges.filter((F.col("relation") == "belongs_to") & (F.col("dst") == top)).select(F.col("src").alias("node_id"))
+    seeds = members.union(edges.sparkSession.createDataFrame([(top,)], "node_id string"))
+    return ego(edges, seeds, 1)
+
+
+def missing_same_industry(dated: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Pairs a < b of one article whose industries agree (two unknown ones agree), once each."""
+    named = dated.join(dictionary.select("symbol", "industry"), "symbol", "left")
+    a = named.select("news_id", F.col("symbol").alias("a"), F.col("industry").alias("_i"))
+    b = named.select("news_id", F.col("symbol").alias("b"), F.col("industry").alias("_j"))
+    return a.join(b, "news_id").filter("a < b and _i <=> _j").select("a", "b", F.col("_i").alias("industry")).distinct()
+
+
+def contract_violations(edges: DataFrame, contract: dict[str, tuple[str, str]]) -> DataFrame:
+    """relation, edges and those whose ends are not of the contract's types (relation: (type of src, type of dst)); an unknown relation violates."""
+    ends = F.create_map(*[F.lit(x) for r, (s, t) in contract.items() for x in (r, f"{s}>{t}")])
+    seen = F.concat_ws(">", F.substring_index("src", "_", 1), F.substring_index("dst", "_", 1))
+    return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.count_if(~F.coalesce(ends[F.col("relation")] == seen, F.lit(False))).alias("violations"))
+
+
+def merge_nodes(rows: DataFrame) -> DataFrame:
+    """First write of each node_id (by ``place``); the job fails if two rows give it different types or names."""
+    first = rows.groupBy("node_id").agg(F.min_by(F.struct("node_type", "name"), "place").alias("n"), F.count_distinct(F.struct("node_type", "name")).alias("k"))
+    kept = F.when(F.col("k") == 1, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("node with two types or names: "), "node_id")))
+    return first.select("node_id", kept.alias("n")).select("node_id", "n.node_type", "n.name")
+
+
+def merge_edges(rows: DataFrame) -> DataFrame:
+    """Equal rows of an edge_id as one; the job fails if one has rows that differ."""
+    own = F.struct(*[c for c in rows.columns if c != "edge_id"])
+    one = rows.groupBy("edge_id").agg(F.first(own).alias("e"), F.count_distinct(own).alias("k"))
+    kept = F.when(F.col("k") == 1, F.col("e")).otherwise(F.raise_error(F.concat(F.lit("edge with rows that differ: "), "edge_id")))
+    return one.select("edge_id", kept.alias("e")).select("edge_id", "e.*")
+
+
+def _ways(edges: DataFrame) -> DataFrame:
+    """Both directions of every edge between different nodes, once."""
+    return edges.select(F.col("src").alias("v"), F.col("dst").alias("w")).union(edges.select("dst", "src")).filter("v <> w").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node_id and component (its smallest node) of the graph without directions.
+
+    Each round, every node takes the least label among its neighbours' and its
+    own, and then the label of that label, so that long chains shorten by
+    jumps. Each round is written; the loop ends when no label changes.
+    """
+    ways = cut(_ways(edges))
+    labels = cut(nodes_of(edges).select("node_id", F.col("node_id").alias("component")))
+    while True:
+        heard = ways.join(labels, ways["w"] == labels["node_id"]).groupBy("v").agg(F.min("component").alias("heard"))
+        near = labels.join(heard, labels["node_id"] == heard["v"], "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("near"))
+        # A label hears what its own bearers heard, so that whole groups move at once.
+        best = near.groupBy(F.col("old").alias("_old")).agg(F.min("near").alias("best"))
+        moved = near.join(best, near["old"] == best["_old"]).select("node_id", F.col("best").alias("component"), (F.col("best") != F.col("old")).alias("changed"))
+        moved = cut(moved)
+        if moved.filter("changed").isEmpty():
+            return moved.select("node_id", "component")
+        labels = moved.select("node_id", "component")
+
+
+def _levels(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Both directions of the edges, and for each distance the rows (s, v, paths): shortest paths from s to v."""
+    ways = cut(_ways(edges))
+    start = nodes_of(edges).select(F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(1.0).alias("paths"))
+    levels = [cut(start)]
+    while not levels[-1].isEmpty():
+        next_ = levels[-1].join(ways, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        # A neighbour of distance k lies at k - 1, k or k + 1.
+        for near in levels[-2:]:
+            next_ = next_.join(near.select("s", "v"), ["s", "v"], "left_anti")
+        levels.append(cut(next_))
+    return ways, levels[:-1]
+
+
+def centralities(edges: DataFrame) -> DataFrame:
+    """node_id, closeness (scaled by the part of the nodes reached) and exact normalised betweenness, without directions or weights.
+
+    Breadth-first levels of all nodes at once, then the shares of paths from
+    the last level back to the first. There is a row for every reachable pair,
+    as exact betweenness asks.
+    """
+    ways, levels = _levels(edges)
+    rows = [level.select("s", "v", F.lit(k).alias("d")) for k, level in enumerate(levels)]
+    pairs = reduce(DataFrame.unionByName, rows)
+    n = F.broadcast(nodes_of(edges).agg(F.count(F.lit(1)).alias("n")))  # one row
+    near = pairs.groupBy("s").agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("d").alias("far"))
+    near = near.join(n).select(F.col("s").alias("node_id"), F.round(F.coalesce(F.try_divide(F.col("r").cast("double") * F.col("r"), F.col("far") * (F.col("n") - 1)), F.lit(0.0)), 9).alias("closeness"), "n")
+    shares, behind = [], None
+    for level in reversed(levels[1:]):
+        here = level.withColumn("share", F.lit(0.0)) if behind is None else level.join(behind, ["s", "v"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))).select("s", "v", "paths", "share")
+        here = cut(here)
+        shares.append(here.select("v", "share"))
+        before = levels[len(levels) - 1 - len(shares)]
+        back = here.select("s", F.col("v").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("part")).join(ways, "w")
+        behind = back.join(before, ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("part") * F.col("paths")).alias("share"))
+    if not shares:
+        return near.select("node_id", "closeness", F.lit(0.0).alias("betweenness"))
+    through = reduce(DataFrame.unionByName, shares).groupBy(F.col("v").alias("node_id")).agg(F.sum("share").alias("through"))
+    between = F.round(F.coalesce(F.try_divide(F.col("through"), (F.col("n") - 1) * (F.col("n") - 2)), F.lit(0.0)), 9)
+    return near.join(through, "node_id", "left").select("node_id", "closeness", between.alias("betweenness"))

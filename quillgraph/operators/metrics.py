@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -119,3 +121,72 @@ def bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int = 200,
     drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg("mean").alias("mean"))
+
+
+def weighted(rows: DataFrame, weight: Column) -> DataFrame:
+    """Accuracy and mean F1 of the classes seen, each row counting by its weight."""
+    right = F.col("truth") == F.col("predicted")
+    c = rows.groupBy("truth", "predicted").agg(F.sum(weight).cast("double").alias("w"))
+    t = c.groupBy(F.col("truth").alias("label")).agg(F.sum("w").alias("s"), F.sum(F.when(right, F.col("w")).otherwise(0.0)).alias("tp"))
+    p = c.groupBy(F.col("predicted").alias("label")).agg(F.sum("w").alias("g"))
+    j = t.join(p, "label", "full").na.fill(0)
+    return j.filter(F.col("s") + F.col("g") > 0).agg(F.round(F.try_divide(F.sum("tp"), F.sum("s")), 6).alias("weighted_accuracy"), F.round(F.avg(2 * F.col("tp") / (F.col("s") + F.col("g"))), 6).alias("macro_f1"))
+
+
+def hit_rates(rows: DataFrame, up: str, realised: str, cost: float) -> DataFrame:
+    """n, share of right directions, share of rises, mean move and the hit rate at which trading at ``cost`` breaks even."""
+    rose, move = F.col(realised) > 0, F.avg(F.abs(realised))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col(up) == rose).cast("int")), 6).alias("hit_rate"), F.round(F.avg(rose.cast("int")), 6).alias("base_rate"),
+        F.round(move, 6).alias("mean_move"), F.round(0.5 + F.try_divide(F.lit(cost), 2 * move), 6).alias("break_even"),
+    )
+
+
+def band_verdict(bands: DataFrame) -> DataFrame:
+    """Whether realised shares rise from band to band (band, mean, share), and whether the means lie above them. One row a band."""
+    before = F.lag("share").over(Window.orderBy("band"))
+    rising = F.bool_and(F.coalesce(F.col("share") > F.col("before"), F.lit(True)))
+    s = bands.withColumn("before", before).agg(F.count(F.lit(1)).alias("bands"), rising.alias("rising"), F.avg(F.col("mean") - F.col("share")).alias("above"))
+    ranks = (F.col("bands") >= 2) & F.col("rising")
+    return s.select("bands", F.when(~ranks, "DOES_NOT_RANK").when(F.col("above") > 0, "RANKS_WELL_BUT_OVERSTATES_LEVEL").otherwise("RANKS_WELL").alias("verdict"))
+
+
+def mean_probability(one: Column, two: Column) -> Column:
+    return F.zip_with(one, two, lambda a, b: (a + b) / 2)
+
+
+def best_class(probabilities: Column) -> Column:
+    """Place, from 1, of the greatest; the first of equal ones."""
+    return F.array_position(probabilities, F.array_max(probabilities)).cast("int")
+
+
+def expected_net(probabilities: Column, class_means: Sequence[float], cost: float) -> Column:
+    parts = F.zip_with(probabilities, F.array(*map(F.lit, class_means)), lambda p, m: p * m)
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) - cost
+
+
+def gated_delta(rows: DataFrame, cluster: str, a: str, b: str, least: float, draws: int = 1000) -> DataFrame:
+    """Mean of a - b, its interval over resampled clusters, and whether it passes: by ``least`` and above 0, or only not below 0."""
+    each = rows.withColumn("_delta", F.col(a) - F.col(b))
+    interval = bootstrap_mean(each, cluster, "_delta", draws)
+    # One row on either side.
+    both = each.agg(F.avg("_delta").alias("delta")).join(F.broadcast(interval.select("low", "high")))
+    return both.select(F.round("delta", 6).alias("delta"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), ((F.col("delta") >= least) & (F.col("low") > 0)).alias("primary_gate"), (F.col("delta") >= 0).alias("strict_gate"))
+
+
+def gates(found: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
+    """metric, value, threshold, passed for the columns of a one-row table; an absent value does not pass."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for m, t in thresholds.items()])
+    long = found.select(F.explode(rows).alias("r")).select("r.*")
+    return long.select("metric", F.round("value", 6).alias("value"), "threshold", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)).alias("passed"))
+
+
+def parity(one: DataFrame, two: DataFrame, keys: list[str], features: list[str], tolerance: float = 1e-6, share: float = 0.999) -> DataFrame:
+    """Rows of ``one``, those whose features all agree with ``two`` (both null agrees), and whether these reach ``share``."""
+    other = two.select(*keys, *[F.col(f).alias(f"_{f}") for f in features], F.lit(True).alias("_there"))
+    agree = [F.coalesce(F.abs(F.col(f) - F.col(f"_{f}")) <= tolerance, F.col(f).isNull() & F.col(f"_{f}").isNull()) for f in features]
+    all_agree = F.col("_there").isNotNull()
+    for a in agree:
+        all_agree = all_agree & a
+    s = one.join(other, keys, "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(all_agree).alias("same"))
+    return s.withColumn("passed", F.col("same") >= share * F.col("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +126,28 @@ def price_band(panel: DataFrame, size: int = 20, least: int = 10) -> DataFrame:
     band = rows.groupBy("symbol").agg(F.max_by("close", "day").alias("close"), F.min("close").alias("low"), F.max("close").alias("high"), F.max_by(F.coalesce("volatility", F.lit(float("nan"))), "day").alias("volatility"), F.count("close").alias("n"))
     band = band.filter((F.col("n") >= least) & ~F.isnan("volatility"))
     return band.withColumn("pullback", F.round(F.greatest(F.round(F.col("close") * (1 - 2 * F.col("volatility")), 2), F.col("low")), 4)).drop("n")
+
+
+def moves(panel: DataFrame, sessions: int = 3) -> DataFrame:
+    """Per (symbol, day) with a price before and ``sessions`` later: the return until then, and a guess that a fallen price rises."""
+    by = Window.partitionBy("symbol").orderBy("day")
+    rows = panel.select("symbol", "day", "close", F.lag("close").over(by).alias("before"), F.lead("close", sessions).over(by).alias("later"))
+    return rows.filter("later is not null and before is not null and close <> 0").select("symbol", "day", (F.col("close") < F.col("before")).alias("up"), (F.col("later") / F.col("close") - 1).alias("realised"))
+
+
+def log_return(levels: DataFrame, key: str) -> DataFrame:
+    """Per key and day the log of the level over that of the session before; the first is 0."""
+    before = F.lag("close").over(Window.partitionBy(key).orderBy("day"))
+    return levels.withColumn("log_return", F.coalesce(F.ln(F.col("close") / before), F.lit(0.0)))
+
+
+def ladder_entry(asked: DataFrame, cells: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """symbol, volatility_group, level and fill_rate: the cell of the group, or ALL if it is not reliable, at the level nearest to ``depth``.
+
+    ``cells`` (group, reliable, level, fill_rate) has one row for each group and
+    level. A symbol without such a cell gives no row.
+    """
+    near = F.array_min(F.array(*[F.struct(F.abs(F.lit(float(v)) - F.col("depth")).alias("d"), F.lit(k).alias("level")) for k, v in enumerate(levels, 1)]))["level"]
+    sure = cells.filter("reliable").select("group").distinct().withColumn("_sure", F.lit(True))
+    placed = asked.withColumn("level", near).join(sure, "group", "left").withColumn("group", F.when(F.col("_sure"), F.col("group")).otherwise("ALL"))
+    return placed.join(cells.select("group", "level", "fill_rate"), ["group", "level"]).select("symbol", F.col("group").alias("volatility_group"), "level", "fill_rate")

@@ -1 +1,4 @@
-"""Spark-native analytics over news, relations and prices."""
+"""Registered queries: importing the package registers all of them."""
+
+from quillgraph.plans import catalog, checks, evaluation, fields  # noqa: F401
+from quillgraph.plans.registry import ORACLES, QUERIES  # noqa: F401

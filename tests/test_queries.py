@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillgraph.plans.catalog import ORACLES, QUERIES
+from quillgraph.plans import ORACLES, QUERIES
 
 
 def _ordered(rows, columns):
