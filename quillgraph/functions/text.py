@@ -126,3 +126,82 @@ def wilson(k: Column, n: Column, z: float = 1.9599639845) -> Column:
     p, d = k / F.nullif(n, F.lit(0)), 1 + z * z / F.nullif(n, F.lit(0))
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return F.struct(F.greatest((mid - half) / d, F.lit(0.0)).alias("low"), ((mid + half) / d).alias("high"))
+
+
+def short_label(title: Column, fallback: Column, size: int = 42) -> Column:
+    """White space as single blanks, cut to ``size`` signs with an ellipsis; ``fallback`` for an absent or empty title."""
+    whole = F.trim(F.regexp_replace(title, r"\s+", " "))
+    cut = F.concat(F.rtrim(F.substring(whole, 1, size - 1)), F.lit("…"))
+    return F.when(title.isNull() | (title == ""), fallback).when(F.length(whole) <= size, whole).otherwise(cut)
+
+
+def as_number(value: Column, default: float = 0.0) -> Column:
+    """The text as a number; ``default`` where it is none, absent or NaN."""
+    return F.coalesce(F.nanvl(value.try_cast("double"), F.lit(None).cast("double")), F.lit(default))
+
+
+def as_flag(value: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(value)).isin("true", "1", "yes"), F.lit(False))
+
+
+def preview(content: Column, limit: int = 500) -> Column:
+    """struct(paragraphs, truncated): trimmed paragraphs that are not blank, until ``limit`` signs are used.
+
+    The one that passes the limit is cut, at its last blank if that lies past
+    40 signs, and ends in an ellipsis. The limit is the feature.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    empty = F.struct(F.array().cast("array<string>").alias("paragraphs"), F.lit(0).alias("used"), F.lit(False).alias("truncated"))
+
+    def step(s: Column, p: Column) -> Column:
+        left = F.lit(limit) - s["used"]
+        head = F.substr(p, F.lit(1), left)
+        blank = F.length(head) - F.instr(F.reverse(head), " ")
+        kept = F.when((F.instr(head, " ") > 0) & (blank > 40), F.substr(head, F.lit(1), blank)).otherwise(head)
+        cut = F.concat(F.regexp_replace(kept, r"\s+$", ""), F.lit("…"))
+        state = lambda a, u, t: F.struct(a.alias("paragraphs"), u.alias("used"), t.alias("truncated"))
+        fits = F.length(p) <= left
+        return (
+            F.when(s["truncated"] | (left <= 0), state(s["paragraphs"], s["used"], F.lit(True)))
+            .when(fits, state(F.array_append(s["paragraphs"], p), s["used"] + F.length(p), F.lit(False)))
+            .otherwise(state(F.array_append(s["paragraphs"], cut), F.lit(limit), F.lit(True)))
+        )
+
+    return F.aggregate(parts, empty, step, lambda s: F.struct(s["paragraphs"].alias("paragraphs"), s["truncated"].alias("truncated")))
+
+
+def market_open(instant: Column, zone: str = "Asia/Ho_Chi_Minh") -> Column:
+    """Whether the exchange trades: a weekday, from 9:00 to 11:30 or from 13:00 to 14:45 in ``zone``. The hours are fixed values."""
+    here = F.from_utc_timestamp(instant, zone)
+    minute = F.hour(here) * 60 + F.minute(here)
+    return (F.weekday(here) < 5) & (minute.between(540, 690) | minute.between(780, 885))
+
+
+def evidence_points(tier: Column, directness: Column, reason: Column, symbol: Column, url: Column, event: Column, confidence: Column) -> Column:
+    """0 to 100 from what supports a row. The points are fixed values."""
+    there = lambda c: clean(c) != ""
+    points = [(clean(tier) == "HIGH_PRECISION", 25), (clean(directness).startswith("TITLE_"), 20), (there(reason), 15), (there(symbol), 10), (there(url), 10), (clean(event) != "OTHER", 10), (clean(confidence) == "HIGH", 10)]
+    return sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0))
+
+
+def review_priority(event: Column, rare: Sequence[str]) -> Column:
+    return F.when(event.isin(*rare), "CRITICAL").when(event != "OTHER", "HIGH").otherwise("MEDIUM")
+
+
+def quote(price: Column, reference: Column) -> Column:
+    """struct(price, change, percent): a price of 0 means the reference; without a reference nothing changes."""
+    ref, own = as_number(reference), as_number(price)
+    now = F.when(own == 0, ref).otherwise(own)
+    change = F.when(ref != 0, F.round(now - ref, 2)).otherwise(0.0)
+    return F.struct(now.alias("price"), change.alias("change"), F.when(ref != 0, F.round(change / ref * 100, 2)).otherwise(0.0).alias("percent"))
+
+
+def primary(results: Column) -> Column:
+    """The first element whose focus is PRIMARY, else the first, else null."""
+    return F.coalesce(F.get(F.filter(results, lambda r: r["focus"] == "PRIMARY"), F.lit(0)), F.get(results, F.lit(0)))
+
+
+def with_symbols(content: Column, symbols: Column) -> Column:
+    """The text, and behind it the sorted distinct symbols."""
+    names = F.array_join(F.array_sort(F.array_distinct(symbols)), ", ")
+    return F.when(names == "", F.coalesce(content, F.lit(""))).otherwise(F.concat(F.coalesce(content, F.lit("")), F.lit("\n\n"), names))
