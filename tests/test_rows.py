@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import rows as R
 from quillgraph.operators import upserts as U
+from quillgraph.plans import QUERIES
 
 
 def _one(spark, column, *values, names="a b c"):
@@ -63,3 +64,11 @@ def test_extend(spark):
     fresh = spark.createDataFrame([("A", 1, 99), ("A", 2, 11), ("A", 2, 11), ("B", 1, 5)], held.schema)
     assert sorted(map(tuple, U.extend(held, fresh, ["symbol", "day"]).collect())) == [("A", 1, 10), ("A", 2, 11), ("B", 1, 5)]
     assert [r[0] for r in U.missing_keys(fresh, held, "symbol").collect()] == ["B"]
+
+
+def test_leaking_columns_query(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf_dir}/orders.parquet").to_pydict()
+    want = {n: sum(v is not None for v in values) for n, values in rows.items() if "price" in n.lower() or n.lower().startswith("o_orders")}
+    assert want and {r["name"]: r["filled"] for r in QUERIES["leaking_columns"](spark, sf_dir).collect()} == want
