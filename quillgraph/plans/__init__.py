@@ -1,4 +1,4 @@
 """Registered queries: importing the package registers all of them."""
 
-from quillgraph.plans import catalog, checks, evaluation, fields, rows  # noqa: F401
+from quillgraph.plans import catalog, checks, evaluation, fields, learning, rows  # noqa: F401
 from quillgraph.plans.registry import ORACLES, QUERIES  # noqa: F401
