@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,3 +120,23 @@ def partitions(spark: SparkSession) -> int:
 
 def lower_ascii(col):
     return F.translate(col, UPPER, UPPER.lower())
+
+
+#: Integer components of vectors stay below this, so that products and squared distances fit a long.
+MOST_WHOLE = 1 << 27
+
+
+def finite(v):
+    """Whether no component of an array column is null, infinite or no number."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def whole(v):
+    """floor(256 * x) for each component x as a double; an error beyond MOST_WHOLE."""
+    scaled = F.transform(v, lambda x: F.floor(x.cast("double") * 256))
+    return F.when(F.exists(v, lambda x: F.abs(x.cast("double")) * 256 >= MOST_WHOLE), F.raise_error(F.lit("a vector component is too large for integer distances"))).otherwise(scaled)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column whose arrays all have one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

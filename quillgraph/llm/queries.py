@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from quillgraph.llm.byte_bpe import round_trip_digest
+from quillgraph.llm.centroids import CENTROIDS_SQL, centroid_clusters
 from quillgraph.llm.common import read
 from quillgraph.llm.decontaminate import find_leaks
 from quillgraph.llm.licenses import scan_licenses
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_secrets": lambda spark, d: scan_secrets(_docs(spark, d)),
     "op9_byte_bpe": lambda spark, d: round_trip_digest(_docs(spark, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op10_licenses": lambda spark, d: scan_licenses(_docs(spark, d)),
+    "op13_centroids": lambda spark, d: centroid_clusters(read(spark, d, "embeddings")),
 }
 
-ORACLES = {"op5_line_dedup": LINE_DEDUP_SQL}
+ORACLES = {"op5_line_dedup": LINE_DEDUP_SQL, "op13_centroids": CENTROIDS_SQL}
