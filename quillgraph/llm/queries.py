@@ -8,6 +8,7 @@ from quillgraph.llm.byte_bpe import round_trip_digest
 from quillgraph.llm.centroids import CENTROIDS_SQL, centroid_clusters
 from quillgraph.llm.common import read
 from quillgraph.llm.decontaminate import find_leaks
+from quillgraph.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from quillgraph.llm.nearest import nearest_vectors
@@ -33,7 +34,8 @@ QUERIES = {
     "op8_secrets": lambda spark, d: scan_secrets(_docs(spark, d)),
     "op9_byte_bpe": lambda spark, d: round_trip_digest(_docs(spark, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op10_licenses": lambda spark, d: scan_licenses(_docs(spark, d)),
+    "op11_hard_negatives": lambda spark, d: hard_negatives(read(spark, d, "embeddings")),
     "op13_centroids": lambda spark, d: centroid_clusters(read(spark, d, "embeddings")),
 }
 
-ORACLES = {"op5_line_dedup": LINE_DEDUP_SQL, "op13_centroids": CENTROIDS_SQL}
+ORACLES = {"op5_line_dedup": LINE_DEDUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op13_centroids": CENTROIDS_SQL}

@@ -80,3 +80,65 @@ def test_pivots_leave_few_centroids_on_grouped_vectors():
     exact = ((v[:, None, :] - middles[None]) ** 2).sum(axis=2)
     assert (best == exact.min(axis=1)).all() and (cluster == exact.argmin(axis=1)).all()
     assert taken < 0.1 * exact.size
+
+
+def _plain_negatives(rows, every, dims=4):
+    labels = {i: (r[2] + 1) % 10 if i % 7 == 0 else r[2] for r in rows if (i := r[0]) is not None and r[2] is not None}
+    own = {}
+    for (i, v), r in zip(_whole(rows, dims), [r for r in rows if r[0] in {j for j, _ in _whole(rows, dims)}], strict=False):
+        if i in labels and (i not in own or v < own[i]):
+            own[i] = v
+    out = []
+    for a in (i for i in own if i % every == 0):
+        score = {i: sum(x * y for x, y in zip(own[a], own[i], strict=True)) for i in own if i != a}
+        best = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in best if labels[i] == labels[a]][:5]:
+            fits = [i for i in best if labels[i] != labels[a] and 50 * score[p] <= 100 * score[i] <= 95 * score[p]]
+            out += [(a, p, k + 1, n, score[p], score[n]) for k, n in enumerate(fits[:3])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("chunk", "block_rows"), [(1000, 1024), (7, 16), (1, 1)])
+def test_hard_negatives(spark, chunk, block_rows, monkeypatch):
+    from quillgraph.llm import hard_negatives as hard
+
+    monkeypatch.setattr(hard, "PROBES", 2)
+    rows = _rows(120 if chunk > 1 else 30, spread=0.6)
+    rows += [*_odd(), (500, [0.1, 0.2, 0.3, 0.4], None, "a", "b", "c"), (None, [0.1, 0.2, 0.3, 0.4], 1, "a", "b", "c"), (15, [-0.9, 0.2, 0.3, 0.4], rows[15][2], "a", "b", "c"), rows[20], rows[20]]
+    label = hard.F.when(hard.F.col("vec_id") % 7 == 0, (hard.F.col("label") + 1) % 10).otherwise(hard.F.col("label"))
+    frame = _frame(spark, rows).withColumn("label", label)
+    got = hard.mine(frame, hard.F.col("vec_id") % 5 == 0, chunk=chunk, block_rows=block_rows)
+    want = _plain_negatives(rows, 5)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+    assert hard.mine(frame.limit(0), hard.F.col("vec_id") % 5 == 0).count() == 0
+    assert hard.hard_negatives(_frame(spark, _odd())).count() == 0
+
+
+def test_hilbert_keys_visit_neighbours():
+    from quillgraph.llm.hard_negatives import hilbert_keys, reach
+
+    for dims, bits in ((2, 4), (3, 3), (5, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
+        keys = hilbert_keys(cells, bits)
+        assert len(set(keys)) == len(cells)
+        path = cells[sorted(range(len(keys)), key=keys.__getitem__)]
+        assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+    chance = np.random.default_rng(2)
+    v, points = chance.integers(-9, 9, (6, 5)), chance.integers(-9, 9, (30, 5))
+    least, greatest = reach(v, points.min(axis=0)[None], points.max(axis=0)[None])
+    assert (least <= v @ points.T).all() and (greatest >= v @ points.T).all()
+
+
+def test_zone_maps_leave_blocks_unread(spark):
+    from quillgraph.llm import hard_negatives as hard
+
+    chance = np.random.default_rng(5)
+    middles = chance.normal(0, 1, (40, 8))
+    rows = [(k, (middles[k % 40] + chance.normal(0, 0.02, 8)).tolist(), k % 4, "a", "b", "c") for k in range(4000)]
+    blocks = hard.in_blocks(hard.usable(_frame(spark, rows)), 32)
+    zones = hard.zone_maps(blocks)
+    ids, labels, v = next(hard._chunks(blocks.filter("vec_id = 50"), 10))
+    asked = hard.Asked(ids, labels, v, np.array([[0]]), np.array([[hard.MOST]]), ids, True, 5)
+    asked.floor[:] = int(v[0] @ v[0] * 0.95)
+    read = hard._needed(blocks, zones, spark.sparkContext.broadcast(asked)).count()
+    assert 5 <= read < 0.1 * blocks.filter(f"label = {labels[0]}").count()
