@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut
+from quillgraph.llm.common import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node of ``edges`` (a, b longs)."""
+    """(node, component), written: the smallest node reachable, for each node of ``edges`` (a, b longs)."""
     stars = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     seen = None
     while True:
@@ -20,9 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
         # Small stars: a node and its smaller neighbours go to the smallest of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "stars")
+        before, stars = stars, cut(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "stars")
+        forget(before)
         now = stars.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = cut(found, "components")
+    forget(stars)
+    return found

@@ -34,7 +34,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -218,28 +219,30 @@ def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("a", "b", F.coalesce(fits & (far * (rule.den + rule.num) <= bound), F.lit(False)).alias("near"))
 
 
-def _verified(near: DataFrame, docs: DataFrame, label: DataFrame, sets: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, near, linked) for pairs marked near or not, and the exact sets so far; these decide on the near ones."""
+def _verified(near: DataFrame, docs: DataFrame, label: DataFrame, sets: list[DataFrame], rule: Rule) -> DataFrame:
+    """(a, b, near, linked), written, for pairs marked near or not; the exact sets of ``sets`` and those added to it decide on the near ones."""
     close = near.filter("near").select("a", "b")
-    far = near.filter("not near").withColumn("linked", F.lit(False))
+    out = near.filter("not near").withColumn("linked", F.lit(False))
     needed = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
-    if sets is not None:
-        needed = needed.join(sets.select("cls"), "cls", "left_anti")
+    for held in sets:
+        needed = needed.join(held.select("cls"), "cls", "left_anti")
     needed = label.select("cls", "doc_id", "text_hash").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     needed = cut(needed.select("cls", "row.doc_id", "row.text_hash"), "needed")
     count = needed.count()
     if count:
         chosen = F.broadcast(needed) if count <= BROADCAST_ROWS else needed
-        more = cut(_sets(docs, chosen, rule), "shingle-sets")
-        sets = more if sets is None else sets.unionByName(more)
-    if sets is None:
-        return far, sets
-    left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    union = F.size("ha") + F.size("hb") - both
-    decided = close.join(left, "a").join(right, "b").select("a", "b", F.lit(True).alias("near"), (both * rule.den >= union * rule.num).alias("linked"))
-    return decided.unionByName(far), sets
+        sets.append(cut(_sets(docs, chosen, rule), "shingle-sets"))
+    if sets:
+        every = reduce(DataFrame.unionByName, sets)
+        left = every.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
+        right = every.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        union = F.size("ha") + F.size("hb") - both
+        decided = close.join(left, "a").join(right, "b").select("a", "b", F.lit(True).alias("near"), (both * rule.den >= union * rule.num).alias("linked"))
+        out = decided.unionByName(out)
+    out = cut(out, "verified")
+    forget(needed)
+    return out
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
@@ -314,7 +317,7 @@ def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFrame, rule: Rule, reach: int) -> DataFrame:
-    """(a, b, word): near untested pairs of different components in larger groups, compared in blocks; ``word`` names the groups that have more of them.
+    """(a, b, word), written: near untested pairs of different components in larger groups, compared in blocks; ``word`` names the groups that have more of them.
 
     A group's largest component has no pairs within itself to find: its blocks
     only meet those of the rest, so that work grows with group times rest.
@@ -324,29 +327,39 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     parts = parts.groupBy("word").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
     in_blocks = lambda size: F.ceil(size / BLOCK_ROWS).cast("int")
     parts = parts.select("word", F.col("main.component").alias("main"), in_blocks(F.col("size") - F.col("main.size")).alias("rest_blocks"), in_blocks(F.col("main.size")).alias("main_blocks"))
-    rows = cut(members.join(parts, "word"), "open-groups")
+    members = rows = cut(members.join(parts, "word"), "open-groups")
     count = rows.count()
     if not count:
-        return placed.sparkSession.createDataFrame([], "a long, b long, word long")
+        forget(rows)
+        return cut(placed.sparkSession.createDataFrame([], "a long, b long, word long"), "near-pairs")
     band = F.col("word").bitwiseAND(255).cast("int")
-    failed = tested.filter("not linked").groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("failed"))
     in_main = F.col("component") == F.col("main")
     deal = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
     # Blocks of the rest come first, those of the largest component after them.
     own = F.when(in_main, F.col("rest_blocks") + deal("main_blocks")).otherwise(deal("rest_blocks"))
     last = F.when(in_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1
-    rows = rows.join(light, "cls").join(failed, "cls", "left")
-    rows = rows.select("word", "cls", "component", "n", "failed", last.alias("last"), own.alias("own"), F.col("bits")[band].alias("bits"))
+    dealt = rows.select("word", "cls", "component", last.alias("last"), own.alias("own"))
+    # A pair that was tested and not linked goes as a row to the block pair of each group that holds both: side 3.
+    at = lambda c: dealt.select("word", F.col("cls").alias(c), F.col("own").alias(f"own_{c}"))
+    failed = tested.filter("not linked").select("a", "b").join(at("a"), "a").join(at("b"), ["word", "b"])
+    none = lambda kind: F.lit(None).cast(kind)
+    failed = failed.select(
+        "word", F.least("own_a", "own_b").alias("low"), F.greatest("own_a", "own_b").alias("high"), F.lit(3).alias("side"), F.col("a").alias("cls"), F.col("b").alias("component"), none("long").alias("n"), none("array<long>").alias("bits")
+    )
+    rows = dealt.join(light, "cls").select("word", "cls", "component", "n", "last", "own", F.col("bits")[band].alias("bits"))
     # Block pairs (low, high); side 0: left, 1: right, 2: both (a block with itself).
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     rows = rows.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-    rows = rows.select("word", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "side", "cls", "component", "n", "failed", "bits")
+    rows = rows.select("word", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "side", "cls", "component", "n", "bits").unionByName(failed)
     # Small groups share a call; a call holds PACK_ROWS rows or so, or one block pair.
     packs = max(1, count // PACK_ROWS)
 
     def work(pack: pd.DataFrame) -> pd.DataFrame:
         pack = pack.sort_values(["word", "low", "high"], ignore_index=True)
-        failed = {tuple(sorted((c, int(x)))) for c, xs in zip(pack["cls"], pack["failed"], strict=True) if xs is not None for x in xs}
+        lost = pack["side"] == 3
+        failed = {tuple(sorted(p)) for p in zip(pack["cls"][lost].tolist(), pack["component"][lost].tolist(), strict=True)}
+        pack = pack[~lost].reset_index(drop=True)
+        pack["n"] = pack["n"].astype("int64")
         columns = {c: pack[c].to_numpy() for c in ("word", "cls", "component", "n", "side", "bits")}
         key = pack[["word", "low", "high"]].to_numpy()
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
@@ -358,69 +371,122 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
                 out.add((None, None, int(columns["word"][first])))
         return pd.DataFrame({c: pd.array([row[k] for row in out], dtype="Int64") for k, c in enumerate(("a", "b", "word"))})
 
-    return rows.groupBy(F.pmod(F.xxhash64("word", "low", "high"), F.lit(packs)).alias("pack")).applyInPandas(work, "a long, b long, word long")
-
-
-def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_hash, n (size of the set), component (one of its classes) for each row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    sketched = cut(_sketched(docs, rule), "sketches")
-    label = cut(sketched.select("doc_id", "text_hash", "n", "cls"), "labels")
-    # Copies in different tasks may still bring a class's word more than once.
-    words = _words(sketched).repartition("word").withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("all > 1").select("word", "cls").distinct()
-    shared = cut(words.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("holders > 1"), "shared-words")
-    # Without enough words of blocks with a shingle, those of the others count too.
-    sent = lambda s: F.when(_held(s["words"]) < s["need"], F.size(s["words"])).otherwise(_held(s["words"]))
-    spare = F.transform("sketches", lambda s: F.struct(s["band"].alias("band"), (sent(s) - s["need"]).alias("spare")))
-    light = sketched.filter(F.size("sketches") > 0).select("cls", "n", spare.alias("bands"), F.map_from_arrays("sketches.band", "sketches.bits").alias("bits"))
-    light = cut(light.join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")
-    forget(sketched)
-    frequent, shared = shared, cut(_needed(shared, light), "rare-words")
-    forget(frequent)
-
+    found = cut(rows.groupBy(F.pmod(F.xxhash64("word", "low", "high"), F.lit(packs)).alias("pack")).applyInPandas(work, "a long, b long, word long"), "near-pairs")
+    forget(members)
+    return found
+
+
+def shared_words(words: DataFrame) -> DataFrame:
+    """(word, cls, holders): the rows (word, cls) whose word more than one class holds. Sums and joins, so that a word of very many rows can be split."""
+    several = words.groupBy("word").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("word")
+    # Copies in different tasks may bring a class's word more than once.
+    rows = words.join(several, "word", "left_semi").distinct()
+    return rows.join(rows.groupBy("word").agg(F.count("cls").alias("holders")), "word")
+
+
+@dataclass
+class Linked:
+    """Pairs tested so far, their exact sets and the components (node, component) that they make; all written."""
+
+    tested: DataFrame | None = None
+    parts: DataFrame | None = None
+    sets: list[DataFrame] = field(default_factory=list)
+
+    def add(self, more: DataFrame) -> None:
+        before, new = self.tested, self.parts is None or not more.filter("linked").isEmpty()
+        self.tested = more if before is None else cut(before.unionByName(more), "tested")
+        if before is not None:
+            forget(before, more)
+        if new:
+            if self.parts is not None:
+                forget(self.parts)
+            self.parts = components(self.tested.filter("linked").select("a", "b"))
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of their column ``cls``."""
+        if self.parts is None:
+            return rows.withColumn("component", F.col("cls"))
+        return rows.join(self.parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    def untested(self, pairs: DataFrame) -> DataFrame:
+        if self.tested is None:
+            return pairs
+        return pairs.join(self.tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    def forget(self) -> None:
+        """Delete all but the components."""
+        forget(self.tested, *self.sets)
+
+
+def connect(shared: DataFrame, light: DataFrame, label: DataFrame, docs: DataFrame, rule: Rule, so_far: Linked) -> None:
+    """Bring into ``so_far`` all links between classes that share a word of ``shared`` (word, cls), which is written and deleted."""
+    if so_far.parts is not None and shared.isEmpty():
+        forget(shared)
+        return
     # The class that shares most words with others leads each group.
     sizes = shared.groupBy("word").agg(F.count("cls").alias("size"))
     degree = shared.join(sizes, "word").groupBy("cls").agg(F.sum("size").alias("degree"))
     leads = shared.join(degree, "cls").groupBy("word").agg(F.max(F.struct("degree", (-F.col("cls")).alias("cls"))).alias("lead"))
-    first = (
-        shared.join(leads, "word").groupBy("cls").agg(F.max("lead").alias("lead"))
-        .select(F.col("cls").alias("a"), (-F.col("lead.cls")).alias("b")).filter("a <> b")
-    )
-    near = cut(_near(first, light, rule), "near")
-    tested, sets = _verified(near, docs, label, None, rule)
-    tested = cut(tested, "verified")
-    parts = cut(components(tested.filter("linked").select("a", "b")), "components")
+    first = shared.join(leads, "word").groupBy("cls").agg(F.max("lead").alias("lead")).select("cls", (-F.col("lead.cls")).alias("b")).filter("cls <> b")
+    if so_far.parts is not None:
+        first = so_far.placed(first).select(F.col("cls").alias("a"), F.col("b").alias("cls"), F.col("component").alias("own"))
+        first = so_far.placed(first).filter("own <> component").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    else:
+        first = first.select(F.col("cls").alias("a"), "b")
+    near = cut(_near(so_far.untested(first), light, rule), "near")
+    so_far.add(_verified(near, docs, label, so_far.sets, rule))
+    forget(near)
 
     left, reach = shared, 1
     while True:
-        placed = left.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        placed = cut(placed, "placed")
+        placed = cut(so_far.placed(left), "placed")
         open_ = placed.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("cls").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members"))
         # Of words that the same classes share, one will do.
         open_ = cut(open_.filter("low < high").groupBy("size", "members", "low", "high").agg(F.min("word").alias("word")).select("word", "size"), "open-words")
-        many = cut(_many(placed, open_, light, tested, rule, reach), "near-pairs")
-        pairs = _few(placed, open_).unionByName(many.filter("a is not null").select("a", "b")).distinct()
-        pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        if open_.isEmpty():
+            forget(placed, open_, left)
+            break
+        many = _many(placed, open_, light, so_far.tested, rule, reach)
+        pairs = so_far.untested(_few(placed, open_).unionByName(many.filter("a is not null").select("a", "b")).distinct())
         near = cut(_near(pairs, light, rule), "near")
-        more, sets = _verified(near, docs, label, sets, rule)
-        more = cut(more, "verified")
-        before, tested, reach = tested, cut(tested.unionByName(more), "tested"), reach * 8
-        if not more.filter("linked").isEmpty():
-            parts = cut(components(tested.filter("linked").select("a", "b")), "components")
+        so_far.add(_verified(near, docs, label, so_far.sets, rule))
         # Only groups with near pairs that are still untested come again.
         again = many.filter("word is not null").select("word").distinct()
-        done = again.isEmpty()
+        done, before, reach = again.isEmpty(), left, reach * 8
         if not done:
             left = cut(left.join(again, "word", "left_semi"), "left-words")
-        forget(placed, open_, many, near, more, before)
+        forget(placed, open_, many, near, before)
         if done:
             break
-    return label.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "cls").alias("component"))
+
+
+def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, text_hash, n (size of the set), component (one of its classes) for each row of ``docs``."""
+    docs = docs.select("doc_id", "text")
+    sketched = cut(_sketched(docs, rule), "sketches")
+    label = cut(sketched.select("doc_id", "text_hash", "n", "cls"), "labels")
+    frequent = cut(shared_words(_words(sketched)), "shared-words")
+    # Without enough words of blocks with a shingle, those of the others count too.
+    sent = lambda s: F.when(_held(s["words"]) < s["need"], F.size(s["words"])).otherwise(_held(s["words"]))
+    spare = F.transform("sketches", lambda s: F.struct(s["band"].alias("band"), (sent(s) - s["need"]).alias("spare")))
+    light = sketched.filter(F.size("sketches") > 0).select("cls", "n", spare.alias("bands"), F.map_from_arrays("sketches.band", "sketches.bits").alias("bits"))
+    light = cut(light.join(frequent.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")
+    shared = cut(_needed(frequent, light), "rare-words")
+    forget(sketched, frequent)
+    linked = Linked()
+    connect(shared, light, label, docs, rule, linked)
+    forget(light)
+    linked.forget()
+    return label.join(linked.parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "cls").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for each row of ``docs``."""
-    label = _labelled(docs, rule)
+    return named_components(_labelled(docs, rule))
+
+
+def named_components(label: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id (the component's smallest doc_id) from rows labelled with a component."""
     smallest = label.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     # A component may hold a third of all rows: adaptive execution splits the larger side.
     out = label.join(smallest.hint("merge"), "component", "left")
@@ -432,14 +498,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, Rule(words=3, num=90, den=100)).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule | None = None, labelled=_labelled) -> DataFrame:
     """One row of ``docs`` for each group, and every row without words; five words and 0.8 unless ``rule`` says otherwise.
 
     The row with the smallest doc_id stays (a null one only if there is no
     other), of those the one with the smallest hash of its text, of equal texts
     the first by the row's JSON form.
     """
-    label = cut(_labelled(docs, rule or Rule()), "groups")
+    label = cut(labelled(docs, rule or Rule()), "groups")
     chosen = label.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")).alias("row")).select("row.doc_id", "row.text_hash")
     rows = label.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash"))

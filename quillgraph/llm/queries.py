@@ -11,6 +11,7 @@ from quillgraph.llm.decontaminate import find_leaks
 from quillgraph.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
+from quillgraph.llm.minhash import NEAR_DUPLICATES_SQL, NGRAM_SQL, near_duplicates
 from quillgraph.llm.nearest import nearest_vectors
 from quillgraph.llm.ngram_join import ngram_components
 from quillgraph.llm.quality import quality_scores
@@ -35,7 +36,14 @@ QUERIES = {
     "op9_byte_bpe": lambda spark, d: round_trip_digest(_docs(spark, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op10_licenses": lambda spark, d: scan_licenses(_docs(spark, d)),
     "op11_hard_negatives": lambda spark, d: hard_negatives(read(spark, d, "embeddings")),
+    "op12_minhash": lambda spark, d: near_duplicates(_docs(spark, d)),
     "op13_centroids": lambda spark, d: centroid_clusters(read(spark, d, "embeddings")),
 }
 
-ORACLES = {"op5_line_dedup": LINE_DEDUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op13_centroids": CENTROIDS_SQL}
+ORACLES = {
+    "op5_line_dedup": LINE_DEDUP_SQL,
+    "op6_ngram_join": NGRAM_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op12_minhash": NEAR_DUPLICATES_SQL,
+    "op13_centroids": CENTROIDS_SQL,
+}
