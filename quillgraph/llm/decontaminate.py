@@ -3,15 +3,17 @@
 A test item of n signs may differ in k = n * error_rate edits. Cut into k + 1
 pieces, at least one piece stands in any such match unchanged. All pieces of all
 items are searched at once (Aho-Corasick); around each hit Myers' bit-parallel
-distance decides whether the whole item lies there within k edits. Texts are
+distance decides whether the whole item lies there within k edits. Pieces of
+short items are short and hit more often, which costs time and no match. Texts are
 compared in lower case with runs of white space as one blank.
 
 The items are the query set. They go to the tasks in blocks of bounded size
 (``block_chars``): a larger benchmark means more passes over all documents. Each
-pass is written and its block freed before the next, so that the driver and the
-tasks hold one block at a time.
+pass is written and its block freed before the next, so that the driver holds
+one block and a worker the automaton of one.
 
-Defined cases: null and empty items and texts match nothing. Equal items match
+Defined cases: null and empty items and texts match nothing. Whole texts are
+searched, however long. Equal items match
 alike, each under its own item_id; rows that repeat an item_id with other texts
 are items of their own. Of an item's matches in a document the nearest counts,
 then the first. Each document row is searched by itself, so repeated rows and
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import cut, each_found, only
 
 ERROR_RATE = 0.08
-#: Pieces shorter than this would hit by chance too often; an item short of it gets fewer edits.
-LEAST_PIECE = 10
 BLOCK_CHARS = 4_000_000
 
 
@@ -41,7 +41,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(n: int, error_rate: float = ERROR_RATE) -> int:
-    return max(0, min(int(n * error_rate), n // LEAST_PIECE - 1))
+    return int(n * error_rate)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -114,7 +114,7 @@ class Finder:
         return out
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _finder(items: tuple[tuple[int, str], ...], error_rate: float) -> Finder:
     return Finder(items, error_rate)
 
