@@ -3,7 +3,8 @@
 The ranks of a vocabulary file become a transducer over bytes (transducer.py)
 that emits token ids after bounded lookahead. Decoding feeds the ids' bytes to
 an incremental UTF-8 state machine, which passes text on as soon as it says
-that a character is complete; its moves are kept for whole tokens.
+that a character is complete. All ids of a document go through it in turn; its
+state is the bytes that wait, and the move of a token in a state is kept.
 
 Defined cases: a null text encodes as an empty one (no ids, both digests of the
 empty string). Each row is encoded by itself, so repeated rows and null ids
@@ -39,41 +40,61 @@ class ByteBpe:
         self.bytes_of = {i: t.encode("latin-1") for t, i in ranks.items()}
         self.machine = MergeTransducer(ranks, lambda a, b: ranks.get(a + b))
         self._kept = lru_cache(CACHED_PIECES)(self._piece)
-        #: By the bytes that wait: for each token, the text it completes and the bytes that wait then.
-        self._texts: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self._states: dict[bytes, Waiting] = {}
+        self._start = self._waiting(b"")
 
-    def _piece(self, piece: str) -> tuple[list[int], str, str]:
+    def _piece(self, piece: str) -> tuple[list[int], str]:
         ids = list(map(self.ranks.__getitem__, self.machine.run(piece.encode("utf-8").decode("latin-1"))))
-        return ids, " ".join(map(str, ids)), "".join(self.decode_stream(ids))
+        return ids, " ".join(map(str, ids))
 
-    def pieces(self, text: str) -> list[tuple[list[int], str, str]]:
-        """For each match of the pattern, its ids, their decimal form, and the text that they decode to; a piece is of whole characters."""
+    def pieces(self, text: str) -> list[tuple[list[int], str]]:
+        """For each match of the pattern, its ids and their decimal form."""
         kept = self._kept
         return [kept(p) if len(p) <= CACHED_LENGTH else self._piece(p) for p in self.pattern.findall(text)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _, _ in self.pieces(text)]))
+        return list(chain.from_iterable([ids for ids, _ in self.pieces(text)]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _text_move(self, held: bytes, i: int) -> tuple[str, bytes]:
-        utf8 = Utf8Stream()
-        utf8.feed(held)
-        move = utf8.feed(self.bytes_of[i]), bytes(utf8.held)
-        self._texts.setdefault(move[1], {})
-        self._texts[held][i] = move
-        return move
+    def _waiting(self, held: bytes) -> Waiting:
+        if held not in self._states:
+            self._states[held] = Waiting(self, held)
+        return self._states[held]
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as its characters become complete; bytes that are no UTF-8 become U+FFFD."""
-        held, moves = b"", self._texts
+        state = self._start
         for i in ids:
-            text, held = moves[held].get(i) or self._text_move(held, i)
+            text, state = state[i]
             yield text
-        if held:
+        if state.held:
             yield "\N{REPLACEMENT CHARACTER}"
 
+    def decode_text(self, ids: Iterable[int]) -> str:
+        """The text of ``decode_stream``, at once."""
+        state, out = self._start, []
+        add = out.append
+        for i in ids:
+            text, state = state[i]
+            add(text)
+        return "".join(out) + "\N{REPLACEMENT CHARACTER}" * bool(state.held)
+
+
+class Waiting(dict):
+    """A state of the decoder: the bytes that wait, and for each token met so far the text that it completes and the state after it."""
+
+    def __init__(self, codec: ByteBpe, held: bytes):
+        super().__init__()
+        self.codec, self.held = codec, held
+
+    def __missing__(self, i: int) -> tuple[str, Waiting]:
+        utf8 = Utf8Stream()
+        utf8.feed(self.held)
+        self[i] = move = utf8.feed(self.codec.bytes_of[i]), self.codec._waiting(bytes(utf8.held))
+        return move
+
 
 class Utf8Stream:
     """An incremental UTF-8 state machine.
@@ -173,8 +194,9 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
             rows = []
             for text in texts:
                 found = codec.pieces(text or "")
-                shown, decoded = " ".join([s for _, s, _ in found]), "".join([t for _, _, t in found])
-                rows.append((sum([len(ids) for ids, _, _ in found]), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                ids, shown = list(chain.from_iterable([x for x, _ in found])), " ".join([s for _, s in found])
+                decoded = codec.decode_text(ids)
+                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             return tuple(zip(*rows)) or ((), (), ())
 
         return find
