@@ -2,7 +2,8 @@
 
 The lexer finds assignment signs, reads the name before and the literals after
 each: quoted in one, two or three marks, bare, or the indented lines of a
-block. Literals may be joined by signs or stand side by side, over line ends and
+block. A name that is called is no literal. An element's attribute ``value``
+belongs to the name in its ``key``, ``name`` or ``id`` before it. Literals may be joined by signs or stand side by side, over line ends and
 comments. It keeps what a plain name was last set to, so that ``x = "..."``
 followed by ``password = x`` points at the literal of ``x``. A literal scores by
 how sensitive its target's name is and by its own length and mix of signs. Spans
@@ -10,8 +11,9 @@ are in code points, ends exclusive. Names, literals and chains of names have no
 bound but the text's.
 
 Defined cases: a null text is empty and has no spans. Each row is scanned by
-itself, so repeated rows and null ids pass through. Other columns do not enter.
-An empty table gives an empty table.
+itself, so repeated rows and null ids pass through. Whole texts are read,
+however long or deeply nested. Other columns do not enter. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -108,15 +111,64 @@ class Value:
         return out
 
 
+class Lines:
+    """The lines of a text that are not blank, as values; those of a run of lines are joined from shared halves, each made once.
+
+    So nested blocks cost a logarithm of the lines each and not their text again.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends, self.depth, self.made = text, [], [], [], {}
+        at = 0
+        for own in text.split("\n"):
+            if short := own.strip():
+                first = len(own) - len(own.lstrip())
+                self.starts.append(at + first)
+                self.ends.append(at + first + len(short))
+                self.depth.append(first)
+            at += len(own) + 1
+        # The first later line that is indented no further than each.
+        self.until, open_ = [len(self.depth)] * len(self.depth), []
+        for k, depth in enumerate(self.depth):
+            while open_ and self.depth[open_[-1]] >= depth:
+                self.until[open_.pop()] = k
+            open_.append(k)
+
+    def run(self, low: int, high: int) -> Value:
+        """The value of a node of the tree of halves."""
+        if (low, high) not in self.made:
+            mid = (low + high) // 2
+            self.made[low, high] = Value.literal(self.text, self.starts[low], self.ends[low]) if high - low == 1 else Value.joined([self.run(low, mid), self.run(mid, high)])
+        return self.made[low, high]
+
+    def below(self, sign: int) -> Value | None:
+        """The lines of the block that the line of the sign opens."""
+        own = bisect_right(self.starts, sign) - 1
+        if own < 0 or self.until[own] == own + 1:
+            return None
+        first, end, parts, todo = own + 1, self.until[own], [], [(0, len(self.starts))]
+        while todo:
+            low, high = todo.pop()
+            if first <= low and high <= end:
+                parts.append(self.run(low, high))
+            elif low < end and first < high:
+                mid = (low + high) // 2
+                todo += [(mid, high), (low, mid)]
+        return Value.joined(parts)
+
+
 class Lexer:
     def __init__(self, text: str):
         self.text = text
         self.held: dict[str, Value] = {}
         self.unclosed: set[str] = set()  # marks that do not come again
+        self.lines: Lines | None = None  # read once, when the first block comes
 
     def name_before(self, at: int, least: int) -> str:
         """The name that ends before ``at`` and the marks and brackets around it; its text is read once, back to ``least``."""
         text = self.text
+        if at > least and text[at - 1] in "+?":
+            at -= 1
         while at > least and text[at - 1] in " \t":
             at -= 1
         while at > least and text[at - 1] in "\"'])":
@@ -146,32 +198,23 @@ class Lexer:
             found = _QUOTED[mark].match(text, at)
             return (Value.literal(text, *found.span(1)), found.end(), True) if found else None
         if found := _WORD.match(text, at):
+            if text.startswith("(", found.end()):  # a call, whose result is not here
+                return None
             return self.held.get(found[1]) or Value.literal(text, *found.span(1)), found.end(), False
         if found := _BARE.match(text, at):
             return Value.literal(text, *found.span()), found.end(), False
         return None
 
-    def block(self, sign: int, at: int) -> Value | None:
-        """The lines from ``at`` on that are indented further than the line of the sign."""
-        text = self.text
-        line = text[text.rfind("\n", 0, sign) + 1 : sign]
-        indent, parts = len(line) - len(line.lstrip()), []
-        while at < len(text):
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            own = text[at:end]
-            if own.strip():
-                start = at + len(own) - len(own.lstrip())
-                if start - at <= indent:
-                    break
-                parts.append(Value.literal(text, start, start + len(own.strip())))
-            at = end + 1
-        return Value.joined(parts) if parts else None
+    def block(self, sign: int) -> Value | None:
+        """The lines below that are indented further than the line of the sign."""
+        if self.lines is None:
+            self.lines = Lines(self.text)
+        return self.lines.below(sign)
 
     def value(self, sign: int, at: int) -> Value | None:
         """What stands after a sign."""
-        if found := _BLOCK.match(self.text, at):
-            return self.block(sign, found.end())
+        if _BLOCK.match(self.text, at):
+            return self.block(sign)
         before = _PREFIX.match(self.text, at)
         parts, at = [], before.end()
         while found := self.one(at):
@@ -186,7 +229,7 @@ class Lexer:
     def spans(self) -> set[tuple[int, int]]:
         found: set[tuple[int, int]] = set()
         done: set[Value] = set()
-        typed, typed_end, last = "", 0, 0
+        typed, typed_end, last, named, named_end = "", 0, 0, "", 0
         for sign in _SIGN.finditer(self.text):
             name = self.name_before(sign.start(), last)
             # name: type = value
@@ -200,6 +243,10 @@ class Lexer:
             value = self.value(sign.start(), sign.end())
             if value is None:
                 continue
+            if sign[0] == "=" and name in ("key", "name", "id") and len(value.parts) == 1 and isinstance(value.parts[0], tuple):
+                named, named_end = self.text[slice(*value.parts[0])], value.parts[0][1]
+            elif sign[0] == "=" and name == "value" and named and ">" not in self.text[named_end : min(sign.start(), named_end + 200)] and sign.start() - named_end < 200:
+                name, named = named, ""
             self.held[name] = value
             weight = name_score(name)
             if weight and 2 * weight * value.score() >= LIMIT:
