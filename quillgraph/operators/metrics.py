@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges of values that are ranked apart.
-RANGES = 64
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -76,37 +74,39 @@ def mcnemar(rows: DataFrame) -> DataFrame:
     return d.select("b", "c", F.round(F.when(n == 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0))), 9).alias("p"))
 
 
-def mean_ranks(rows: DataFrame, value: str, rank: str) -> DataFrame:
-    """``rows`` with the mean rank of the number ``value`` among all rows, equal values alike.
-
-    Counts per value are summed by ranges of values, so that no task holds the
-    whole order: each range's start comes from a small table of range totals.
-    Only the ends of the ranges come from a sketch; the ranks are exact.
-    """
-    ends = sorted(set(rows.approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.005)))
-    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(value))) if ends else F.lit(0)
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", part)
-    # At most RANGES rows.
-    totals = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_all"))
-    before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.join(F.broadcast(totals.select("_part", before.alias("_before"))), "_part")
-    placed = placed.select(value, (F.col("_before") + F.coalesce(inside, F.lit(0)) + (F.col("_n") + 1) / 2).alias(rank))
-    return rows.join(placed, value)
-
+def _drawn(groups: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``groups`` (c, ...) once for each draw, with ``w``: how often it is drawn, Poisson(1) by a hash of group and draw."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("c").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
+    weight = sum((F.when(u >= limit, 1).otherwise(0) for limit in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
+    return groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
 
-def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation of two columns, rows with a null left out."""
-    ranked = mean_ranks(mean_ranks(rows.select(a, b).dropna(), a, "_a"), b, "_b")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("_a", "_b"), 6).alias("rho"))
 
+def bootstrap_metrics(rows: DataFrame, cluster: str, draws: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """metric, low, high, mean of accuracy, macro_f1, kappa and weighted_kappa (classes as numbers), resampling clusters.
 
-def quantile_buckets(rows: DataFrame, value: str, result: str, buckets: int = 5) -> DataFrame:
-    """bucket, n, mean of ``value`` and of ``result`` between the quantiles of ``value``; equal edges are one."""
-    edges = rows.agg(F.percentile(value, F.array(*[F.lit(k / buckets) for k in range(buckets + 1)])).alias("edges")).select(F.array_distinct("edges").alias("edges"))
-    # One row joins to all.
-    placed = rows.join(F.broadcast(edges)).withColumn("bucket", F.greatest(F.size(F.filter("edges", lambda e: e < F.col(value))), F.lit(1)))
-    return placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.avg(result), 6).alias("mean_result"))
+    A cluster is its counts of (truth, predicted). They are weighted and summed
+    to one confusion for each draw before they are shuffled; every metric comes
+    from these draws x classes x classes counts.
+    """
+    own = rows.groupBy(F.col(cluster).alias("c"), "truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    seen = _drawn(own, draws, seed).filter("w > 0").groupBy("draw", "truth", "predicted").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    truth = seen.groupBy("draw", F.col("truth").alias("label")).agg(F.sum("n").alias("s"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
+    guess = seen.groupBy("draw", F.col("predicted").alias("label")).agg(F.sum("n").alias("g"))
+    classes = truth.join(guess, ["draw", "label"], "full").na.fill(0, ["s", "tp", "g"])
+    s, g, k = F.col("s"), F.col("g"), F.col("label")
+    by_draw = classes.groupBy("draw").agg(
+        F.sum("s").alias("all"), F.sum("tp").alias("right"), F.avg(2 * F.col("tp") / (s + g)).alias("macro_f1"), F.sum(s.cast("double") * g).alias("chance"),
+        F.sum(k * k * s).alias("ss"), F.sum(k * s).alias("st"), F.sum(k * k * g).alias("gg"), F.sum(k * g).alias("gt"),
+    )
+    far = seen.groupBy("draw").agg(F.sum((F.col("truth") - F.col("predicted")) ** 2 * F.col("n")).alias("far"))
+    n, apart = F.col("all"), F.col("chance") / F.col("all") / F.col("all")
+    # Distance by chance: the mean of (truth - predicted) ** 2 over independent classes.
+    by_chance = (F.col("ss") + F.col("gg")) / n - 2.0 * F.col("st") * F.col("gt") / n / n
+    metrics = {"accuracy": F.col("right") / n, "macro_f1": F.col("macro_f1"), "kappa": F.try_divide(F.col("right") / n - apart, 1 - apart), "weighted_kappa": 1 - F.try_divide(F.col("far") / n, by_chance)}
+    long = by_draw.join(far, "draw").select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in metrics.items()])).alias("r")).select("r.*")
+    tail = (1 - level) / 2
+    # A value for each draw.
+    return long.groupBy("metric").agg(*[F.round(x, 6).alias(c) for c, x in (("low", F.percentile("value", F.lit(tail))), ("high", F.percentile("value", F.lit(1 - tail))), ("mean", F.avg("value")))])
 
 
 def bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
@@ -116,9 +116,7 @@ def bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int = 200,
     (cluster, draw), so lost tasks repeat alike.
     """
     sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("c").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
-    weight = sum((F.when(u >= limit, 1).otherwise(0) for limit in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    drawn = _drawn(sums, draws, seed)
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg("mean").alias("mean"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as X
 from quillgraph.operators import graph as G
 from quillgraph.operators import metrics as M
+from quillgraph.operators import quantiles as Q
 from quillgraph.operators import relations as R
 from quillgraph.operators import temporal as W
 from quillgraph.plans.registry import ORACLES, QUERIES, query
@@ -414,13 +415,13 @@ def _(spark, d):
 @query("spearman", """SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS a,
  rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS b FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL)""")
 def _(spark, d):
-    return M.spearman(S.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return Q.spearman(S.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
 
 
 @query("quintile_buckets", """, e AS (SELECT list_distinct(quantile_cont(impact, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS edges FROM articles), b AS (SELECT greatest(len(list_filter(edges, lambda x: x < impact)), 1) AS bucket, impact, owner FROM articles, e)
  SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, round(avg(impact), 6) AS mean_value, round(avg(owner), 6) AS mean_result FROM b GROUP BY 1""")
 def _(spark, d):
-    return M.quantile_buckets(S.articles(spark, d), "impact", "owner")
+    return Q.buckets(S.articles(spark, d), "impact", "owner")
 
 
 @query("subgroup_macro_f1", _GRADES + """, c AS (SELECT year(day) AS year, k, count(*) FILTER (WHERE truth = k AND predicted = k) AS tp, count(*) FILTER (WHERE truth = k) AS s, count(*) FILTER (WHERE predicted = k) AS g FROM grades, (SELECT unnest([1, 2, 3, 4, 5]) AS k) GROUP BY 1, 2)

@@ -65,6 +65,21 @@ def _(spark, d):
     return M.gated_delta(rows, "source", "a", "b", least=0.02)
 
 
+_METRICS = _GRADES + """, g AS (SELECT owner AS c, truth, predicted, count(*) AS n FROM grades GROUP BY ALL), u AS (SELECT g.*, draw, (CAST('0x' || substring(md5(c || '|' || draw || '|7'), 1, 10) AS BIGINT) + 0.5) / 1099511627776.0 AS u FROM g, (SELECT unnest(range(1, 201)) AS draw)),
+ w AS (SELECT draw, truth, predicted, sum(n * (""" + " + ".join(f"(u >= {x})::INT" for x in ("0.367879441", "0.735758882", "0.919698603", "0.981011843", "0.996340153", "0.999405815")) + """)) AS n FROM u GROUP BY 1, 2, 3),
+ t AS (SELECT draw, truth AS k, sum(n) AS s, sum(n) FILTER (WHERE truth = predicted) AS tp FROM w WHERE n > 0 GROUP BY 1, 2), p AS (SELECT draw, predicted AS k, sum(n) AS g FROM w WHERE n > 0 GROUP BY 1, 2),
+ f AS (SELECT draw, avg(2.0 * coalesce(tp, 0) / (coalesce(s, 0) + coalesce(g, 0))) AS macro_f1 FROM t FULL JOIN p USING (draw, k) GROUP BY 1),
+ a AS (SELECT draw, sum(n)::DOUBLE AS n, sum(n) FILTER (WHERE truth = predicted)::DOUBLE AS r, sum(n * (truth - predicted) ** 2)::DOUBLE AS far FROM w GROUP BY 1),
+ e AS (SELECT t.draw, sum(CASE WHEN t.k = p.k THEN s::DOUBLE * g ELSE 0 END) AS chance, sum((t.k - p.k) ** 2 * s::DOUBLE * g) AS apart FROM t JOIN p USING (draw) GROUP BY 1),
+ m AS (SELECT unnest([{'metric': 'accuracy', 'v': r / n}, {'metric': 'macro_f1', 'v': macro_f1}, {'metric': 'kappa', 'v': (r / n - chance / n / n) / (1 - chance / n / n)}, {'metric': 'weighted_kappa', 'v': 1 - far / n / (apart / n / n)}], recursive := true) FROM a JOIN f USING (draw) JOIN e USING (draw))
+ """
+
+
+@query("bootstrap_metrics", _METRICS + "SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(avg(v), 6) AS mean FROM m GROUP BY 1")
+def _(spark, d):
+    return M.bootstrap_metrics(_grades(spark, d), "owner")
+
+
 @query("prediction_pivot", _GRADES + "SELECT news_id, max(truth) AS base, max(predicted) AS graph, max(truth) = max(predicted) AS agree FROM grades GROUP BY 1")
 def _(spark, d):
     g = _grades(spark, d)

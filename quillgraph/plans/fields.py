@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.operators.quantiles import percentiles
 from quillgraph.plans.registry import query
 from quillgraph.sources import tables as S
 
@@ -152,9 +153,9 @@ def _(spark, d):
  SELECT c_custkey, round(ln(1 + greatest(coalesce(x, m), 0)), 9) AS value FROM r, m""")
 def _(spark, d):
     rows = S.table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 4 != 0, F.col("c_acctbal")).alias("x"))
-    # The median is of the training rows alone: one row joins to all.
-    median = rows.filter("c_custkey % 5 < 4").agg(F.coalesce(F.percentile("x", F.lit(0.5)), F.lit(0.0)).alias("m"))
-    return rows.join(F.broadcast(median)).select("c_custkey", F.round(F.log1p(F.greatest(F.coalesce("x", "m"), F.lit(0.0))), 9).alias("value"))
+    # The median is of the training rows alone.
+    median = percentiles(rows.filter("c_custkey % 5 < 4"), "x", [0.5])[0] or 0.0
+    return rows.select("c_custkey", F.round(F.log1p(F.greatest(F.coalesce("x", F.lit(median)), F.lit(0.0))), 9).alias("value"))
 
 
 @query("date_parts", "SELECT news_id, strftime(day, '%Y-%m-%d') AS iso, substring(strftime(day, '%Y-%m-%d') || 'T00:00', 1, 10) AS prefix, TRY_CAST(CASE WHEN owner % 2 = 0 THEN strftime(day, '%Y-%m-%d') ELSE 'soon' END AS DATE) AS parsed FROM articles")
