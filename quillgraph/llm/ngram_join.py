@@ -54,7 +54,7 @@ FEW, PACK_ROWS = 6, 4000
 ALL_PER_ROW, HELD_WORDS = 4, 4_000_000
 #: Words of a text that are hashed at once.
 WORDS_AT_ONCE = 100_000
-#: Chosen documents (24 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
+#: Chosen documents (24 bytes each), or open words (16), that are broadcast to find their rows; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -224,8 +224,8 @@ def _verified(near: DataFrame, docs: DataFrame, label: DataFrame, sets: list[Dat
     close = near.filter("near").select("a", "b")
     out = near.filter("not near").withColumn("linked", F.lit(False))
     needed = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
-    for held in sets:
-        needed = needed.join(held.select("cls"), "cls", "left_anti")
+    if sets:
+        needed = needed.join(reduce(DataFrame.unionByName, sets).select("cls"), "cls", "left_anti")
     needed = label.select("cls", "doc_id", "text_hash").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     needed = cut(needed.select("cls", "row.doc_id", "row.text_hash"), "needed")
     count = needed.count()
@@ -316,10 +316,10 @@ def _few(placed: DataFrame, open_: DataFrame) -> DataFrame:
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFrame, rule: Rule, reach: int) -> DataFrame:
+def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: list[DataFrame], rule: Rule, reach: int) -> DataFrame:
     """(a, b, word), written: near untested pairs of different components in larger groups, compared in blocks; ``word`` names the groups that have more of them.
 
-    A group's largest component has no pairs within itself to find: its blocks
+    ``tested``: the pairs of earlier rounds over these groups. A group's largest component has no pairs within itself to find: its blocks
     only meet those of the rest, so that work grows with group times rest.
     """
     members = placed.join(open_.filter(F.col("size") > FEW).select("word"), "word")
@@ -339,18 +339,18 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: DataFra
     own = F.when(in_main, F.col("rest_blocks") + deal("main_blocks")).otherwise(deal("rest_blocks"))
     last = F.when(in_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1
     dealt = rows.select("word", "cls", "component", last.alias("last"), own.alias("own"))
-    # A pair that was tested and not linked goes as a row to the block pair of each group that holds both: side 3.
-    at = lambda c: dealt.select("word", F.col("cls").alias(c), F.col("own").alias(f"own_{c}"))
-    failed = tested.filter("not linked").select("a", "b").join(at("a"), "a").join(at("b"), ["word", "b"])
-    none = lambda kind: F.lit(None).cast(kind)
-    failed = failed.select(
-        "word", F.least("own_a", "own_b").alias("low"), F.greatest("own_a", "own_b").alias("high"), F.lit(3).alias("side"), F.col("a").alias("cls"), F.col("b").alias("component"), none("long").alias("n"), none("array<long>").alias("bits")
-    )
     rows = dealt.join(light, "cls").select("word", "cls", "component", "n", "last", "own", F.col("bits")[band].alias("bits"))
     # Block pairs (low, high); side 0: left, 1: right, 2: both (a block with itself).
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     rows = rows.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-    rows = rows.select("word", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "side", "cls", "component", "n", "bits").unionByName(failed)
+    rows = rows.select("word", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "side", "cls", "component", "n", "bits")
+    if tested:
+        # A pair that was tested here and not linked goes as a row to the block pair of each group that holds both: side 3.
+        at = lambda c: dealt.select("word", F.col("cls").alias(c), F.col("own").alias(f"own_{c}"))
+        failed = reduce(DataFrame.unionByName, tested).filter("not linked").select("a", "b").join(at("a"), "a").join(at("b"), ["word", "b"])
+        none = lambda kind: F.lit(None).cast(kind)
+        ends = [F.least("own_a", "own_b").alias("low"), F.greatest("own_a", "own_b").alias("high")]
+        rows = rows.unionByName(failed.select("word", *ends, F.lit(3).alias("side"), F.col("a").alias("cls"), F.col("b").alias("component"), none("long").alias("n"), none("array<long>").alias("bits")))
     # Small groups share a call; a call holds PACK_ROWS rows or so, or one block pair.
     packs = max(1, count // PACK_ROWS)
 
@@ -388,19 +388,25 @@ def shared_words(words: DataFrame) -> DataFrame:
 class Linked:
     """Pairs tested so far, their exact sets and the components (node, component) that they make; all written."""
 
-    tested: DataFrame | None = None
+    tested: list[DataFrame] = field(default_factory=list)
     parts: DataFrame | None = None
     sets: list[DataFrame] = field(default_factory=list)
 
     def add(self, more: DataFrame) -> None:
-        before, new = self.tested, self.parts is None or not more.filter("linked").isEmpty()
-        self.tested = more if before is None else cut(before.unionByName(more), "tested")
-        if before is not None:
-            forget(before, more)
-        if new:
-            if self.parts is not None:
-                forget(self.parts)
-            self.parts = components(self.tested.filter("linked").select("a", "b"))
+        """Pairs just tested; those linked join components, so that only these are worked on again."""
+        self.tested.append(more)
+        links = more.filter("linked").select("a", "b")
+        if self.parts is None:
+            self.parts = components(links)
+            return
+        if links.isEmpty():
+            return
+        ends = self.placed(links.withColumnRenamed("a", "cls")).select(F.col("component").alias("a"), F.col("b").alias("cls"))
+        moved = components(self.placed(ends).select("a", F.col("component").alias("b")))
+        to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        held = self.parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        before, self.parts = self.parts, cut(held.unionByName(moved.join(self.parts, "node", "left_anti")), "components")
+        forget(before, moved)
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the component of their column ``cls``."""
@@ -408,14 +414,17 @@ class Linked:
             return rows.withColumn("component", F.col("cls"))
         return rows.join(self.parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
+    def pairs(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tested)
+
     def untested(self, pairs: DataFrame) -> DataFrame:
-        if self.tested is None:
+        if not self.tested:
             return pairs
-        return pairs.join(self.tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        return pairs.join(self.pairs().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
     def forget(self) -> None:
         """Delete all but the components."""
-        forget(self.tested, *self.sets)
+        forget(*self.tested, *self.sets)
 
 
 def connect(shared: DataFrame, light: DataFrame, label: DataFrame, docs: DataFrame, rule: Rule, so_far: Linked) -> None:
@@ -437,16 +446,18 @@ def connect(shared: DataFrame, light: DataFrame, label: DataFrame, docs: DataFra
     so_far.add(_verified(near, docs, label, so_far.sets, rule))
     forget(near)
 
-    left, reach = shared, 1
+    left, reach, since = shared, 1, len(so_far.tested)
     while True:
         placed = cut(so_far.placed(left), "placed")
         open_ = placed.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("cls").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members"))
         # Of words that the same classes share, one will do.
-        open_ = cut(open_.filter("low < high").groupBy("size", "members", "low", "high").agg(F.min("word").alias("word")).select("word", "size"), "open-words")
-        if open_.isEmpty():
-            forget(placed, open_, left)
+        open_ = written = cut(open_.filter("low < high").groupBy("size", "members", "low", "high").agg(F.min("word").alias("word")).select("word", "size"), "open-words")
+        count = open_.count()
+        if not count:
+            forget(placed, written, left)
             break
-        many = _many(placed, open_, light, so_far.tested, rule, reach)
+        open_ = F.broadcast(open_) if count <= BROADCAST_ROWS else open_
+        many = _many(placed, open_, light, so_far.tested[since:], rule, reach)
         pairs = so_far.untested(_few(placed, open_).unionByName(many.filter("a is not null").select("a", "b")).distinct())
         near = cut(_near(pairs, light, rule), "near")
         so_far.add(_verified(near, docs, label, so_far.sets, rule))
@@ -455,7 +466,7 @@ def connect(shared: DataFrame, light: DataFrame, label: DataFrame, docs: DataFra
         done, before, reach = again.isEmpty(), left, reach * 8
         if not done:
             left = cut(left.join(again, "word", "left_semi"), "left-words")
-        forget(placed, open_, many, near, before)
+        forget(placed, written, many, near, before)
         if done:
             break
 
