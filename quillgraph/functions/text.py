@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -38,16 +38,20 @@ def stable_id(prefix: str, size: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[clean(p.cast("string")) for p in parts]), 256), 1, size))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often ``use`` names it, lambdas over lists included."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     """Keywords contained in the lower-cased text, each once, in list order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, k))
+    return bound(F.lower(text), lambda low: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, k)))
 
 
 def events(text: Column, patterns: Mapping[str, Sequence[str]] = EVENT_PATTERNS) -> Column:
     """Families with a hit, in order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(low, k)), F.lit(name)) for name, keys in patterns.items()]))
+    own = lambda low, keys: F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(low, k))
+    return bound(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(own(low, keys), F.lit(name)) for name, keys in patterns.items()])))
 
 
 def sentiment(positive: Column, negative: Column, up_moves: Column, down_moves: Column, high: float = 0.6, low: float = 0.4) -> Column:

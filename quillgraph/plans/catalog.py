@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import cues as C
 from quillgraph.functions import text as X
 from quillgraph.operators import graph as G
 from quillgraph.operators import metrics as M
 from quillgraph.operators import quantiles as Q
 from quillgraph.operators import relations as R
 from quillgraph.operators import temporal as W
-from quillgraph.plans.registry import ORACLES, QUERIES, query
+from quillgraph.plans.registry import QUERIES, query  # noqa: F401
 from quillgraph.sources import sinks as K
 from quillgraph.sources import tables as S
 from quillgraph.streaming import events as E
@@ -154,9 +155,9 @@ def _(spark, d):
     return S.dated_mentions(spark, d).select("news_id", "symbol", t.alias("t")).select("news_id", "symbol", "t.trend", F.col("t.score").cast("double").alias("score"))
 
 
-@query("ticker_match", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\pL\pN_])thion($|[^\pL\pN_])')")
+@query("ticker_match", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\pL\pN_])thor($|[^\pL\pN_])')")
 def _(spark, d):
-    return S.table(spark, d, "documents").filter(X.word_bounded(F.col("text"), "thion")).select("doc_id")
+    return S.table(spark, d, "documents").filter(X.word_bounded(F.col("text"), "thor")).select("doc_id")
 
 
 @query("html_title", r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\s\x{00A0}]+', ' ', 'g')), '') AS title FROM pages")
@@ -177,10 +178,37 @@ def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("body"))
 
 
-@query("magnitude_hits", r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(?:tion|que|und)[^%\n]{0,20}?(\d{1,3}(?:[.,]\d+)?)\s*%', 1), lambda x: replace(x, ',', '.')), ' ') AS moves FROM documents")
+#: A sentence of each order line: which way it moved and by how much, in per cent or not.
+_LINES = """, told AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'Giảm mạnh ' ELSE 'tăng ' END || CAST(l_quantity AS INT) || CASE WHEN l_linestatus = 'O' THEN ',5 %' ELSE ' điểm' END
+ || CASE WHEN l_linenumber % 3 = 0 THEN ', rồi giảm 4%' WHEN l_linenumber % 3 = 1 THEN '; Lãi kỷ lục' ELSE '' END AS text FROM lineitem)"""
+
+
+def _lines(spark, d):
+    text = F.concat(
+        F.when(F.col("l_returnflag") == "R", "Giảm mạnh ").otherwise("tăng "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linestatus") == "O", ",5 %").otherwise(" điểm"),
+        F.when(F.col("l_linenumber") % 3 == 0, ", rồi giảm 4%").when(F.col("l_linenumber") % 3 == 1, "; Lãi kỷ lục").otherwise(""),
+    )
+    return S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+
+
+_MOVES = lambda way: f"list_transform(regexp_extract_all(lower(text), '{way}[^%\\n]{{0,20}}?(\\d{{1,3}}(?:[.,]\\d+)?)\\s*%', 1), lambda x: replace(x, ',', '.'))"
+
+
+@query("magnitude_hits", _LINES + f"SELECT * EXCLUDE (text), array_to_string({_MOVES(C.UP)}, ' ') AS up, array_to_string({_MOVES(C.DOWN)}, ' ') AS down FROM told")
 def _(spark, d):
-    found = X.percent_moves(F.col("text"), ("tion", "que", "und"))
-    return S.table(spark, d, "documents").select("doc_id", F.array_join(found, " ").alias("moves"))
+    moves = lambda way: F.array_join(X.percent_moves(F.lower("text"), (way,)), " ")
+    return _lines(spark, d).withColumns({"up": moves(C.UP), "down": moves(C.DOWN)}).drop("text")
+
+
+@query("sentiment_of_moves", _LINES + f""", h AS (SELECT * EXCLUDE (text), len(list_filter({_list_sql(C.POSITIVE)}, lambda k: contains(lower(text), k))) AS p, len(list_filter({_list_sql(C.NEGATIVE)}, lambda k: contains(lower(text), k))) AS n,
+  CAST({_MOVES(C.UP)} AS DOUBLE[]) AS up, CAST({_MOVES(C.DOWN)} AS DOUBLE[]) AS down FROM told), r AS (SELECT *, p / (p + n) AS ratio, (p / (p + n) - 0.5) * 100 * least(p + n, 5) / 5 AS swing FROM h)
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN ratio >= 0.6 THEN 'Positive' WHEN ratio <= 0.4 THEN 'Negative' ELSE 'Neutral' END AS label, CAST(round(CASE WHEN ratio >= 0.6 THEN greatest(5, least(95, 50 + swing + CASE WHEN len(up) > 0 THEN least(list_avg(up), 40) / 40 * 20 ELSE 0 END))
+  WHEN ratio <= 0.4 THEN greatest(5, least(95, 50 + swing - CASE WHEN len(down) > 0 THEN least(list_avg(down), 40) / 40 * 20 ELSE 0 END)) ELSE 50 END, 2) AS DOUBLE) AS score FROM r""")
+def _(spark, d):
+    low = F.col("text")
+    moves = lambda way: F.transform(X.percent_moves(F.lower(low), (way,)), lambda x: x.cast("double"))
+    mood = X.sentiment(F.size(X.keyword_hits(low, C.POSITIVE)), F.size(X.keyword_hits(low, C.NEGATIVE)), moves(C.UP), moves(C.DOWN))
+    return _lines(spark, d).withColumn("m", mood).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "m.label", F.col("m.score").alias("score"))
 
 
 # SQL has no look-around: tests hold these two against plain Python.
@@ -478,8 +506,3 @@ def _(spark, d):
 def _(spark, d):
     rows = S.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.windowed_counts(rows).withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-# The names of round 1's queries over whole tables, which are now the plain ones.
-for _name in ("graph_edges", "graph_type_counts", "degree_centrality", "ego_two_hop", "layer_split", "neo4j_nodes", "manifest_digest", "comention_first_seen", "industry30", "batch_progress"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

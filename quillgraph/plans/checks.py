@@ -28,10 +28,10 @@ def _(spark, d):
     return G.stock_features(_edges(spark, d))
 
 
-@query("industry_subgraph", _EDGES + """, seeds AS (SELECT 'industry_FRANCE' AS id UNION SELECT src FROM edges WHERE relation = 'belongs_to' AND dst = 'industry_FRANCE'), reach AS (SELECT id FROM seeds UNION SELECT dst FROM edges WHERE src IN (SELECT id FROM seeds))
+@query("industry_subgraph", _EDGES + """, seeds AS (SELECT 'industry_NATION_1' AS id UNION SELECT src FROM edges WHERE relation = 'belongs_to' AND dst = 'industry_NATION_1'), reach AS (SELECT id FROM seeds UNION SELECT dst FROM edges WHERE src IN (SELECT id FROM seeds))
  SELECT * FROM edges WHERE src IN (SELECT id FROM reach) AND dst IN (SELECT id FROM reach)""")
 def _(spark, d):
-    return G.industry_subgraph(_edges(spark, d), "FRANCE")
+    return G.industry_subgraph(_edges(spark, d), "NATION_1")
 
 
 @query("graph_neighbours", _EDGES + "SELECT dst AS node_id FROM edges WHERE src = 'stock_1' UNION SELECT src FROM edges WHERE dst = 'stock_1'")
@@ -138,10 +138,10 @@ def _(spark, d):
     return C.pass_rate(_graph_checks(spark, d))
 
 
-@query("symbol_sets", "SELECT count(*) FILTER (WHERE a AND b) AS common, count(*) FILTER (WHERE a AND b IS NULL) AS only_one, count(*) FILTER (WHERE a IS NULL AND b) AS only_two, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS differ, count(*) FILTER (WHERE a IS NULL OR b IS NULL) = 0 AS equal FROM (SELECT DISTINCT symbol, true AS a FROM dated WHERE event_type = '1-URGENT') x FULL JOIN (SELECT DISTINCT symbol, true AS b FROM dated WHERE sentiment = 'Positive') y USING (symbol)")
+@query("symbol_sets", "SELECT count(*) FILTER (WHERE a AND b) AS common, count(*) FILTER (WHERE a AND b IS NULL) AS only_one, count(*) FILTER (WHERE a IS NULL AND b) AS only_two, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS differ, count(*) FILTER (WHERE a IS NULL OR b IS NULL) = 0 AS equal FROM (SELECT DISTINCT symbol, true AS a FROM dated WHERE day < DATE '1993-01-10') x FULL JOIN (SELECT DISTINCT symbol, true AS b FROM dated WHERE day BETWEEN DATE '1993-01-05' AND DATE '1993-01-20') y USING (symbol)")
 def _(spark, d):
     dated = S.dated_mentions(spark, d)
-    return C.compare_sets(dated.filter("event_type = '1-URGENT'"), dated.filter("sentiment = 'Positive'"), "symbol")
+    return C.compare_sets(dated.filter("day < date '1993-01-10'"), dated.filter("day between date '1993-01-05' and date '1993-01-20'"), "symbol")
 
 
 @query("one_to_one_join", "SELECT l.doc_id, quality, toxic, source, n_chars FROM labels l JOIN documents d USING (doc_id)")
