@@ -107,37 +107,6 @@ def _(spark, d):
     return rows.select("symbol", "day", "o.horizon", "o.available_at", F.when(later > F.col("close"), "UP").when(later < F.col("close"), "DOWN").otherwise("FLAT").alias("direction"), F.lit(False).alias("safe"))
 
 
-_CHECKS = _EDGES + """, e AS (SELECT src, dst, relation, count(*) AS k FROM edges GROUP BY ALL),
- c AS (SELECT 'schema' AS category, 'columns' AS name, 3 AS observed, 3 AS expected UNION ALL SELECT 'identity', 'repeated_edge', count(*) FILTER (WHERE k > 1), 0 FROM e UNION ALL SELECT 'identity', 'null_end', count(*) FILTER (WHERE src IS NULL OR dst IS NULL), 0 FROM e
- UNION ALL SELECT 'identity', 'loop', count(*) FILTER (WHERE src = dst), 0 FROM e UNION ALL SELECT 'ontology', 'unknown_relation', count(*) FILTER (WHERE relation NOT IN ('mentions', 'contains_event', 'affects', 'has_sentiment')), 0 FROM e
- UNION ALL SELECT 'temporal', 'article_with_two_days', count(*) FILTER (WHERE k > 1), 0 FROM (SELECT news_id, count(DISTINCT day) AS k FROM dated GROUP BY 1) UNION ALL SELECT 'temporal', 'article_with_two_events', count(*) FILTER (WHERE j > 1), 0 FROM (SELECT news_id, count(DISTINCT event_type) AS j FROM dated GROUP BY 1)
- UNION ALL SELECT 'reference', 'unknown_symbol', count(*) FILTER (WHERE industry IS NULL), 0 FROM dated LEFT JOIN dictionary USING (symbol)),
- r AS (SELECT category, name, CAST(observed AS BIGINT) AS observed, CAST(expected AS BIGINT) AS expected, CASE WHEN observed = expected THEN 'PASS' ELSE 'FAIL' END AS status FROM c)"""
-
-
-def _graph_checks(spark, d):
-    edges, dated = _edges(spark, d), S.dated_mentions(spark, d)
-    once = edges.groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).alias("k"))
-    known = ("mentions", "contains_event", "affects", "has_sentiment")
-    articles = dated.groupBy("news_id").agg(F.count_distinct("day").alias("days"), F.count_distinct("event_type").alias("events"))
-    named = dated.join(S.dictionary(spark, d).select("symbol", "industry"), "symbol", "left")
-    own = C.tally(once, "identity", {"repeated_edge": F.col("k") > 1, "null_end": F.col("src").isNull() | F.col("dst").isNull(), "loop": F.col("src") == F.col("dst")})
-    return C.together([
-        C.columns(edges, "schema", ["src", "dst", "relation"]), own, C.tally(once, "ontology", {"unknown_relation": ~F.col("relation").isin(*known)}),
-        C.tally(articles, "temporal", {"article_with_two_days": F.col("days") > 1, "article_with_two_events": F.col("events") > 1}), C.tally(named, "reference", {"unknown_symbol": F.col("industry").isNull()}),
-    ])
-
-
-@query("graph_checks", _CHECKS + "SELECT * FROM r")
-def _(spark, d):
-    return _graph_checks(spark, d)
-
-
-@query("check_pass_rate", _CHECKS + "SELECT count(*) AS checks, count(*) FILTER (WHERE status <> 'PASS') AS failed, round(avg(CAST(status = 'PASS' AS INT)), 6) AS pass_rate FROM r")
-def _(spark, d):
-    return C.pass_rate(_graph_checks(spark, d))
-
-
 @query("symbol_sets", "SELECT count(*) FILTER (WHERE a AND b) AS common, count(*) FILTER (WHERE a AND b IS NULL) AS only_one, count(*) FILTER (WHERE a IS NULL AND b) AS only_two, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS differ, count(*) FILTER (WHERE a IS NULL OR b IS NULL) = 0 AS equal FROM (SELECT DISTINCT symbol, true AS a FROM dated WHERE day < DATE '1993-01-10') x FULL JOIN (SELECT DISTINCT symbol, true AS b FROM dated WHERE day BETWEEN DATE '1993-01-05' AND DATE '1993-01-20') y USING (symbol)")
 def _(spark, d):
     dated = S.dated_mentions(spark, d)

@@ -243,22 +243,6 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("release_checks", _EDGES + """, e AS (SELECT src, dst, relation, count(*) AS k FROM edges GROUP BY ALL), n AS (SELECT DISTINCT src AS id FROM e UNION SELECT DISTINCT dst FROM e)
- SELECT 'allowed_node_types' AS name, count(*) FILTER (WHERE split_part(id, '_', 1) NOT IN ('news', 'stock', 'event', 'sentiment', 'industry', 'company')) = 0 AS ok FROM n UNION ALL SELECT 'allowed_relations', count(*) FILTER (WHERE relation NOT IN ('mentions', 'contains_event', 'affects', 'has_sentiment', 'belongs_to')) = 0 FROM e
- UNION ALL SELECT 'ids_unique', max(k) = 1 FROM e UNION ALL SELECT 'layers_disjoint', count(*) FILTER (WHERE k > 1) = 0 FROM (SELECT src, dst, count(DISTINCT relation = 'has_sentiment') AS k FROM e GROUP BY ALL) UNION ALL SELECT 'core_is_not_empty', count(*) FILTER (WHERE relation = 'mentions') > 0 FROM e""")
-def _(spark, d):
-    e = _edges(spark, d).groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).alias("k"))
-    kinds = F.split_part(F.col("id"), F.lit("_"), F.lit(1))
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    layers = e.groupBy("src", "dst").agg(F.count_distinct(F.col("relation") == "has_sentiment").alias("layers"))
-    check = lambda rows, name, ok: rows.agg(ok.alias("ok")).select(F.lit(name).alias("name"), "ok")
-    return reduce(DataFrame.unionByName, [
-        check(nodes, "allowed_node_types", F.count_if(~kinds.isin("news", "stock", "event", "sentiment", "industry", "company")) == 0),
-        check(e, "allowed_relations", F.count_if(~F.col("relation").isin("mentions", "contains_event", "affects", "has_sentiment", "belongs_to")) == 0),
-        check(e, "ids_unique", F.max("k") == 1), check(layers, "layers_disjoint", F.count_if(F.col("layers") > 1) == 0), check(e, "core_is_not_empty", F.count_if(F.col("relation") == "mentions") > 0),
-    ])
-
-
 @query("readiness", "SELECT bool_and(ok) AS ready, count(*) AS reports, string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT ok) AS open FROM (SELECT event_type AS name, avg(impact) > 150000 AND count(*) FILTER (WHERE status = 'P') * 100 < count(*) * 34 AS ok FROM articles GROUP BY 1)")
 def _(spark, d):
     # One report for each event: its gates, then all reports together.
