@@ -24,11 +24,11 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame
 
-from quillgraph.llm.common import with_found
+from quillgraph.llm.common import resident, with_found
 from quillgraph.llm.transducer import MergeTransducer
 
-#: Pieces kept with their ids in each worker, and the longest such piece.
-CACHED_PIECES, CACHED_LENGTH = 300_000, 48
+#: Pieces kept with their ids in each task, and the longest such piece.
+CACHED_PIECES, CACHED_LENGTH = 200_000, 48
 
 
 class ByteBpe:
@@ -47,6 +47,10 @@ class ByteBpe:
         ids = list(map(self.ranks.__getitem__, self.machine.run(piece.encode("utf-8").decode("latin-1"))))
         return ids, " ".join(map(str, ids))
 
+    def forget_pieces(self) -> None:
+        """Drop the kept pieces, so that an idle worker does not hold them; the transducer stays."""
+        self._kept.cache_clear()
+
     def pieces(self, text: str) -> list[tuple[list[int], str]]:
         """For each match of the pattern, its ids and their decimal form."""
         kept = self._kept
@@ -145,9 +149,8 @@ class Utf8Stream:
         return cut_off
 
 
-@lru_cache(2)
 def _codec(rank_lines: bytes, pattern: str) -> ByteBpe:
-    return ByteBpe(rank_lines, pattern)
+    return resident(("byte-bpe", rank_lines, pattern), lambda: ByteBpe(rank_lines, pattern))
 
 
 def _shipped(docs: DataFrame, ranks_path: str):
@@ -167,6 +170,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             ids = [codec.encode(t or "") for t in texts]
             return [len(x) for x in ids], ids
 
+        find.end = codec.forget_pieces
         return find
 
     return with_found(docs, [c for c in docs.columns if c.lower() not in ("n_tokens", "ids")], make, {"n_tokens": "long", "ids": "array<int>"})
@@ -199,6 +203,7 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
                 rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             return tuple(zip(*rows)) or ((), (), ())
 
+        find.end = codec.forget_pieces
         return find
 
     return with_found(docs, ["doc_id"], make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

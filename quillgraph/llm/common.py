@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -61,6 +62,24 @@ ROWS_AT_ONCE = 500
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, build: Callable):
+    """What ``build`` gives for this key, kept in a worker until it needs something else: a reused worker holds one large object at a time."""
+    if key not in _RESIDENT:
+        no_resident()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def no_resident() -> None:
+    """Let go of what earlier tasks left in this worker."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), ROWS_AT_ONCE):
@@ -71,7 +90,8 @@ def with_found(docs: DataFrame, keep: Sequence[str], make: Callable, added: dict
     """The columns ``keep`` of ``docs`` and the ``added`` ones, named with their types.
 
     ``make()`` gives, once in each task, a function from a list of the values
-    of ``source`` to the added columns' lists. Kept columns stay in Arrow, so
+    of ``source`` to the added columns' lists; its attribute ``end``, if it has
+    one, is called when the task has no more rows. Kept columns stay in Arrow, so
     that none of their values changes.
     """
     rows = docs.select(*keep, *([] if source in keep else [source]))
@@ -81,6 +101,7 @@ def with_found(docs: DataFrame, keep: Sequence[str], make: Callable, added: dict
         for part in _parts(batches):
             found = find(part[source].to_pylist())
             yield pa.RecordBatch.from_arrays([part[c] for c in keep] + [pa.array(x, ARROW[t]) for x, t in zip(found, added.values(), strict=True)], [*keep, *added])
+        getattr(find, "end", list)()
 
     return rows.mapInArrow(work, T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.DataType.fromDDL(t)) for c, t in added.items()]]))
 

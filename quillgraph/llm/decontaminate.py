@@ -24,13 +24,12 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, each_found, only
+from quillgraph.llm.common import cut, each_found, only, resident
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -114,9 +113,8 @@ class Finder:
         return out
 
 
-@lru_cache(1)
 def _finder(items: tuple[tuple[int, str], ...], error_rate: float) -> Finder:
-    return Finder(items, error_rate)
+    return resident(("finder", items, error_rate), lambda: Finder(items, error_rate))
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:

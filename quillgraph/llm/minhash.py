@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, forget
+from quillgraph.llm.common import cut, forget, no_resident
 from quillgraph.llm.ngram_join import Linked, Rule, _lists, _mix, _offsets, connect, keep_one, named_components, shared_words, shingles, sketch
 
 #: Rows of an Arrow batch that are worked on at once, and shingles that are hashed by all functions at once.
@@ -92,6 +92,7 @@ def _signed(docs: DataFrame, rule: Rule, tensor: Tensor) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_resident()
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, len(batch), ROWS_AT_ONCE):

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, forget, fresh
+from quillgraph.llm.common import cut, forget, fresh, no_resident
 from quillgraph.llm.components import components
 
 #: Documents of a word's group that one task compares with as many others.
@@ -159,6 +159,7 @@ def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_resident()
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, len(batch), 500):
