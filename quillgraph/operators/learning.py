@@ -12,12 +12,16 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.sources.sinks import cut
 
+#: Shares of the features' names that are numbered each by itself.
+SHARES = 256
+
 
 def word_parts(text: Column, least: int = 3, most: int = 5) -> Column:
     """All parts of ``least`` to ``most`` signs of each lower-cased word with a blank on both sides; parts do not cross words."""
@@ -64,17 +68,30 @@ def number_features(rows: DataFrame, train: DataFrame, columns: Sequence[str]) -
 
 
 def numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """block, name, place (from 0) of all features of the training rows, and their number; bounded by the blocks' own bounds."""
-    names = blocks.select("block", "name").distinct()
-    places = names.withColumn("place", F.row_number().over(Window.orderBy("block", "name")) - 1)
-    return places, names.count()
+    """block, name, place (from 0) of all features of the training rows, and their number.
+
+    Names are dealt to ``SHARES`` by hash and numbered within their share, from
+    where the shares before it end; so no task orders all of them.
+    """
+    names = blocks.select("block", "name").distinct().withColumn("_share", F.pmod(F.xxhash64("block", "name"), F.lit(SHARES)).cast("int"))
+    sizes = names.groupBy("_share").agg(F.count(F.lit(1)).alias("_k"))  # a row for each share
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_share").orderBy("block", "name")) - 1
+    places = names.join(F.broadcast(sizes.select("_share", before.alias("_before"))), "_share")
+    return places.select("block", "name", (F.col("_before") + own).cast("int").alias("place")), names.count()
 
 
 def vectors(rows: DataFrame, blocks: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """``rows`` with a sparse column ``features``; a row without features has an empty one."""
-    sparse = F.udf(lambda at: Vectors.sparse(size, [(p.place, p.value) for p in at or []]), VectorUDT())
-    own = blocks.join(places, ["block", "name"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("at"))
-    return rows.join(own, "id", "left").withColumn("features", sparse("at")).drop("at")
+    """``rows`` with a sparse column ``features``, written; a row without features has an empty one.
+
+    The parts of a vector are put together as columns and read again as a
+    vector, whose stored form they have: no Python runs for it.
+    """
+    own = blocks.join(places, ["block", "name"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_at"))
+    at = F.coalesce("_at", F.array().cast("array<struct<place: int, value: double>>"))
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform(at, lambda p: p["place"]).alias("indices"), F.transform(at, lambda p: p["value"]).alias("values"))
+    whole = rows.join(own, "id", "left").withColumn("features", sparse).drop("_at")
+    return cut(whole, T.StructType([T.StructField("features", VectorUDT()) if f.name == "features" else f for f in whole.schema]))
 
 
 def balanced(train: DataFrame, label: str) -> DataFrame:
@@ -113,5 +130,5 @@ def predict(train: DataFrame, rows: DataFrame, label: str, text: str | None = No
     learnt = cut(describe(train))
     places, size = numbered(learnt)
     places = cut(places)
-    model = fit_linear(cut(vectors(train, learnt, places, size).select("features", label)), label, rounds=rounds)
-    return model.transform(vectors(rows, describe(rows), places, size)).select("id", F.col(label).alias("truth"), F.col("prediction").cast("int").alias("predicted"))
+    model = fit_linear(vectors(train.select("id", label), learnt, places, size).select("features", label), label, rounds=rounds)
+    return model.transform(vectors(rows.select("id", label), describe(rows), places, size)).select("id", F.col(label).alias("truth"), F.col("prediction").cast("int").alias("predicted"))

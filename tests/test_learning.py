@@ -40,8 +40,12 @@ def test_linear_at_its_optimum(spark):
     rows = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x.tolist(), y.tolist()))], "id long, a double, b double, label double")
     blocks = L.number_features(rows, rows, ["a", "b"])
     places, size = L.numbered(blocks)
-    model = L.fit_linear(L.vectors(rows, blocks, places, size), "label")
-    z = (x - x.mean(0)) / x.std(0)
+    described = L.vectors(rows, blocks, places, size)
+    assert "Python" not in described._jdf.queryExecution().executedPlan().toString()
+    model = L.fit_linear(described, "label")
+    order = [r["name"] for r in places.orderBy("place").collect()]
+    assert [r["place"] for r in places.orderBy("place").collect()] == [0, 1] and size == 2
+    z = ((x - x.mean(0)) / x.std(0))[:, ["ab".index(n) for n in order]]
     weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     score = z @ weights.T + start
     p = np.exp(score - score.max(1, keepdims=True))
