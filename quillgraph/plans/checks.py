@@ -63,6 +63,18 @@ def _(spark, d):
     return G.centralities(_forest(spark, d))
 
 
+_LEVELS = """, ways AS (SELECT DISTINCT src AS v, dst AS w FROM edges WHERE src <> dst), pv AS (SELECT node_id FROM nodes ORDER BY sha256(node_id), node_id LIMIT 50), l0 AS (SELECT node_id AS s, node_id AS v, 1.0::DOUBLE AS p FROM pv)""" + "".join(
+    f", l{k} AS (SELECT s, w AS v, sum(p) AS p FROM l{k - 1} JOIN ways USING (v) WHERE " + " AND ".join(f"(s, w) NOT IN (SELECT (s, v) FROM l{j})" for j in range(k)) + " GROUP BY 1, 2)" for k in (1, 2, 3, 4)
+) + ", h4 AS (SELECT *, 0.0::DOUBLE AS h FROM l4)" + "".join(
+    f", h{k} AS (SELECT a.s, a.v, a.p, coalesce(sum(a.p * (1 + b.h) / b.p), 0) AS h FROM l{k} a LEFT JOIN ways ON ways.v = a.v LEFT JOIN h{k + 1} b ON b.s = a.s AND b.v = ways.w GROUP BY 1, 2, 3)" for k in (3, 2, 1)
+) + ", t AS (SELECT v, sum(h) AS h FROM (SELECT v, h FROM h1 UNION ALL SELECT v, h FROM h2 UNION ALL SELECT v, h FROM h3 UNION ALL SELECT v, h FROM h4) GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM nodes)"
+
+
+@query("sampled_betweenness", _EDGES + _LEVELS + "SELECT node_id, round(coalesce(h, 0) * n / 50 / ((n - 1) * (n - 2)), 12) AS betweenness FROM nodes LEFT JOIN t ON t.v = node_id, n")
+def _(spark, d):
+    return G.sampled_betweenness(_edges(spark, d))
+
+
 @query("event_overlay", """, told AS (SELECT *, CASE WHEN event_type IN ('1-URGENT', '2-HIGH') THEN event_type END AS event FROM dated)
  SELECT news_id, symbol, coalesce(event, 'EXPERIMENTAL_NO_MATCH') AS event, CASE WHEN event IS NOT NULL THEN sentiment END AS sentiment, industry FROM told JOIN dictionary USING (symbol)""")
 def _(spark, d):
