@@ -153,9 +153,10 @@ def finite(v):
 
 
 def whole(v):
-    """floor(256 * x) for each component x as a double; an error beyond MOST_WHOLE."""
+    """floor(256 * x) for each component x as a double; an error beyond MOST_WHOLE, but not for components that are not finite."""
+    large = lambda x: (F.abs(x.cast("double")) * 256 >= MOST_WHOLE) & ~F.isnan(x) & (F.abs(x) < float("inf"))
     scaled = F.transform(v, lambda x: F.floor(x.cast("double") * 256))
-    return F.when(F.exists(v, lambda x: F.abs(x.cast("double")) * 256 >= MOST_WHOLE), F.raise_error(F.lit("a vector component is too large for integer distances"))).otherwise(scaled)
+    return F.when(F.exists(v, large), F.raise_error(F.lit("a vector component is too large for integer distances"))).otherwise(scaled)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
