@@ -148,7 +148,8 @@ def labelled(docs: DataFrame, rule: Rule = WIDE, tensor: Tensor = Tensor()) -> D
     label = cut(signed.select("doc_id", "text_hash", "n", "cls"), "labels")
     each = signed.select("cls", "bands.band", F.posexplode("keys").alias("place", "key")).select("cls", "place", "key", F.explode("band").alias("band"))
     word = F.xxhash64("key", "band").alias("word")
-    several = each.select(word, "cls").groupBy("word").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("word")
+    # One class in two tasks counts twice here: its keys meet no other class and go when table keys are counted.
+    several = each.select(word).groupBy("word").agg(F.count("word").alias("all")).filter("all > 1").select("word")
     held = cut(each.select(word, "cls", "band", "place", "key").join(several, "word", "left_semi").distinct(), "shared-keys")
     light = signed.filter(F.size("bands") > 0).select("cls", "n", F.map_from_arrays("bands.band", "bands.bits").alias("bits"))
     light = cut(light.join(held.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "light-sketches")

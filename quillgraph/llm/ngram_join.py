@@ -379,10 +379,10 @@ def _many(placed: DataFrame, open_: DataFrame, light: DataFrame, tested: list[Da
 
 def shared_words(words: DataFrame) -> DataFrame:
     """(word, cls, holders): the rows (word, cls) whose word more than one class holds. Sums and joins, so that a word of very many rows can be split."""
-    several = words.groupBy("word").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("word")
+    several = words.groupBy("word").agg(F.count("cls").alias("all")).filter("all > 1").select("word")
     # Copies in different tasks may bring a class's word more than once.
     rows = words.join(several, "word", "left_semi").distinct()
-    return rows.join(rows.groupBy("word").agg(F.count("cls").alias("holders")), "word")
+    return rows.join(rows.groupBy("word").agg(F.count("cls").alias("holders")).filter("holders > 1"), "word")
 
 
 @dataclass
