@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import stable_id
-from quillgraph.sources.sinks import cut
+from quillgraph.sources.sinks import cut, forget
 
 
 def edges_of(dated: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
     jumps. Each round is written; the loop ends when no label changes.
     """
     ways = cut(_ways(edges))
-    labels = cut(nodes_of(edges).select("node_id", F.col("node_id").alias("component")))
+    labels = held = cut(nodes_of(edges).select("node_id", F.col("node_id").alias("component")))
     while True:
         heard = ways.join(labels, ways["w"] == labels["node_id"]).groupBy("v").agg(F.min("component").alias("heard"))
         near = labels.join(heard, labels["node_id"] == heard["v"], "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("near"))
@@ -139,9 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
         best = near.groupBy(F.col("old").alias("_old")).agg(F.min("near").alias("best"))
         moved = near.join(best, near["old"] == best["_old"]).select("node_id", F.col("best").alias("component"), (F.col("best") != F.col("old")).alias("changed"))
         moved = cut(moved)
+        forget(held)
         if moved.filter("changed").isEmpty():
+            forget(ways)
             return moved.select("node_id", "component")
-        labels = moved.select("node_id", "component")
+        labels, held = moved.select("node_id", "component"), moved
 
 
 def _levels(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
