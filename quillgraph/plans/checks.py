@@ -34,6 +34,14 @@ def _(spark, d):
     return G.industry_subgraph(_edges(spark, d), "NATION_1")
 
 
+@query("owner_graph", """, own AS (SELECT * FROM dated WHERE owner % 10 = 7 AND impact > 50000) SELECT DISTINCT * FROM (SELECT 'news_' || news_id AS src, 'stock_' || symbol AS dst, 'mentions' AS relation FROM own UNION ALL SELECT 'news_' || news_id, 'event_' || event_type, 'contains_event' FROM own
+ UNION ALL SELECT 'event_' || event_type, 'stock_' || symbol, 'affects' FROM own UNION ALL SELECT 'news_' || news_id, 'sentiment_' || sentiment, 'has_sentiment' FROM own UNION ALL SELECT 'stock_' || symbol, 'industry_' || industry, 'belongs_to' FROM dictionary WHERE symbol IN (SELECT symbol FROM own))""")
+def _(spark, d):
+    # The graph of some owners' rows that are marked as built, with the stocks that these name.
+    own = S.dated_mentions(spark, d).filter("owner % 10 = 7 and impact > 50000")
+    return G.edges_of(own, S.dictionary(spark, d).join(own.select("symbol"), "symbol", "left_semi"))
+
+
 @query("graph_neighbours", _EDGES + "SELECT dst AS node_id FROM edges WHERE src = 'stock_1' UNION SELECT src FROM edges WHERE dst = 'stock_1'")
 def _(spark, d):
     return G.neighbours(_edges(spark, d), "stock_1")
