@@ -18,7 +18,11 @@ bucket of any size is split into blocks, so no candidate is left out. The
 tables' candidates are merged per query and rank by exact double products.
 
 Only the scale of distances (r, the number of functions) is fitted, on at most
-``sample_rows`` rows; every row is indexed.
+``sample_rows`` rows; every row is indexed. The number of functions is the one
+with the least work: more of them make buckets smaller and probes more, and on
+evenly spread vectors the probes soon grow faster. A query whose neighbours lie
+so far away that it would visit more than ``MOST_PROBES`` buckets of a table
+meets all rows instead.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components,
 have a null id or another length than most take no part. Of rows that repeat a
@@ -41,7 +45,11 @@ from quillgraph.llm.common import cut, forget
 
 SAMPLE_ROWS = 4096
 #: Rows of a bucket, and queries that probe it, in one block; rows of blocks that share a call.
-BLOCK_ROWS, BLOCK_QUERIES, PACK_ROWS = 2048, 2048, 8192
+BLOCK_ROWS, BLOCK_QUERIES, PACK_ROWS = 8192, 8192, 16384
+#: Queries of a block that are scored at once; rows of probes that are handed on at once.
+QUERIES_AT_ONCE, PROBES_AT_ONCE = 512, 16384
+#: Scored rows that cost as much as a probe; buckets of a table from which on a query meets all rows, and the key of these.
+PROBE_COST, MOST_PROBES, EVERY = 2000, 4096, -1
 #: Chance that the first round covers in each table.
 FIRST = 0.2
 
@@ -64,8 +72,8 @@ class Hashes:
         full = np.column_stack([scaled, last])
         return np.einsum("nd,lmd->nlm", full, self.direction) / self.width + self.shift
 
-    def probes(self, place: np.ndarray, radius: float, need: float) -> np.ndarray:
-        """Buckets [probes, hashes] of one table for a query, likeliest first, until their chances reach ``need``."""
+    def probes(self, place: np.ndarray, radius: float, need: float) -> np.ndarray | None:
+        """Buckets [probes, hashes] of one table for a query, likeliest first, until their chances reach ``need``; None if they are too many."""
         spread = radius / self.width
         buckets, chance = np.zeros((1, 0), np.int64), np.ones(1)
         spare = (1 - need) / (2 * len(place))  # chance that each function's unlikely buckets may lose
@@ -76,6 +84,8 @@ class Hashes:
             chance = np.outer(chance, own).ravel()
             order = np.argsort(-chance, kind="stable")
             kept = order[: np.searchsorted(np.cumsum(chance[order]), chance.sum() - spare) + 1]
+            if len(kept) > MOST_PROBES:
+                return None
             buckets, chance = buckets[kept], chance[kept]
         return buckets[: np.searchsorted(np.cumsum(chance), need) + 1]
 
@@ -87,8 +97,9 @@ def _normal(z: np.ndarray) -> np.ndarray:
 def _keys(table: int, buckets: np.ndarray) -> np.ndarray:
     """One long for each bucket [rows, hashes]; two that fall together are one bucket of both."""
     with np.errstate(over="ignore"):
-        out = np.full(len(buckets), table + 1, np.uint64)
-        for column in buckets.T:
+        out = np.zeros(len(buckets), np.uint64)
+        # The table comes first, so that single functions of two tables differ too.
+        for column in (np.full(len(buckets), table + 1), *buckets.T):
             out = (out ^ column.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
     return out.view(np.int64)
@@ -104,7 +115,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def fit(rows: DataFrame, top: int, recall: float, tables: int, seed: int = 11, sample_rows: int = SAMPLE_ROWS, bucket_rows: int = 2000) -> Hashes | None:
+def fit(rows: DataFrame, top: int, recall: float, tables: int, seed: int = 11, sample_rows: int = SAMPLE_ROWS) -> Hashes | None:
     """Choose distances and functions; None for an empty table."""
     stats = rows.agg(F.count("vec_id").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     if not stats["n"]:
@@ -121,14 +132,19 @@ def fit(rows: DataFrame, top: int, recall: float, tables: int, seed: int = 11, s
     chance = np.random.default_rng(seed)
     most = 16
     found = Hashes(chance.normal(size=(tables, most, v.shape[1] + 1)), chance.random((tables, most)), width, longest, near, 1 - (1 - recall) ** (1 / tables))
-    # As few functions as bring the rows that share a row's bucket down to bucket_rows.
+    # The functions with the least work: probes of a query times what each costs.
     at = np.floor(found.places(v * longest, True)[:, 0]).astype(np.int64)
-    hashes = 1
-    while hashes < most:
-        size = np.unique(_keys(0, at[:, :hashes]), return_counts=True)[1]
-        if (size * (size - 1)).sum() / max(len(v) * (len(v) - 1), 1) * stats["n"] <= bucket_rows:
+    asked = found.places(v[:: max(1, len(v) // 32)] * longest, False)[:, 0]
+    least, hashes = math.inf, 1
+    for k in range(1, most + 1):
+        lists = [found.probes(place[:k], near, found.need) for place in asked]
+        if any(x is None for x in lists):
             break
-        hashes += 1
+        size = np.unique(_keys(0, at[:, :k]), return_counts=True)[1]
+        rows_met = (size * (size - 1)).sum() / max(len(v) * (len(v) - 1), 1) * stats["n"]
+        work = np.mean([len(x) for x in lists]) * (rows_met + PROBE_COST)
+        if work < least:
+            least, hashes = work, k
     found.direction, found.shift = found.direction[:, :hashes], found.shift[:, :hashes]
     return found
 
@@ -153,7 +169,17 @@ def _index(rows: DataFrame, hashes: Hashes) -> DataFrame:
 
 
 def _probe(asks: DataFrame, hashes: Hashes, again: bool) -> DataFrame:
-    """(bucket, id, v, floor) for the buckets that queries (vec_id, v, floor, kth) visit, in their first round or again."""
+    """(bucket, id, v, floor) for the buckets that queries (vec_id, v, floor, kth) visit, in their first round or again; EVERY for those that meet all rows."""
+
+    def found(p: np.ndarray, usual: float, own: float) -> list[np.ndarray]:
+        lists = []
+        for t in range(len(p)):
+            first, more = hashes.probes(p[t], usual, FIRST), hashes.probes(p[t], own, hashes.need) if again else None
+            if first is None or (again and more is None):
+                return [np.array([EVERY])]
+            first = _keys(t, first)
+            lists.append(np.setdiff1d(_keys(t, more), first) if again else first)
+        return lists
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,27 +187,38 @@ def _probe(asks: DataFrame, hashes: Hashes, again: bool) -> DataFrame:
                 continue
             v = _vectors(batch["v"])
             place, square = hashes.places(v, False), (v**2).sum(axis=1) / hashes.longest**2
+            data = pa.array([x.tobytes() for x in v], pa.binary())
             keys, rows = [], []
             for k, (p, s, kth) in enumerate(zip(place, square, batch["kth"].to_pylist(), strict=True)):
                 usual = math.sqrt(max(s + hashes.near**2 - 1, 1e-3))
                 own = math.sqrt(max(s + 1 - 2 * kth / hashes.longest**2, 1e-3)) if kth is not None else math.sqrt(s) + 1
-                for t in range(len(p)):
-                    found = _keys(t, hashes.probes(p[t], usual, FIRST))
-                    if again:
-                        found = np.setdiff1d(_keys(t, hashes.probes(p[t], own, hashes.need)), found)
-                    keys.append(found)
-                    rows += [k] * len(found)
-            data = pa.array([x.tobytes() for x in v], pa.binary())
-            rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["vec_id"].take(rows), data.take(rows), batch["floor"].take(rows)], ["bucket", "id", "v", "floor"])
+                for own_keys in found(p, usual, own):
+                    keys.append(own_keys)
+                    rows += [k] * len(own_keys)
+                if len(rows) >= PROBES_AT_ONCE or k == len(v) - 1:
+                    at = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["vec_id"].take(at), data.take(at), batch["floor"].take(at)], ["bucket", "id", "v", "floor"])
+                    keys, rows = [np.empty(0, np.int64)], []
 
     return asks.mapInArrow(work, "bucket long, id long, v binary, floor double")
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """(bucket, id, v): all rows in the one bucket EVERY."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                data = pa.array([x.tobytes() for x in _vectors(batch["v"])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), EVERY)), batch["vec_id"], data], ["bucket", "id", "v"])
+
+    return rows.mapInArrow(work, "bucket long, id long, v binary")
+
+
 def best_of(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and exact scores of each query's ``top`` candidates that reach its floor, its own id left out."""
-    order = np.argsort(c_ids)
-    c, c_ids = c[order], c_ids[order]
+    c_ids, order = np.unique(c_ids, return_index=True)
+    c = c[order]
     rough = q @ c.T
     own = np.searchsorted(c_ids, q_ids)
     same = np.flatnonzero(np.append(c_ids, -1)[own] == q_ids) if len(c_ids) else []
@@ -202,10 +239,14 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray,
     return q_ids[k[kept]], c_ids[j[kept]], exact[kept]
 
 
-def _met(members: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+def _met(members: DataFrame, asked: DataFrame, rows: DataFrame, top: int) -> DataFrame:
     """(query_id, vec_id, score): what queries find in the buckets that they visit."""
-    blocks = lambda df, size, name: df.groupBy("bucket").agg(F.ceil(F.count("id") / size).cast("int").alias(name))
-    sizes = cut(blocks(members, BLOCK_ROWS, "parts").join(blocks(asked, BLOCK_QUERIES, "asked_parts"), "bucket"), "nearest-sizes")
+    if not asked.filter(F.col("bucket") == EVERY).isEmpty():
+        members = members.unionByName(_whole(rows))
+    counts = lambda df, name: df.groupBy("bucket").agg(F.count("id").alias(name))
+    blocks = lambda name, size: F.ceil(F.col(name) / size).cast("int")
+    sizes = counts(members, "held").join(counts(asked, "asking"), "bucket").withColumns({"parts": blocks("held", BLOCK_ROWS), "asked_parts": blocks("asking", BLOCK_QUERIES)})
+    sizes = cut(sizes, "nearest-sizes")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     held = members.join(sizes, "bucket").select("bucket", own(F.col("parts")).alias("part"), every(F.col("asked_parts")).alias("asked_part"), F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("floor"))
@@ -221,13 +262,15 @@ def _met(members: DataFrame, asked: DataFrame, top: int) -> DataFrame:
         out = []
         for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
             m = a + np.searchsorted(asks[a:b], True)
-            if a < m < b:
-                out.append(best_of(v[m:b], ids[m:b], floor[m:b], v[a:m], ids[a:m], top))
+            for k in range(m, b, QUERIES_AT_ONCE) if a < m else ():
+                few = slice(k, min(k + QUERIES_AT_ONCE, b))
+                out.append(best_of(v[few], ids[few], floor[few], v[a:m], ids[a:m], top))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    # Small blocks share a call.
-    packs = max(1, (members.count() + asked.count()) // PACK_ROWS)
+    # Small blocks share a call. Rows of a bucket come once for each block that they meet.
+    dealt = sizes.agg(F.sum(F.col("held") * F.col("asked_parts") + F.col("asking") * F.col("parts"))).first()[0] or 0
+    packs = max(1, dealt // PACK_ROWS)
     found = held.unionByName(asking).groupBy(F.pmod(F.xxhash64("bucket", "part", "asked_part"), F.lit(packs)).alias("pack")).applyInArrow(work, "query_id long, vec_id long, score double")
     return cut(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "nearest-found")
 
@@ -244,7 +287,7 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, recall: float = 0.93, t
 
     none = F.lit(None).cast("double")
     asked = cut(_probe(asks.select("vec_id", "v", none.alias("floor"), none.alias("kth")), hashes, False), "nearest-probes")
-    found = _met(members, asked, top)
+    found = _met(members, asked, rows, top)
     forget(asked)
     # Of a query's ``top`` nearest, the first round has found about this many.
     share = 1 - (1 - FIRST) ** tables
@@ -253,7 +296,7 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, recall: float = 0.93, t
     scale = found.withColumn("place", place).groupBy("query_id").agg(at(top).alias("floor"), at(expected).alias("kth"))
     asks = asks.join(scale, asks["vec_id"] == scale["query_id"], "left").select("vec_id", "v", "floor", "kth")
     asked = cut(_probe(asks, hashes, True), "nearest-probes")
-    found = found.unionByName(_met(members, asked, top))
+    found = found.unionByName(_met(members, asked, rows, top))
     forget(asked, members)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", place).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
