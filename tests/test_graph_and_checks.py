@@ -105,3 +105,24 @@ def test_set_comparison_and_empty_tallies(spark):
     assert C.compare_sets(a, b, "k").first().asDict() == {"common": 1, "only_one": 1, "only_two": 1, "differ": 2, "equal": False}
     got = C.tally(a.filter("k > 9"), "c", {"odd": F.col("k") == 1}).first()
     assert (got["observed"], got["status"]) == (0, "PASS")
+
+
+def test_hanging_trees_make_no_pairs(spark):
+    """A star's pairs are counted by sizes, and rings with trees on them keep their exact measures."""
+    star = _edges(spark, [("hub", f"s{i:04d}") for i in range(3000)])
+    ways, nodes, rounds = G._pruned(star)
+    assert (ways.count(), nodes.count(), [r.count() for r in rounds]) == (0, 1, [3000])
+    found = {r["node_id"]: (r["closeness"], r["betweenness"]) for r in G.centralities(star).collect()}
+    assert found["hub"] == (1.0, 1.0) and found["s0007"] == (pytest.approx(3000 / 5999, abs=1e-9), 0.0) and len(found) == 3001
+    pairs = [("r0", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r0"), ("r0", "r2"), ("r1", "t1"), ("t1", "t2"), ("t1", "t3"), ("t3", "t4"), ("r3", "u"), ("p", "q"), ("o", "o"), ("x", "y"), ("y", "z")]
+    nodes = sorted({v for p in pairs for v in p})
+    near = {v: ({b for a, b in pairs if a == v} | {a for a, b in pairs if b == v}) - {v} for v in nodes}
+    all_, n = {v: _paths(near, v) for v in nodes}, len(nodes)
+    rows = G.centralities(_edges(spark, pairs)).collect()
+    assert sorted(r["node_id"] for r in rows) == nodes
+    for row in rows:
+        v, (dist, _) = row["node_id"], all_[row["node_id"]]
+        r, far = len(dist) - 1, sum(dist.values())
+        assert row["closeness"] == pytest.approx(r * r / far / (n - 1) if far else 0, abs=1e-8)
+        through = sum(all_[s][1][v] * all_[v][1][t] / all_[s][1][t] for s, t in itertools.permutations([u for u in nodes if u != v], 2) if t in all_[s][0] and v in all_[s][0] and all_[s][0][v] + all_[v][0][t] == all_[s][0][t])
+        assert row["betweenness"] == pytest.approx(through / (n - 1) / (n - 2), abs=1e-8)
