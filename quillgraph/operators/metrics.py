@@ -77,8 +77,8 @@ def mcnemar(rows: DataFrame) -> DataFrame:
 def _drawn(groups: DataFrame, draws: int, seed: int) -> DataFrame:
     """``groups`` (c, ...) once for each draw, with ``w``: how often it is drawn, Poisson(1) by a hash of group and draw."""
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("c").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
-    weight = sum((F.when(u >= limit, 1).otherwise(0) for limit in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
-    return groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    weight = sum((F.when(F.col("_u") >= limit, 1).otherwise(0) for limit in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
+    return groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_u", u).withColumn("w", weight).drop("_u")
 
 
 def bootstrap_metrics(rows: DataFrame, cluster: str, draws: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
@@ -89,7 +89,10 @@ def bootstrap_metrics(rows: DataFrame, cluster: str, draws: int = 200, seed: int
     from these draws x classes x classes counts.
     """
     own = rows.groupBy(F.col(cluster).alias("c"), "truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    seen = _drawn(own, draws, seed).filter("w > 0").groupBy("draw", "truth", "predicted").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    own = own.groupBy("c").agg(F.collect_list(F.struct("truth", "predicted", "n")).alias("cells"))
+    # A cluster is drawn once, with all its counts; those of one that is not drawn make no row.
+    drawn = _drawn(own, draws, seed).select("draw", "w", F.explode(F.when(F.col("w") > 0, F.col("cells"))).alias("e"))
+    seen = drawn.groupBy("draw", "e.truth", "e.predicted").agg(F.sum(F.col("w") * F.col("e.n")).alias("n"))
     truth = seen.groupBy("draw", F.col("truth").alias("label")).agg(F.sum("n").alias("s"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
     guess = seen.groupBy("draw", F.col("predicted").alias("label")).agg(F.sum("n").alias("g"))
     classes = truth.join(guess, ["draw", "label"], "full").na.fill(0, ["s", "tp", "g"])
