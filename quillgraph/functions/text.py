@@ -93,7 +93,8 @@ def symbol_mentions(text: Column, markers: Sequence[str] = (), reach: int = 40)
     word = r"(?<![\p{L}\p{N}_])[A-Z]{2,5}(?![\p{L}\p{N}_])"
     if markers:
         near = "(?i:" + "|".join(rf"\Q{m}\E" for m in markers) + ")"
-        word = rf"(?:(?<={near}.{{0,{reach}}}){word}|{word}(?=.{{0,{reach}}}{near}))"
+        # Only at the first sign of such a word does the pattern look around.
+        word = rf"(?=[A-Z]{{2}})(?={word})(?:(?<={near}.{{0,{reach}}}){word}|{word}(?=.{{0,{reach}}}{near}))"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s){word}"), F.lit(0)))
 
 

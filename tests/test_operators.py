@@ -113,3 +113,25 @@ def test_tables_written_and_read(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("line 1\nline 2", "2020-01-01"), ("x", "")]
     K.write_fresh(log, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4
+
+
+def test_bootstrap_draws_each_cluster_once(spark, monkeypatch):
+    from quillgraph.operators import metrics as M
+
+    given, plain = [], M._drawn
+    monkeypatch.setattr(M, "_drawn", lambda groups, *rest: given.append(groups) or plain(groups, *rest))
+    rows = spark.createDataFrame([(k % 5, k % 3, k % 4 % 3) for k in range(60)], "owner int, truth int, predicted int")
+    assert M.bootstrap_metrics(rows, "owner", draws=10).count() == 4 and given[0].count() == 5
+
+
+def test_context_gate_looks_around_words_only(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillgraph.functions import text as X
+
+    rows = spark.createDataFrame([("the AB, xAB ABCDEF CD" + " y" * 30 + " EF and Gh IJ\nque, KLé LM the NO" + " z" * 25 + " PQ",), ("plain text without any " * 40_000 + "THE",)], "t string")
+    began = time.time()
+    assert [r["s"] for r in rows.select(X.symbol_mentions(F.col("t"), ("the", "die", "que")).alias("s")).collect()] == [["AB", "CD", "EF", "IJ", "LM", "NO"], []]
+    assert time.time() - began < 4
