@@ -61,3 +61,19 @@ def test_predict(spark):
     found = {r["id"]: r["predicted"] for r in L.predict(rows, new, "label", text="t", categories=["c"]).collect()}
     assert found == {100: 1, 101: 0, 102: 1}
     assert {r["predicted"] for r in L.predict(rows, new, "label").collect()} == {1.0}
+
+
+def test_copies_count_as_rows(spark):
+    """Texts and rows that stand for many give what the many give."""
+    texts = ["cat cat hat", "hat bat", "cat mat", "zzz"]
+    many = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 3)], "id long, t string")
+    once = spark.createDataFrame([(k, t, 3) for k, t in enumerate(texts)], "id long, t string, k long")
+    fitted = [sorted(map(tuple, f.collect())) for f in (L.fit_terms(many, "t"), L.fit_terms(once, "t", copies="k"))]
+    assert [a for a, _ in fitted[0]] == [a for a, _ in fitted[1]] and np.allclose([b for _, b in fitted[0]], [b for _, b in fitted[1]])
+    rows = spark.createDataFrame([(k, float(k % 3), float(k % 3 > 0)) for k in range(12)], "id long, a double, label double")
+    half = rows.filter("id < 6").withColumn("copies", F.lit(2))
+    models = []
+    for some, k in ((rows, None), (half, "copies")):
+        blocks = L.number_features(some, rows, ["a"])
+        models.append(L.fit_linear(L.vectors(some, blocks, *L.numbered(blocks)), "label", copies=k))
+    assert np.allclose(models[0].coefficientMatrix.toArray(), models[1].coefficientMatrix.toArray(), atol=1e-6)
