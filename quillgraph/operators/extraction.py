@@ -1,10 +1,13 @@
 """Symbols, companies, industries and reasons of articles, by a dictionary of any size.
 
-A text gives its distinct words, three-sign pieces and signs, once each; a join
-with the keys of the dictionary (a symbol's key is its whole word, an alias's
-its first three signs, or its first where it is shorter) leaves the few entries
-that can occur. Only these are looked for in the text. So the plan is the same
-for ten entries and for thousands, and no entry has a pattern of its own.
+A text gives its distinct words, and of its three-sign pieces and signs those
+that some alias begins with, once each; a join with the keys of the dictionary
+(a symbol's key is its whole word, an alias's its first three signs, or its
+first where it is shorter) leaves the few entries that can occur. Only these are
+looked for in the text. So the plan is the same for ten entries and for
+thousands, and no entry has a pattern of its own. Keys are numbers: words by
+their hash, pieces by their code points; two keys that fall together cost a
+look into the text and change no result.
 
 ``dictionary``: (symbol, tier, company, industry, aliases, friends), the last
 two arrays of text. A symbol stands as a whole word, in any case. Symbols of the
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,22 +44,49 @@ def with_friends(dictionary: DataFrame, friends: Mapping[str, Sequence[str]] = F
 def _keys(dictionary: DataFrame) -> DataFrame:
     """(key, entry): what can be found by a key."""
     entry = lambda alias: F.struct("symbol", "tier", "friends", alias.alias("alias"))
-    symbols = dictionary.select(F.concat(F.lit("w"), F.lower("symbol")).alias("key"), entry(F.lit(None).cast("string")).alias("entry"))
+    symbols = dictionary.select(F.xxhash64(F.lower("symbol")).alias("key"), entry(F.lit(None).cast("string")).alias("entry"))
     named = dictionary.select("symbol", "tier", "friends", F.explode("aliases").alias("_alias")).withColumn("_alias", F.lower("_alias")).filter("_alias <> ''")
-    key = F.when(F.length("_alias") < 3, F.concat(F.lit("c"), F.substring("_alias", 1, 1))).otherwise(F.concat(F.lit("g"), F.substring("_alias", 1, 3)))
+    sign = lambda k: F.shiftleft(F.ascii(F.substring("_alias", k, 1)).cast("long"), 63 - 21 * k)
+    key = F.when(F.length("_alias") < 3, sign(1)).otherwise(sign(1).bitwiseOR(sign(2)).bitwiseOR(sign(3)))
     return symbols.unionByName(named.select(key.alias("key"), entry(F.col("_alias")).alias("entry"))).distinct()
 
 
-def _pieces(low: Column) -> Column:
-    """The distinct keys that a lower-cased text can meet."""
-    mark = lambda sign, found: F.transform(F.array_distinct(found), lambda x: F.concat(F.lit(sign), x))
-    words, grams = F.regexp_extract_all(low, F.lit(f"{_EDGE}+"), F.lit(0)), F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-    return F.concat(mark("w", words), mark("g", grams), mark("c", F.split(low, "")))
+def _starts(wanted: np.ndarray | None):
+    """A function from a text to the codes of its distinct signs and three-sign pieces; with ``wanted``, of those that may be among these, by a table of hashed places."""
+    bits = max(16, (16 * len(wanted)).bit_length()) if wanted is not None else 0
+    places = lambda codes: (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    table = np.zeros(1 << bits, bool)
+    if bits:
+        table[places(wanted)] = True
+
+    def find(text: str) -> np.ndarray:
+        signs = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        first = signs << 42
+        codes = np.concatenate([first, first[:-2] | (signs[1:-1] << 21) | signs[2:]])
+        return np.unique(codes[table[places(codes)]] if bits else codes)
+
+    return find
+
+
+def _pieces(low: Column, keys: DataFrame | None) -> Column:
+    """The distinct keys that a lower-cased text can meet. With ``keys``, pieces that no key shares are left out at once."""
+    find = _starts(keys.select("key").distinct().toArrow()["key"].to_numpy() if keys is not None else None)
+
+    def starts(texts: pa.Array) -> pa.Array:
+        return pa.array([find(t.as_py()) for t in texts], pa.list_(pa.int64()))
+
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_EDGE}+"), F.lit(0)))
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.arrow_udf(starts, "array<bigint>")(low))
+
+
+def _word(symbol: Column) -> Column:
+    """The pattern of a symbol as a whole word, in any case."""
+    return F.concat(F.lit(rf"(?i)(?<!{_EDGE})\Q"), symbol, F.lit(rf"\E(?!{_EDGE})"))
 
 
 def windows(text: Column, symbol: Column, reach: int = REACH, before: int = BEFORE) -> Column:
     """For each place of the symbol as a whole word, in any case: the lower-cased text about it, and what stands just before."""
-    split = F.split(text, F.concat(F.lit(rf"(?i)(?<!{_EDGE})\Q"), symbol, F.lit(rf"\E(?!{_EDGE})")), -1)
+    split = F.split(text, _word(symbol), -1)
     joined = lambda some, sign: F.call_function("array_join", some, sign)
 
     def window(parts: Column, k: Column) -> Column:
@@ -70,13 +102,16 @@ def windows(text: Column, symbol: Column, reach: int = REACH, before: int = BEFO
 def symbols_of(docs: DataFrame, key: str, text: str, dictionary: DataFrame, context: Sequence[str] = Cues.context) -> DataFrame:
     """(key, symbol): each symbol of each row of ``docs``, once."""
     keys = _keys(dictionary)
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    few = keys.count() <= BROADCAST_KEYS
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
-    met = rows.select("_id", "_text", "_low", F.explode(_pieces(F.col("_low"))).alias("key")).join(keys, "key").select("_id", "_text", "_low", "entry.*")
+    pieces = _pieces(F.col("_low"), keys.filter("entry.alias is not null") if few else None)
+    met = rows.select("_id", "_text", "_low", F.explode(pieces).alias("key")).join(F.broadcast(keys) if few else keys, "key").select("_id", "_text", "_low", "entry.*")
     has = lambda where, words: F.exists(words, lambda w: F.contains(where, w))
     talk = F.array(*map(F.lit, context))
     friend = lambda w: has(w["before"], F.col("friends")) & ~has(w["before"], talk)
-    stands = F.exists(windows(F.col("_text"), F.col("symbol")), lambda w: ~friend(w) & ((F.col("tier") != "expanded") | has(w["about"], talk)))
+    # Where nothing about a symbol matters, its first place tells.
+    free = F.coalesce((F.col("tier") != "expanded") & (F.size("friends") == 0), F.lit(False))
+    stands = F.when(free, F.rlike("_text", _word(F.col("symbol")))).otherwise(F.exists(windows(F.col("_text"), F.col("symbol")), lambda w: ~friend(w) & ((F.col("tier") != "expanded") | has(w["about"], talk))))
     found = met.filter(F.when(F.col("alias").isNotNull(), F.contains("_low", F.col("alias"))).otherwise(stands))
     return found.select(F.col("_id").alias(key), "symbol").distinct()
 

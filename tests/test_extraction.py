@@ -58,6 +58,20 @@ def test_thousands_of_aliases_make_no_longer_plan(spark):
     assert plans[0] == plans[1] and rows == sorted(["S1", "S12", "S123", "S1234", "S7", "S77"])
 
 
+def test_pieces_that_no_key_shares_are_left_out(spark, monkeypatch):
+    """Of a text only pieces leave that an alias begins with; a dictionary too large for that finds the same symbols."""
+    dictionary = E.with_friends(spark.createDataFrame(ENTRIES, SCHEMA))
+    texts = [*_texts(120), "no alias begins like this, nor thiz: 𝔘𝔫𝔦 code"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    keys = E._keys(dictionary)
+    left, all_ = (docs.select("id", E.F.explode(E._pieces(E.F.lower("text"), k)).alias("key")) for k in (keys, None))
+    assert left.count() < all_.count() / 3
+    assert sorted(map(tuple, left.join(keys, "key").select("id", "key").collect())) == sorted(map(tuple, all_.join(keys, "key").select("id", "key").collect()))
+    few = sorted(map(tuple, E.symbols_of(docs, "id", "text", dictionary).collect()))
+    monkeypatch.setattr(E, "BROADCAST_KEYS", 0)
+    assert sorted(map(tuple, E.symbols_of(docs, "id", "text", dictionary).collect())) == few and len(few) > 50
+
+
 def _plain_analysis(title, content):
     text = f"{title} {content or ''}"
     low, entries = text.lower(), {e[0]: e for e in ENTRIES}
