@@ -52,10 +52,13 @@ def fit_terms(train: DataFrame, text: str, least_rows: int = 2, most_terms: int
 
 
 def term_features(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """Weights (1 + ln tf) * idf, of length 1 for each row. ``terms`` has at most the number of rows that its fit allows."""
+    """Weights (1 + ln tf) * idf, of length 1 for each row. ``terms`` has at most the number of rows that its fit allows.
+
+    A row's terms go together as one list: where rows lie by id, no term is shuffled.
+    """
     w = _counts(rows, text).join(F.broadcast(terms), "name").select("id", "name", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select("id", F.lit("text").alias("block"), "name", (F.col("w") / F.col("norm")).alias("value"))
+    own = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("name", "w")).alias("own"))
+    return own.select("id", "norm", F.explode("own").alias("t")).select("id", F.lit("text").alias("block"), F.col("t.name").alias("name"), (F.col("t.w") / F.col("norm")).alias("value"))
 
 
 def category_features(rows: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,10 @@ from quillgraph.sources import sinks as K
 from quillgraph.sources import tables as S
 
 
+#: Bytes of a table's files for each task that takes texts apart: a sign gives three parts.
+TEXT_BYTES = 1 << 19
+
+
 @query("char_tfidf", r""", t AS (SELECT conv_id * 1000 + turn AS id, conv_id % 5 < 4 AS train, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) || ' ' AS w FROM conversations),
  g AS (SELECT id, train, w, unnest([3, 4, 5]) AS n FROM t), p AS (SELECT id, train, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM g WHERE length(w) >= n), c AS (SELECT id, train, substring(w, i, n) AS name, count(*) AS tf FROM p GROUP BY ALL),
  v AS (SELECT name, count(*) AS df, sum(tf) AS total FROM c WHERE train GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, name LIMIT 50000), n AS (SELECT count(*) AS n FROM conversations WHERE conv_id % 5 < 4),
@@ -21,6 +25,8 @@ from quillgraph.sources import tables as S
  SELECT id, name, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 7) AS value FROM x""")
 def _(spark, d):
     rows = S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "text")
+    # Dealt as texts: their parts, many times as large, stay where these lie.
+    rows = S.dealt(spark, d, "conversations", rows, "id", part_bytes=TEXT_BYTES)
     terms = L.fit_terms(rows.filter("conv_id % 5 < 4"), "text")
     return L.term_features(rows, "text", terms).select("id", "name", F.round("value", 7).alias("value"))
 

@@ -77,3 +77,11 @@ def test_copies_count_as_rows(spark):
         blocks = L.number_features(some, rows, ["a"])
         models.append(L.fit_linear(L.vectors(some, blocks, *L.numbered(blocks)), "label", copies=k))
     assert np.allclose(models[0].coefficientMatrix.toArray(), models[1].coefficientMatrix.toArray(), atol=1e-6)
+
+
+def test_terms_of_dealt_rows_are_not_shuffled(spark):
+    """Only the rows themselves are dealt by id; their parts stay there."""
+    rows = spark.createDataFrame([(k, f"some text {k}") for k in range(40)], "id long, t string").repartition(12, "id")
+    found = L.term_features(rows, "t", spark.createDataFrame([(" so", 2.0)], "name string, idf double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.count() == 40
