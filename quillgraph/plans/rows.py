@@ -12,6 +12,7 @@ from quillgraph.functions import text as X
 from quillgraph.operators import upserts as U
 from quillgraph.plans.catalog import _EDGES, _edges
 from quillgraph.plans.registry import query
+from quillgraph.sources import sinks as K
 from quillgraph.sources import tables as S
 
 
@@ -206,7 +207,10 @@ def _(spark, d):
 
 
 def _share(rows: DataFrame, question: str, good, least: float = 1.0) -> DataFrame:
-    g = rows.agg(F.count_if(good).alias("numerator"), F.count(F.lit(1)).alias("denominator"))
+    return _answer(rows.agg(F.count_if(good).alias("numerator"), F.count(F.lit(1)).alias("denominator")), question, least)
+
+
+def _answer(g: DataFrame, question: str, least: float = 1.0) -> DataFrame:
     value = F.round(F.coalesce(F.try_divide("numerator", "denominator"), F.lit(0.0)), 6)
     return g.select(F.lit(question).alias("question"), "numerator", "denominator", value.alias("value"), F.when(value >= least, "PASS").otherwise("FAIL").alias("status"))
 
@@ -221,25 +225,32 @@ def _share(rows: DataFrame, question: str, good, least: float = 1.0) -> DataFram
  UNION ALL SELECT 'CQ10', count(e.dst), count(*) FROM (SELECT DISTINCT symbol FROM dated) LEFT JOIN (SELECT DISTINCT dst FROM e WHERE relation = 'mentions') e ON e.dst = 'stock_' || symbol)
  SELECT *, round(coalesce(numerator / nullif(denominator, 0), 0), 6) AS value, CASE WHEN round(coalesce(numerator / nullif(denominator, 0), 0), 6) >= 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM q""")
 def _(spark, d):
-    e, dated, x = _edges(spark, d).distinct(), S.dated_mentions(spark, d), S.dictionary(spark, d)
+    e, dated, x = _edges(spark, d), S.dated_mentions(spark, d), S.dictionary(spark, d)
     node = lambda kind, c: F.concat(F.lit(kind + "_"), F.col(c).cast("string"))
-    of = lambda relation: e.filter(F.col("relation") == relation).select("src", "dst", F.lit(True).alias("there"))
-    told = lambda relation, name: of(relation).groupBy("src").agg(F.count(F.lit(1)).alias(name))
-    there = F.col("there").isNotNull()
-    pairs = dated.select(node("news", "news_id").alias("src"), node("stock", "symbol").alias("dst")).distinct()
-    news = pairs.select("src").distinct().join(told("has_sentiment", "moods"), "src", "left").join(told("contains_event", "events"), "src", "left")
+    # Edges, and the rows that should have one, are dealt by their source once, in tasks by the table's size.
+    wanted = lambda kind, c, relation: F.struct(node("news", "news_id").alias("src"), node(kind, c).alias("dst"), F.lit(relation).alias("relation"))
+    asked = dated.select(F.explode(F.array(wanted("stock", "symbol", "mentions"), wanted("event", "event_type", "contains_event"))).alias("a")).select("a.*", F.lit(False).alias("edge"))
+    both = S.dealt(spark, d, "lineitem", e.select("src", "dst", "relation", F.lit(True).alias("edge")).unionByName(asked), "src")
+    rows = both.groupBy("src", "dst", "relation").agg(F.bool_or("edge").alias("edge"), F.bool_or(~F.col("edge")).alias("asked"))
+    is_, there, asks = lambda relation: F.col("relation") == relation, F.col("edge") & F.col("dst").isNotNull(), F.col("asked")
+    by_source = rows.groupBy("src").agg(
+        F.count_if(asks & there & is_("mentions")).alias("n1"), F.count_if(asks & is_("mentions")).alias("d1"), F.count_if(asks & there & is_("contains_event")).alias("n4"), F.count_if(asks & is_("contains_event")).alias("d4"),
+        F.count_if(F.col("edge") & is_("contains_event")).alias("events"), F.count_if(F.col("edge") & is_("has_sentiment")).alias("d8"), F.count_if(F.col("edge") & is_("has_sentiment") & F.col("dst").startswith("sentiment_")).alias("n8"),
+    )
+    one = (F.col("d8") == 1) & (F.col("events") == 1)
+    sums = by_source.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "d1", "n4", "d4", "n8", "d8")], F.count_if((F.col("d1") > 0) & one).alias("n2"), F.count_if(F.col("d1") > 0).alias("d2"))
+    sums = K.cut(sums)
+    whole = lambda k: _answer(sums.select(F.col(f"n{k}").alias("numerator"), F.col(f"d{k}").alias("denominator")), f"CQ0{k}")
+    # Of these edges only what symbols bound is kept.
+    few = e.filter(is_("belongs_to") | is_("mentions")).select(F.when(is_("belongs_to"), F.col("src")).alias("src"), "dst", "relation").distinct()
+    few = K.cut(few)
+    belongs, met = few.filter(is_("belongs_to")).select("src", "dst"), few.filter(is_("mentions")).select("dst", F.lit(True).alias("there"))
     stocks = x.select(node("stock", "symbol").alias("src"), "industry")
-    kept = dated.select(node("news", "news_id").alias("src"), node("event", "event_type").alias("dst")).distinct()
-    named = dated.select(node("stock", "symbol").alias("dst")).distinct().join(of("mentions").select("dst", "there").distinct(), "dst", "left")
+    named = dated.select(node("stock", "symbol").alias("dst")).distinct().join(met, "dst", "left")
     parts = [
-        _share(pairs.join(of("mentions"), ["src", "dst"], "left"), "CQ01", there),
-        _share(news, "CQ02", (F.col("moods") == 1) & (F.col("events") == 1)),
-        _share(stocks.join(told("belongs_to", "n"), "src", "left"), "CQ03", F.col("n") == 1),
-        _share(kept.join(of("contains_event"), ["src", "dst"], "left"), "CQ04", there),
-        _share(of("belongs_to").join(stocks, "src", "left"), "CQ06", F.col("dst") == node("industry", "industry")),
-        _share(of("has_sentiment"), "CQ08", F.col("dst").startswith("sentiment_")),
-        _share(named, "CQ10", there),
-    ]
+        whole(1), whole(2), _share(stocks.join(belongs.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src", "left"), "CQ03", F.col("n") == 1), whole(4),
+        _share(belongs.join(stocks, "src", "left"), "CQ06", F.col("dst") == node("industry", "industry")), whole(8), _share(named, "CQ10", F.col("there").isNotNull()),
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 

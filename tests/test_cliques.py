@@ -25,3 +25,12 @@ def test_mentions_are_dealt_by_article_once(spark, sf_dir):
     plan = S.dated_mentions(spark, sf_dir).select("news_id", "sentiment").distinct()._jdf.queryExecution().executedPlan().toString()
     # Mentions and articles are dealt to their places; nothing follows by article that is dealt again.
     assert plan.count("Exchange hashpartitioning(news_id") <= 2
+
+
+def test_questions_read_the_mentions_once(spark, sf_dir):
+    """The answers over articles come from one pass that is written; only the symbols' question reads the mentions again."""
+    from quillgraph.plans import QUERIES
+
+    found = QUERIES["competency_questions"](spark, sf_dir)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("max(flag") <= 1
+    assert {r["question"] for r in found.collect()} == {"CQ01", "CQ02", "CQ03", "CQ04", "CQ06", "CQ08", "CQ10"}
