@@ -34,3 +34,13 @@ def test_questions_read_the_mentions_once(spark, sf_dir):
     found = QUERIES["competency_questions"](spark, sf_dir)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("max(flag") <= 1
     assert {r["question"] for r in found.collect()} == {"CQ01", "CQ02", "CQ03", "CQ04", "CQ06", "CQ08", "CQ10"}
+
+
+def test_sampled_betweenness_reads_its_edges_once(spark):
+    """Its result stands on what was written, and not on the edges again."""
+    from quillgraph.operators import graph as G
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "d")], "src string, dst string")
+    found = G.sampled_betweenness(edges, 4)
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["node_id"]: round(r["betweenness"], 6) for r in found.collect()} == {"a": 0.0, "b": round(2 / 6, 6), "c": round(2 / 6, 6), "d": 0.0}
