@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 The ranks of a vocabulary file become a transducer over bytes (transducer.py)
-that emits token ids after bounded lookahead. Decoding feeds the ids' bytes to
+that emits token ids after bounded lookahead. The pieces that a group of texts
+has go through it side by side, each once in a group; no piece is kept beyond
+its group. Decoding feeds the ids' bytes to
 an incremental UTF-8 state machine, which passes text on as soon as it says
 that a character is complete. All ids of a document go through it in turn; its
 state is the bytes that wait, and the move of a token in a state is kept.
@@ -17,18 +19,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import chain
+from itertools import count
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import resident, with_found
-from quillgraph.llm.transducer import MergeTransducer
+from quillgraph.llm.transducer import BatchTransducer
 
-#: Pieces kept with their ids in each task, and the longest such piece.
-CACHED_PIECES, CACHED_LENGTH = 200_000, 48
+#: Signs of the texts that are encoded together (a longer text: alone), and tokens or pieces that arrays are made of at once.
+SIGNS_AT_ONCE, TOKENS_AT_ONCE = 1 << 20, 1 << 20
+
+
+def _shares(n: int) -> Iterator[slice]:
+    return (slice(at, at + TOKENS_AT_ONCE) for at in range(0, n, TOKENS_AT_ONCE))
 
 
 class ByteBpe:
@@ -38,26 +46,46 @@ class ByteBpe:
         ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, rank_lines.splitlines()) if a}
         self.pattern, self.ranks = regex.compile(pattern), ranks
         self.bytes_of = {i: t.encode("latin-1") for t, i in ranks.items()}
-        self.machine = MergeTransducer(ranks, lambda a, b: ranks.get(a + b))
-        self._kept = lru_cache(CACHED_PIECES)(self._piece)
+        self.machine = BatchTransducer({t: k for k, t in enumerate(ranks)}, lambda a, b: ranks.get(a + b))
+        self._ids = np.array([*ranks.values()], np.int32)
+        self._shown = np.array([f" {i}" for i in ranks.values()], "S")
         self._states: dict[bytes, Waiting] = {}
         self._start = self._waiting(b"")
 
-    def _piece(self, piece: str) -> tuple[list[int], str]:
-        ids = list(map(self.ranks.__getitem__, self.machine.run(piece.encode("utf-8").decode("latin-1"))))
-        return ids, " ".join(map(str, ids))
-
-    def forget_pieces(self) -> None:
-        """Drop the kept pieces, so that an idle worker does not hold them; the transducer stays."""
-        self._kept.cache_clear()
-
-    def pieces(self, text: str) -> list[tuple[list[int], str]]:
-        """For each match of the pattern, its ids and their decimal form."""
-        kept = self._kept
-        return [kept(p) if len(p) <= CACHED_LENGTH else self._piece(p) for p in self.pattern.findall(text)]
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text its tokens, as numbers of the vocabulary's lines."""
+        seen: dict[str, int] = defaultdict(count().__next__)
+        found = (self.pattern.findall(t) if len(t) <= SIGNS_AT_ONCE else (m[0] for m in self.pattern.finditer(t)) for t in texts)
+        pieces = [np.fromiter(map(seen.__getitem__, f), np.int32) for f in found]
+        if not seen:
+            return [np.zeros(0, np.int32) for _ in texts]
+        _, bounds, data = pa.array(list(seen), pa.large_string()).buffers()
+        tokens, many = self.machine.run_all(np.frombuffer(data, np.uint8), np.frombuffer(bounds, np.int64))
+        ends = np.cumsum(many)
+        out, pieces, lengths = [], np.concatenate(pieces), list(map(len, pieces))
+        for share in _shares(len(pieces)):
+            n, last = many[pieces[share]], ends[pieces[share]]
+            out.append(tokens[np.arange(n.sum()) + np.repeat(last - np.cumsum(n), n)])
+        pieces_before = np.cumsum(lengths)[:-1]
+        before = np.concatenate([[0], np.cumsum(many[pieces])])[pieces_before]
+        return np.split(np.concatenate(out), before)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """For each text its tokens, as numbers of the vocabulary's lines; ``ids`` has their ids."""
+        group, signs = [], 0
+        for text in texts:
+            if group and signs + len(text) > SIGNS_AT_ONCE:
+                yield from self._together(group)
+                group, signs = [], 0
+            group.append(text)
+            signs += len(text)
+        yield from self._together(group)
+
+    def ids(self, tokens: np.ndarray) -> np.ndarray:
+        return self._ids[tokens]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in self.pieces(text)]))
+        return self.ids(self._together([text])[0]).tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -76,14 +104,30 @@ class ByteBpe:
         if state.held:
             yield "\N{REPLACEMENT CHARACTER}"
 
-    def decode_text(self, ids: Iterable[int]) -> str:
-        """The text of ``decode_stream``, at once."""
-        state, out = self._start, []
+    def _decode_on(self, ids: Iterable[int], state: Waiting) -> tuple[str, Waiting]:
+        """The text of ``decode_stream`` from a state, without its end, and the state after it."""
+        out: list[str] = []
         add = out.append
         for i in ids:
             text, state = state[i]
             add(text)
-        return "".join(out) + "\N{REPLACEMENT CHARACTER}" * bool(state.held)
+        return "".join(out), state
+
+    def decode_text(self, ids: Iterable[int]) -> str:
+        """The text of ``decode_stream``, at once."""
+        text, state = self._decode_on(ids, self._start)
+        return text + "\N{REPLACEMENT CHARACTER}" * bool(state.held)
+
+    def digests(self, tokens: np.ndarray) -> tuple[str, str]:
+        """Of a text's ids in decimal form, and of what they decode to."""
+        shown, decoded, state = hashlib.sha256(), hashlib.sha256(), self._start
+        for share in _shares(len(tokens)):
+            signs = self._shown[tokens[share]].view(np.uint8)
+            shown.update(signs[signs != 0][not share.start :])  # the text begins with no space
+            text, state = self._decode_on(self.ids(tokens[share]).tolist(), state)
+            decoded.update(text.encode())
+        decoded.update("\N{REPLACEMENT CHARACTER}".encode() * bool(state.held))
+        return shown.hexdigest(), decoded.hexdigest()
 
 
 class Waiting(dict):
@@ -167,10 +211,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         codec = _codec(lines.value, pattern)
 
         def find(texts):
-            ids = [codec.encode(t or "") for t in texts]
+            ids = list(map(codec.ids, codec.encode_all(t or "" for t in texts)))
             return [len(x) for x in ids], ids
 
-        find.end = codec.forget_pieces
         return find
 
     return with_found(docs, [c for c in docs.columns if c.lower() not in ("n_tokens", "ids")], make, {"n_tokens": "long", "ids": "array<int>"})
@@ -195,15 +238,9 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
         codec = _codec(lines.value, pattern)
 
         def find(texts):
-            rows = []
-            for text in texts:
-                found = codec.pieces(text or "")
-                ids, shown = list(chain.from_iterable([x for x, _ in found])), " ".join([s for _, s in found])
-                decoded = codec.decode_text(ids)
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            rows = [(len(tokens), *codec.digests(tokens)) for tokens in codec.encode_all(t or "" for t in texts)]
             return tuple(zip(*rows)) or ((), (), ())
 
-        find.end = codec.forget_pieces
         return find
 
     return with_found(docs, ["doc_id"], make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

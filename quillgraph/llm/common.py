@@ -90,9 +90,8 @@ def with_found(docs: DataFrame, keep: Sequence[str], make: Callable, added: dict
     """The columns ``keep`` of ``docs`` and the ``added`` ones, named with their types.
 
     ``make()`` gives, once in each task, a function from a list of the values
-    of ``source`` to the added columns' lists; its attribute ``end``, if it has
-    one, is called when the task has no more rows. Kept columns stay in Arrow, so
-    that none of their values changes.
+    of ``source`` to the added columns' lists. Kept columns stay in Arrow, so that
+    none of their values changes.
     """
     rows = docs.select(*keep, *([] if source in keep else [source]))
 
@@ -101,7 +100,6 @@ def with_found(docs: DataFrame, keep: Sequence[str], make: Callable, added: dict
         for part in _parts(batches):
             found = find(part[source].to_pylist())
             yield pa.RecordBatch.from_arrays([part[c] for c in keep] + [pa.array(x, ARROW[t]) for x, t in zip(found, added.values(), strict=True)], [*keep, *added])
-        getattr(find, "end", list)()
 
     return rows.mapInArrow(work, T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.DataType.fromDDL(t)) for c, t in added.items()]]))
 

@@ -15,18 +15,26 @@ A transition of ``MergeTransducer`` tells the token in which the prefix's merge
 result ends. Going back over these from every place that is still open, all
 ways meet after a bounded number of symbols; what lies before is emitted. A
 transition of ``CountingTransducer`` tells how many tokens became certain, and
-its states also hold how many more there are up to each place.
+its states also hold how many more there are up to each place. A
+``BatchTransducer`` takes many words a symbol further at once: its transitions
+lie in one table of arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 #: States kept before the table starts anew; bounds a worker's memory.
 MAX_STATES = 200_000
 #: Symbols after which a long word's certain tokens are emitted.
 HOLD = 4096
 NEVER = float("inf")
+#: Symbols beyond which a word of a batch is run by itself.
+LONG = 256
+#: Bits of a table's key that hold the symbol, and of its value that hold the token's number.
+SYMBOL, NUMBER = 21, 32
 
 
 class MergeTransducer:
@@ -153,10 +161,12 @@ class MergeTransducer:
             self._moves.append({})
         return to
 
-    def _move(self, state: int, symbol: str) -> tuple:
+    def _arrow(self, state: int, symbol: str) -> tuple[int, str]:
         longest, places, token, _ = self._goes(state, symbol)
-        to = self._to((longest, (*[(c, 0) for c, _ in places], (self._after(token), 0))))
-        move = self._moves[state][symbol] = (to, token)
+        return self._to((longest, (*[(c, 0) for c, _ in places], (self._after(token), 0)))), token
+
+    def _move(self, state: int, symbol: str) -> tuple:
+        move = self._moves[state][symbol] = self._arrow(state, symbol)
         return move
 
     def _open(self, state: int, at: int) -> list[int]:
@@ -222,3 +232,95 @@ class CountingTransducer(MergeTransducer):
                 state, sure = self._move(state, symbol)
             total += sure
         return total + self._states[state][1][-1][1]
+
+
+class Table:
+    """Whole numbers from 0 on, by keys of the same kind, in open addressing; asked and filled with many keys at once."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values; -1 where there is none."""
+        at = self._slots(keys)
+        there, out = self.keys[at], self.values[at]
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.keys) - 1)
+            there, out[on] = self.keys[at[on]], self.values[at[on]]
+            on = on[(there != keys[on]) & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys that differ and are not there yet."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
+            self.__init__(max(self.bits + 1, (2 * len(keys)).bit_length()))
+        self.size += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            lost = self.keys[at] != keys
+            self.values[at[~lost]] = values[~lost]
+            keys, values, at = keys[lost], values[lost], (at[lost] + 1) & (len(self.keys) - 1)
+
+
+class BatchTransducer(MergeTransducer):
+    """Gives the tokens' numbers in ``tokens``."""
+
+    def __init__(self, tokens: dict[str, int], pair_rank: Callable[[str, str], int | None]):
+        super().__init__(tokens, pair_rank)
+        self._lengths = np.zeros(max(tokens.values(), default=0) + 1, np.int64)
+        self._lengths[list(tokens.values())] = list(map(len, tokens))
+
+    def _reset(self) -> None:
+        super()._reset()
+        self._table = Table()
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """For keys of a state and a symbol, the state after it and the number of the token that ends there."""
+        found = self._table.get(keys)
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            new, which = np.unique(keys[lacking], return_inverse=True)
+            arrows = [self._arrow(key >> SYMBOL, chr(key & (1 << SYMBOL) - 1)) for key in new.tolist()]
+            values = np.array([to << NUMBER | self.tokens[token] for to, token in arrows], np.int64)
+            self._table.put(new, values)
+            found[lacking] = values[which]
+        return found
+
+    def run_all(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' numbers of all words, on end, and how many each word has. Word k is ``symbols[bounds[k] : bounds[k + 1]]``."""
+        if len(self._states) > MAX_STATES:
+            self._reset()
+        starts, ends = bounds[:-1], bounds[1:]
+        ending, closes = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), bool)
+        far = ends - starts > LONG
+        for k in np.flatnonzero(far).tolist():
+            numbers = np.array([self.tokens[t] for t in self.run("".join(map(chr, symbols[starts[k] : ends[k]].tolist())))])
+            at = starts[k] + np.cumsum(self._lengths[numbers]) - 1
+            ending[at], closes[at] = numbers, True
+        starts, ends = starts[~far], ends[~far]
+        longest_first = np.argsort(starts - ends, kind="stable")
+        at, lengths = starts[longest_first], (ends - starts)[longest_first]
+        going = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0))
+        states = np.zeros(len(at), np.int64)
+        for step, n in enumerate(going.tolist()):
+            here = at[:n] + step
+            found = self._found(states[:n] << SYMBOL | symbols[here])
+            states[:n] = found >> NUMBER
+            ending[here] = found & (1 << NUMBER) - 1
+        # Back from the words' ends: each token begins where the one before it ends.
+        back, start = ends[ends > starts], starts[ends > starts]
+        while len(back):
+            closes[back - 1] = True
+            back = back - self._lengths[ending[back - 1]]
+            back, start = back[back > start], start[back > start]
+        before = np.concatenate([[0], np.cumsum(closes)])
+        return ending[closes], np.diff(before[bounds])
