@@ -150,11 +150,12 @@ def _percent(number: Column) -> Column:
     return F.regexp_replace(brief.cast("string"), r"\.0$", "")
 
 
-def analysed(articles: DataFrame, key: str, dictionary: DataFrame, cues: Cues | None = None, high: float = 0.6, low: float = 0.4) -> DataFrame:
+def analysed(articles: DataFrame, key: str, dictionary: DataFrame, cues: Cues | None = None, high: float = 0.6, low: float = 0.4, *, moves: bool = True) -> DataFrame:
     """``articles`` (key, title, content) with stocks, companies, industries, events, sentiment, impact_score and reasons.
 
     ``high`` and ``low`` are the shares of good cues from which, and up to which,
-    a mood counts as good or bad. The text is lower-cased once.
+    a mood counts as good or bad. The text is lower-cased once. Without ``moves``
+    percentages count for nothing.
     """
     cues = cues or Cues()
     whole = articles.withColumn("_text", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))))
@@ -162,6 +163,8 @@ def analysed(articles: DataFrame, key: str, dictionary: DataFrame, cues: Cues |
     text = F.col("_low")
     move = rf"({cues.up}|{cues.down})[^%\n]{{0,20}}?(\d{{1,3}}(?:[.,]\d+)?)\s*%"
     told = F.arrays_zip(F.regexp_extract_all(text, F.lit(move), F.lit(1)).alias("way"), F.transform(F.regexp_extract_all(text, F.lit(move), F.lit(2)), lambda x: F.replace(x, F.lit(","), F.lit("."))).alias("number"))
+    if not moves:
+        told = F.array().cast("array<struct<way: string, number: string>>")
     families = [F.struct(F.lit(n).alias("name"), F.lit(cues.labels.get(n, n.replace("_", " ").title())).alias("label"), _hits(text, w).alias("hits")) for n, w in cues.events.items()]
     trades = [F.struct(F.lit(n).alias("name"), _hits(text, w).alias("hits")) for n, w in cues.industries.items()]
     some = lambda found, kind: F.filter(F.array(*found), lambda x: F.size(x["hits"]) > 0) if found else F.array().cast(kind)

@@ -3,9 +3,12 @@
 import random
 import re
 
+import duckdb
+
 from quillgraph.functions import cues as C
 from quillgraph.functions.text import EVENT_PATTERNS
 from quillgraph.operators import extraction as E
+from quillgraph.plans import ORACLES, QUERIES
 
 SCHEMA = "symbol string, tier string, company string, industry string, aliases array<string>"
 ENTRIES = [
@@ -119,3 +122,19 @@ def test_analysis_and_decision(spark):
         stored = (r["predicted_trend"], r["prediction_confidence"], r["prediction_decision"], r["needs_manual_label"], r["fallback_trend"] is not None)
         assert stored == [(None, None, "ERROR", True, True), ("INCREASING", 0.7, "SIGNAL", False, False), ("DECREASING", 0.3, "ABSTAIN", True, False), (None, None, "REFUSED", True, True)][k % 4]
     assert {r["sentiment"] for r in found.values()} == {"Positive", "Negative", "Neutral"}
+
+
+def test_article_analysis_on_moves_is_as_its_sql(spark, tmp_path):
+    """Percentages behind a word that ends in up or down move no score: the SQL has none."""
+    texts = ["mention soup +1 (136) 555-7479%%% the", "the ough down 12 % and the", "elle up 3,5% ough", "nothing up 9%", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("supplier", "nation", "region", "orders", "lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(ORACLES["article_analysis"])
+    found = QUERIES["article_analysis"](spark, str(tmp_path)).select(*want.columns)
+    shown = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert shown(found.collect()) == shown(want.fetchall())
