@@ -2,7 +2,10 @@
 
 import datetime
 
+import pytest
+
 from quillgraph.operators import epochs, graph
+from quillgraph.plans import QUERIES
 
 
 def test_degrees_by_day_make_no_pairs_of_an_industry(spark, monkeypatch):
@@ -19,3 +22,15 @@ def test_degrees_by_day_make_no_pairs_of_an_industry(spark, monkeypatch):
     assert found[0, first] == (602, fixed, round(599 / 601, 9)) and found[600, first] == (602, fixed, 0.0)
     # 0 and 1 are of one industry; 600 has met both.
     assert found[0, later] == (602, fixed + 2, round(600 / 601, 9)) and found[600, later] == (602, fixed + 2, round(2 / 601, 9))
+
+
+@pytest.mark.parametrize("name", ["features_without_labels", "features_with_sentiment", "projection_by_day"])
+def test_samples_meet_their_counts_without_a_shuffled_join(spark, sf_dir, name):
+    """Samples are dealt by symbol once: no join shuffles them, or the pairs of an article, again."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
