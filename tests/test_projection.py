@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 
 from quillgraph.operators import epochs, graph
@@ -34,3 +35,29 @@ def test_samples_meet_their_counts_without_a_shuffled_join(spark, sf_dir, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_walk_takes_no_step_that_finds_nothing():
+    """From every symbol of a star all are reached in two steps: one step is read, one made, and one back."""
+    n, steps = 300, []
+
+    class Counting(epochs.Matrix):
+        def spread(self, x):
+            steps.append(len(x))
+            return super().spread(x)
+
+    joined = Counting(n)
+    joined.join(np.zeros(n - 1, np.int64), np.arange(1, n))
+    reached, far, through = epochs.walk(joined, np.arange(n), n)
+    assert steps == [n, n]
+    assert reached.tolist() == [n - 1] * n and far.tolist() == [n - 1] + [1 + 2 * (n - 2)] * (n - 1)
+    assert through.tolist() == [(n - 1) * (n - 2)] + [0] * (n - 1)
+
+
+def test_hundreds_of_symbols_are_one_block(spark):
+    """An epoch's sources are not dealt to blocks that each get all pairs and give a row for every symbol."""
+    symbols = spark.range(400).selectExpr("id as symbol", "id % 4 as industry")
+    dated = spark.createDataFrame([(1, 1, datetime.date(2020, 1, 1)), (1, 2, datetime.date(2020, 1, 1)), (2, 1, datetime.date(2020, 1, 3))], "news_id long, symbol long, day date")
+    found = epochs.centralities_by_day(dated, symbols)
+    assert "sum(through" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["symbol"], r["day"].day, r["nodes"]) for r in found.collect()} == {(1, 1, 400), (2, 1, 400), (1, 3, 400)}
